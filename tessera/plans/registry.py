@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import documents
+
+MODULES = [documents]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
