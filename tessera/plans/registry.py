@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents
+from . import documents, provenance
 
-MODULES = [documents]
+MODULES = [documents, provenance]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
