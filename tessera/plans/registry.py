@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, provenance
+from . import documents, evaluation, groups, provenance
 
-MODULES = [documents, provenance]
+MODULES = [documents, provenance, evaluation, groups]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

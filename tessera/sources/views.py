@@ -49,17 +49,21 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(last, "metrics_id", "left_semi")
 
 
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("l_returnflag is not null")
+    named = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("l_orderkey").alias("grp"), F.col("l_returnflag").alias("y_true"), F.col("l_quantity").cast("bigint").alias("A"), (1 + F.round(F.col("l_discount") * 100).cast("bigint")).alias("N"), (1 + F.round(F.col("l_tax") * 100).cast("bigint")).alias("R"))
+    return named.withColumn("total", F.col("A") + F.col("N") + F.col("R"))
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """item, grp, y_true, label, prob: three-class scores made of integer weights of lineitem, in long form."""
-    li = table(spark, sf, "lineitem").where("l_returnflag is not null")
-    w = {"A": F.col("l_quantity").cast("bigint"), "N": 1 + F.round(F.col("l_discount") * 100).cast("bigint"), "R": 1 + F.round(F.col("l_tax") * 100).cast("bigint")}
-    total = w["A"] + w["N"] + w["R"]
-    cells = F.array(*[F.struct(F.lit(k).alias("label"), v.alias("w"), (v / total).alias("prob")) for k, v in w.items()])
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("l_orderkey").alias("grp"), F.col("l_returnflag").alias("y_true"), F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(k).alias("label"), (F.col(k) / F.col("total")).alias("prob")) for k in ("A", "N", "R")])
+    return _weights(spark, sf).select("item", "grp", "y_true", F.inline(cells))
 
 
-def decisions(pred: DataFrame) -> DataFrame:
-    """item, grp, y_true, pred, conf, correct from long scores; ties go to the first label."""
-    best = F.max(F.struct("prob", (-F.ascii("label")).alias("o")))
-    one = pred.groupBy("item", "grp", "y_true").agg(best.alias("b"))
-    return one.select("item", "grp", "y_true", F.char(-F.col("b.o")).alias("pred"), F.col("b.prob").alias("conf")).withColumn("correct", (F.col("pred") == F.col("y_true")).cast("int"))
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """item, grp, y_true, pred, conf, correct of the same scores, one row per item; ties go to the first label."""
+    a, n, r = F.col("A"), F.col("N"), F.col("R")
+    pred = F.when((a >= n) & (a >= r), "A").when(n >= r, "N").otherwise("R")
+    w = _weights(spark, sf).select("item", "grp", "y_true", pred.alias("pred"), (F.greatest(a, n, r) / F.col("total")).alias("conf"))
+    return w.withColumn("correct", (F.col("pred") == F.col("y_true")).cast("int"))
