@@ -60,11 +60,21 @@ def _snake(key: Column) -> Column:
     return F.lower(F.regexp_replace(key, r"([a-z0-9])([A-Z])", "$1_$2"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bind(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that later expressions read instead of computing them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def json_kind(v: Column) -> Column:
     """null, boolean, number, string, array or object; NULL for no value."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t.isNull(), None).when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
+    return _let(
+        F.substring(F.schema_of_variant(v), 1, 3),
+        lambda t: F.when(t == "STR", "string").when(t == "ARR", "array").when(t == "OBJ", "object").when(t == "VOI", "null").when(t == "BOO", "boolean").when(t.isNotNull(), "number"),
     )
 
 
@@ -156,60 +166,71 @@ def _flat_intervals(entries: Column) -> Column:
     return F.filter(entries, lambda e: e["name"].rlike(INTERVAL_SUFFIX) & (_is_metric(F.regexp_replace(e["name"], INTERVAL_SUFFIX, "")) | F.exists(entries, lambda o: o["name"] == F.regexp_replace(e["name"], INTERVAL_SUFFIX, ""))))
 
 
-def _model_changes(model: Column) -> Column:
-    """Changes of one model entry against the fields it should have."""
-    fields = _fields(model)
-    entries = _entries(fields)
+def _read_models(models: Column) -> Column:
+    """Model entries as structs: fields, their entries, the flat ones, and the key that holds each field.
+
+    Each step is a transform of its own, so what it computes is computed once per model.
+    """
     names = tuple(f.name for f in MODEL_FIELDS)
-    parts, taken = [], [F.array(*map(F.lit, names))]
-    for field in MODEL_FIELDS:
-        here = F.map_contains_key(fields, F.lit(field.name))
-        alias = _found_under(entries, names, field)
-        flat = {"point": _flat_points, "ci95": _flat_intervals}.get(field.name)
-        loose = F.size(flat(entries)) > 0 if flat else F.lit(False)
-        value = F.try_element_at(fields, F.when(here, F.lit(field.name)).otherwise(alias))
-        kind = json_kind(value)
-        fits = _point_fits(value) if field.name == "point" else _interval_fits(value) if field.name == "ci95" else kind == field.kind
-        bad = kind.isNotNull() & (kind != "null") & ~F.coalesce(fits, F.lit(False))
-        label = f"models.*.{field.name}"
-        parts.append(F.when(here, _none()).when(alias.isNotNull() | loose, F.array(_change(label, "renamed"))).otherwise(F.array(_change(label, "removed"))))
-        parts.append(F.when(bad, F.array(_change(label, "retyped"))).otherwise(_none()))
-        taken.append(F.when(~here & alias.isNotNull(), F.array(alias)).otherwise(F.array().cast("array<string>")))
-        if flat:
-            taken.append(F.transform(flat(entries), lambda e: e["key"]))
-    known = F.array_distinct(F.flatten(F.array(*taken)))
-    extra = F.filter(F.map_keys(fields), lambda k: ~F.array_contains(known, k))
+    opened = F.filter(F.transform(models, lambda m: _fields(m)), lambda m: m.isNotNull())
+    listed = F.transform(opened, lambda m: F.struct(m.alias("fields"), _entries(m).alias("entries")))
+    loose = F.transform(listed, lambda x: F.struct(x["fields"].alias("fields"), x["entries"].alias("entries"), _flat_points(x["entries"]).alias("flat_point"), _flat_intervals(x["entries"]).alias("flat_ci95")))
+    place = lambda x, f: F.when(F.map_contains_key(x["fields"], F.lit(f.name)), F.lit(f.name)).otherwise(_found_under(x["entries"], names, f)).alias(f.name)
+    return F.transform(loose, lambda x: F.struct(x["fields"].alias("fields"), x["entries"].alias("entries"), x["flat_point"].alias("flat_point"), x["flat_ci95"].alias("flat_ci95"), *[place(x, f) for f in MODEL_FIELDS]))
+
+
+def _field_changes(x: Column, field: Target) -> list[Column]:
+    at, label = x[field.name], f"models.*.{field.name}"
+    loose = F.size(x[f"flat_{field.name}"]) > 0 if field.name in ("point", "ci95") else F.lit(False)
+    fits = {"point": _point_fits, "ci95": _interval_fits}.get(field.name, lambda v: F.lit(True))
+    held = F.get(F.filter(x["entries"], lambda e: e["key"] == at), F.lit(0))
+    bad = lambda h: h.isNotNull() & (h["kind"] != "null") & ~F.coalesce((h["kind"] == field.kind) & fits(h["value"]), F.lit(False))
+    return [
+        F.when(at == field.name, _none()).when(at.isNotNull() | loose, F.array(_change(label, "renamed"))).otherwise(F.array(_change(label, "removed"))),
+        _let(held, lambda h: F.when(bad(h), F.array(_change(label, "retyped"))).otherwise(_none())),
+    ]
+
+
+def _model_changes(x: Column) -> Column:
+    """Changes of one model entry, as read above, against the fields it should have."""
+    parts = [p for field in MODEL_FIELDS for p in _field_changes(x, field)]
+    known = F.array(*map(F.lit, (f.name for f in MODEL_FIELDS)), *[x[f.name] for f in MODEL_FIELDS])
+    loose = F.transform(F.concat(x["flat_point"], x["flat_ci95"]), lambda e: e["key"])
+    extra = F.array_except(F.map_keys(x["fields"]), F.concat(known, loose))
     parts.append(F.transform(extra, lambda k: _change(F.concat(F.lit("models.*."), k), "added")))
-    return F.when(fields.isNull(), _none()).otherwise(F.flatten(F.array(*parts)))
+    return F.flatten(F.array(*parts))
 
 
 def latest(raw: DataFrame) -> DataFrame:
-    """One row per file_no with the parsed payload ``doc`` (map<string,variant>), its entries and column places."""
+    """One row per file_no with the parsed payload ``doc`` (map<string,variant>), its entries, the key each column
+
+    is found under (``place``) and the entry there (``at``).
+    """
     picked = raw.where("file_no is not null").groupBy("file_no").agg(F.max(F.struct("loaded_at", "payload")).alias("r"))
-    doc = F.from_json("payload", "map<string,variant>")
     # a text that is cut off or no object parses to nothing
-    rows = picked.select("file_no", "r.loaded_at", "r.payload").withColumn("doc", F.when(F.get_json_object("payload", "$").startswith("{"), doc))
-    rows = rows.withColumn("entries", _entries(F.col("doc")))
-    place = F.struct(*[F.when(F.map_contains_key(F.col("doc"), F.lit(c.name)), F.lit(c.name)).otherwise(_found_under(F.col("entries"), _NAMES, c)).alias(c.name) for c in COLUMNS])
-    return rows.withColumn("place", place)
+    doc = F.when(F.get_json_object("payload", "$").startswith("{"), F.from_json("payload", "map<string,variant>"))
+    rows = _bind(picked.select("file_no", "r.loaded_at", "r.payload"), doc=doc)
+    rows = _bind(rows, entries=_entries(F.col("doc")))
+    place = [F.when(F.map_contains_key(F.col("doc"), F.lit(c.name)), F.lit(c.name)).otherwise(_found_under(F.col("entries"), _NAMES, c)).alias(c.name) for c in COLUMNS]
+    rows = _bind(rows, place=F.struct(*place))
+    entry = lambda c: F.get(F.filter("entries", lambda e: e["key"] == F.col("place")[c.name]), F.lit(0)).alias(c.name)
+    return _bind(rows, at=F.struct(*[entry(c) for c in COLUMNS]))
 
 
 def changes(raw: DataFrame) -> DataFrame:
     """(file_no, field_name, change_kind): how each file departs from the target schema."""
     rows = latest(raw)
-    doc, place = F.col("doc"), F.col("place")
+    place, at = F.col("place"), F.col("at")
+    rows = _bind(rows, models=_read_models(F.coalesce(_values(at["models"]["value"]), F.array().cast("array<variant>"))))
     parts = []
     for c in COLUMNS:
-        at = place[c.name]
-        kind = json_kind(F.try_element_at(doc, at))
-        parts.append(F.when(at == c.name, _none()).when(at.isNotNull(), F.array(_change(c.name, "renamed"))).otherwise(F.array(_change(c.name, "removed"))))
+        key, kind = place[c.name], at[c.name]["kind"]
+        parts.append(F.when(key == c.name, _none()).when(key.isNotNull(), F.array(_change(c.name, "renamed"))).otherwise(F.array(_change(c.name, "removed"))))
         parts.append(F.when(kind.isNotNull() & ~kind.isin(c.kind, "null"), F.array(_change(c.name, "retyped"))).otherwise(_none()))
-    places = F.array(*[place[c.name] for c in COLUMNS])
-    extra = F.filter(F.map_keys(doc), lambda k: ~k.isin(*_NAMES) & ~F.coalesce(F.array_contains(F.array_compact(places), k), F.lit(False)))
-    parts.append(F.transform(extra, lambda k: _change(k, "added")))
-    models = F.coalesce(_values(F.try_element_at(doc, place["models"])), F.array().cast("array<variant>"))
-    parts.append(F.flatten(F.transform(models, _model_changes)))
-    whole = F.when(doc.isNull(), F.array(_change("*", "unreadable"))).otherwise(F.array_distinct(F.flatten(F.array(*parts))))
+    known = F.array(*map(F.lit, _NAMES), *[place[c.name] for c in COLUMNS])
+    parts.append(F.transform(F.array_except(F.map_keys("doc"), known), lambda k: _change(k, "added")))
+    parts.append(F.flatten(F.transform("models", _model_changes)))
+    whole = F.when(F.col("doc").isNull(), F.array(_change("*", "unreadable"))).otherwise(F.array_distinct(F.flatten(F.array(*parts))))
     return rows.select("file_no", F.inline(whole))
 
 
@@ -229,24 +250,20 @@ def _interval(v: Column) -> Column:
     )
 
 
-def _model(model: Column) -> Column:
-    fields = _fields(model)
-    entries = _entries(fields)
-    names = tuple(f.name for f in MODEL_FIELDS)
-    at = {f.name: F.try_element_at(fields, F.when(F.map_contains_key(fields, F.lit(f.name)), F.lit(f.name)).otherwise(_found_under(entries, names, f))) for f in MODEL_FIELDS}
-    listed = F.map_from_entries(F.filter(F.transform(_get(at["point"], "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.metric", "string").alias("key"), F.try_variant_get(e, "$.value", "double").alias("value"))), lambda e: e["key"].isNotNull()))
-    loose = F.map_from_entries(F.transform(_flat_points(entries), lambda e: F.struct(e["name"], _number(e["value"]))))
-    loose_ci = F.map_from_entries(F.transform(_flat_intervals(entries), lambda e: F.struct(F.regexp_replace(e["name"], INTERVAL_SUFFIX, ""), _interval(e["value"]))))
-    point = F.when(json_kind(at["point"]) == "object", F.transform_values(_fields(at["point"]), lambda _, v: _number(v))).when(json_kind(at["point"]) == "array", listed).when(at["point"].isNull() & (F.size(_flat_points(entries)) > 0), loose)
-    ci95 = F.when(json_kind(at["ci95"]) == "object", F.transform_values(_fields(at["ci95"]), lambda _, v: _interval(v))).when(at["ci95"].isNull() & (F.size(_flat_intervals(entries)) > 0), loose_ci)
-    return F.when(
-        fields.isNotNull(),
-        F.struct(
-            point.alias("point"),
-            ci95.alias("ci95"),
-            F.transform(_get(at["confusion_matrix"], "array<variant>"), lambda row: F.transform(_get(row, "array<variant>"), lambda x: _number(x).cast("bigint"))).alias("confusion_matrix"),
-            F.transform_values(_fields(at["support"]), lambda _, v: _number(v).cast("bigint")).alias("support"),
-        ),
+def _typed_model(x: Column) -> Column:
+    """A model entry, as read above, in the target type."""
+    held = lambda f: F.get(F.filter(x["entries"], lambda e: e["key"] == x[f]), F.lit(0))
+    listed = lambda v: F.map_from_entries(F.filter(F.transform(_get(v, "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.metric", "string").alias("key"), F.try_variant_get(e, "$.value", "double").alias("value"))), lambda e: e["key"].isNotNull()))
+    loose = F.map_from_entries(F.transform(x["flat_point"], lambda e: F.struct(e["name"], _number(e["value"]))))
+    loose_ci = F.map_from_entries(F.transform(x["flat_ci95"], lambda e: F.struct(F.regexp_replace(e["name"], INTERVAL_SUFFIX, ""), _interval(e["value"]))))
+    point = _let(held("point"), lambda h: F.when(h["kind"] == "object", F.transform_values(_fields(h["value"]), lambda _, v: _number(v))).when(h["kind"] == "array", listed(h["value"])).when(h.isNull() & (F.size(x["flat_point"]) > 0), loose))
+    ci95 = _let(held("ci95"), lambda h: F.when(h["kind"] == "object", F.transform_values(_fields(h["value"]), lambda _, v: _interval(v))).when(h.isNull() & (F.size(x["flat_ci95"]) > 0), loose_ci))
+    whole = lambda v: _number(v).cast("bigint")
+    return F.struct(
+        point.alias("point"),
+        ci95.alias("ci95"),
+        F.transform(_get(held("confusion_matrix")["value"], "array<variant>"), lambda row: F.transform(_get(row, "array<variant>"), whole)).alias("confusion_matrix"),
+        F.transform_values(_fields(held("support")["value"]), lambda _, v: whole(v)).alias("support"),
     )
 
 
@@ -260,22 +277,25 @@ def ingest(raw: DataFrame) -> DataFrame:
     """
     rows = latest(raw)
     doc, place = F.col("doc"), F.col("place")
-    at = {c.name: F.try_element_at(doc, place[c.name]) for c in COLUMNS}
+    at = {c.name: F.col("at")[c.name]["value"] for c in COLUMNS}
+    opened = _fields(at["models"])
+    # entries that are no object have no place in the typed column: their keys stay with NULL
+    rows = _bind(rows, model_keys=F.map_keys(F.map_filter(opened, lambda _, m: _fields(m).isNotNull())), empty_keys=F.map_keys(F.map_filter(opened, lambda _, m: _fields(m).isNull())), models_read=_read_models(F.map_values(opened)))
 
     def text(c: str) -> Column:
         one = F.try_element_at(_get(at[c], "array<variant>"), F.lit(1))
-        kind = json_kind(at[c])
+        kind = F.col("at")[c]["kind"]
         # a list of one, or an object that says its kind, replays to the text it wraps
         return F.when(kind == "string", _get(at[c], "string")).when((kind == "array") & (F.size(_get(at[c], "array<variant>")) == 1) & (json_kind(one) == "string"), _get(one, "string")).when(kind == "object", F.try_variant_get(at[c], "$.kind", "string"))
 
-    labels = F.when(json_kind(at["labels"]) == "array", _get(at["labels"], "array<string>")).when(json_kind(at["labels"]) == "string", F.transform(F.split(_get(at["labels"], "string"), ","), lambda x: F.trim(x)))
+    labels = F.when(F.col("at")["labels"]["kind"] == "array", _get(at["labels"], "array<string>")).when(F.col("at")["labels"]["kind"] == "string", F.transform(F.split(_get(at["labels"], "string"), ","), lambda x: F.trim(x)))
     typed = {
         **{c: text(c) for c in ("run_id", "config", "base_config", "split_mode")},
         "n_images": _number(at["n_images"]).cast("bigint"),
         "n_groups": _number(at["n_groups"]).cast("bigint"),
         "bootstrap_unit": text("bootstrap_unit"),
         "labels": labels,
-        "models": F.transform_values(_fields(at["models"]), lambda _, v: _model(v)),
+        "models": F.map_concat(F.map_from_arrays("model_keys", F.transform("models_read", _typed_model)), F.map_from_arrays("empty_keys", F.transform("empty_keys", lambda k: F.lit(None)))),
         "comparisons": _get(at["comparisons"], f"array<{_COMPARISON}>"),
     }
     out = rows.select("file_no", "loaded_at", "payload", "doc", "place", *[v.alias(k) for k, v in typed.items()])
