@@ -62,7 +62,7 @@ def assign_splits(dataset: DataFrame, targets: DataFrame, seed: int = 42, hot_ro
     shares = [(r["split_name"], float(r["target_share"])) for r in targets.where("split_name is not null and target_share > 0").orderBy("split_name").limit(CELLS).collect()]
     total, whole = sum(n for _, n in cells), sum(s for _, s in shares)
     out, before = [], 0
-    for cell, n in cells:
+    for cell, n in cells if shares else []:
         at, edge = (before + n / 2) / total, 0.0
         for name, share in shares:
             edge += share / whole
