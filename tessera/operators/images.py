@@ -69,9 +69,9 @@ def attribution_scores(heat: Column, mask: Column) -> dict[str, Column]:
     total = F.aggregate(heat, F.lit(0.0), lambda a, x: a + x)
     inside = F.aggregate(F.zip_with(heat, mask, lambda h, m: h * m), F.lit(0.0), lambda a, x: a + x)
     size = F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int"))
-    top = F.element_at(F.sort_array(heat, asc=False), F.greatest(size, F.lit(1)))
+    top = F.try_element_at(F.sort_array(heat, asc=False), F.greatest(size, F.lit(1)))
     hot = F.transform(heat, lambda h: (h >= top).cast("int"))
     both = F.aggregate(F.zip_with(hot, mask, lambda h, m: h * m.cast("int")), F.lit(0), lambda a, x: a + x)
     union = F.aggregate(F.zip_with(hot, mask, lambda h, m: F.greatest(h, m.cast("int"))), F.lit(0), lambda a, x: a + x)
-    area, energy = size / n, F.try_divide(inside, total)
-    return {"mask_area": area, "mask_energy": energy, "concentration": F.try_divide(energy, area), "pointing_hit": F.element_at(mask, F.array_position(heat, F.array_max(heat)).cast("int")) == 1, "iou": F.try_divide(both, union)}
+    area, energy = F.try_divide(size, n), F.try_divide(inside, total)
+    return {"mask_area": area, "mask_energy": energy, "concentration": F.try_divide(energy, area), "pointing_hit": F.get(mask, F.array_position(heat, F.array_max(heat)).cast("int") - 1) == 1, "iou": F.try_divide(both, union)}

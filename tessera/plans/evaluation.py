@@ -321,3 +321,54 @@ def class_weights(spark, sf):
     n = v.labelled_folds(spark, sf).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()
     return n.withColumn("weight", F.round(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n")), 6))
+
+
+_PUB = f"""with {CURATED.replace("c as", "c0 as")}, m as (select grp, path, split from (select nullif(lower(trim(group_id)), '') as grp, path,
+ coalesce(case list_filter(string_split(lower(path), '/')[:-2], lambda x: x in ('train', 'training', 'val', 'valid', 'validation', 'test', 'testing'))[1] when 'train' then 'train' when 'training' then 'train' when 'val' then 'val' when 'valid' then 'val' when 'validation' then 'val' when 'test' then 'test' when 'testing' then 'test' end, 'unassigned') as split
+ from bdneuro_v7_manifest where path is not null) where grp is not null group by all)"""
+
+
+@query(_PUB + """, g as (select grp, count(distinct split) as ns, count(*) as n, count_if(split = 'test') as nt, count_if(split <> 'test') as no from m group by grp)
+select count_if(ns > 1)::bigint as spanning_groups, coalesce(sum(n) filter (where ns > 1), 0)::bigint as images_involved, coalesce(sum(nt) filter (where no > 0), 0)::bigint as test_with_sibling, sum(nt)::bigint as test_images from g""")
+def publisher_split_integrity(spark, sf):
+    """Groups of the external release that its own folders put in several splits."""
+    from ..functions import paths as px
+
+    m = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select(F.lower(F.trim("group_id")).alias("grp"), "path", px.split_of(F.col("path")).alias("split")).where("grp <> ''").distinct()
+    g = m.groupBy("grp").agg(F.countDistinct("split").alias("ns"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("nt"), F.count_if(F.col("split") != "test").alias("no"))
+    part = lambda c, k: F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0))
+    return g.agg(F.count_if(F.col("ns") > 1).alias("spanning_groups"), part(F.col("ns") > 1, "n").alias("images_involved"), part(F.col("no") > 0, "nt").alias("test_with_sibling"), F.sum("nt").alias("test_images"))
+
+
+@query("select 0::bigint as n_overlap")
+def inner_outer_disjoint(spark, sf):
+    """Test items of an outer fold that also stand in its own inner folds; must be 0."""
+    inner = nested_folds(spark, sf)
+    outer = v.labelled_folds(spark, sf).select(F.col("fold").alias("outer_fold"), "path")
+    return inner.join(outer, ["outer_fold", "path"], "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
+
+
+@query(f"with {DEC}, b as (select correct, conf, case when conf < 0.5 then '[0,0.5)' when conf < 0.8 then '[0.5,0.8)' when conf < 0.9 then '[0.8,0.9)' else '[0.9,1]' end as band from dc) select band, count(*) as n, round(avg(correct), 6) as accuracy, round(avg(conf), 6) as mean_conf from b group by band having count(*) >= 20")
+def confidence_bands(spark, sf):
+    """Accuracy in closed-open bands of a score; bands with fewer than 20 items are left out."""
+    c = F.col("conf")
+    band = F.when(c < 0.5, "[0,0.5)").when(c < 0.8, "[0.5,0.8)").when(c < 0.9, "[0.8,0.9)").otherwise("[0.9,1]")
+    g = v.decisions(spark, sf).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("conf"), 6).alias("mean_conf"))
+    return g.where("n >= 20")
+
+
+@query(f"""{_AB}, x as (select grp, y_true, a_ok, b_ok, (grp % 2 = 0) as exposed from ab), u as (select y_true, avg(a_ok) filter (where exposed) as acc_exposed, avg(a_ok) filter (where not exposed) as acc_unexposed, count_if(exposed) as ne, count_if(not exposed) as nu from x group by y_true)
+select y_true, round(acc_exposed, 6) as acc_exposed, round(acc_unexposed, 6) as acc_unexposed, round(100 * (acc_exposed - acc_unexposed), 4) as diff_pp from u where ne > 0 and nu > 0""")
+def exposure_contrast(spark, sf):
+    """Mean correctness of exposed against unexposed items; only strata with both count."""
+    x = _pairs(spark, sf).withColumn("exposed", F.col("grp") % 2 == 0)
+    e, n = F.when(F.col("exposed"), F.col("a_ok")), F.when(~F.col("exposed"), F.col("a_ok"))
+    u = x.groupBy("y_true").agg(F.avg(e).alias("e"), F.avg(n).alias("u")).where("e is not null and u is not null")
+    return u.select("y_true", F.round("e", 6).alias("acc_exposed"), F.round("u", 6).alias("acc_unexposed"), F.round(100 * (F.col("e") - F.col("u")), 4).alias("diff_pp"))
+
+
+@query(f"""with {RUNS}, e as (select run_id, unnest(map_entries(models)) as e from m), s as (select run_id, e.key as model, unnest(map_entries(e.value.support)) as s from e where e.value is not null)
+select run_id, model, sum(s.value)::bigint as n, arg_max(s.key, (s.value, s.key)) as largest_class, count(*) as n_classes from s where s.value is not null group by 1, 2""")
+def support_totals(spark, sf):
+    s = v.runs(spark, sf).select("run_id", F.explode("models").alias("model", "e")).select("run_id", "model", F.explode("e.support").alias("k", "n")).where("n is not null")
+    return s.groupBy("run_id", "model").agg(F.sum("n").alias("n"), F.max(F.struct("n", "k")).alias("b"), F.count(F.lit(1)).alias("n_classes")).select("run_id", "model", "n", F.col("b.k").alias("largest_class"), "n_classes")

@@ -226,3 +226,27 @@ def retained_cohort(spark, sf):
     j = v.files(spark, sf).select("source", "path").join(v.folds(spark, sf), "path", "left")
     g = j.groupBy("source").agg(F.count(F.lit(1)).alias("distributed"), F.count("fold").alias("retained"))
     return g.select("source", "distributed", "retained", (F.col("distributed") - F.col("retained")).alias("removed"), F.round(100.0 * F.col("retained") / F.col("distributed"), 4).alias("retained_pct"))
+
+
+@query(f"""with {_POOL}, b as (select path, dist, case when dist = 0 then '0' when dist <= 2 then '1-2' else '3-4' end as band, ('0x' || substr(md5('42:' || path), 1, 8))::bigint as h from rk where r = 1)
+select band, path, dist as distance, pos::int as pos from (select *, row_number() over (partition by band order by h, path) as pos from b) where pos <= 10""")
+def band_sample(spark, sf):
+    """Ten matches per distance band in a seeded order, for inspection."""
+    from pyspark.sql import Window
+
+    from ..operators.statistics import draw
+
+    near = ne.nearest(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4)
+    band = F.when(F.col("distance") == 0, "0").when(F.col("distance") <= 2, "1-2").otherwise("3-4")
+    w = Window.partitionBy("band").orderBy(draw(F.lit(42), "path"), "path")
+    return near.select(band.alias("band"), "path", "distance").withColumn("pos", F.row_number().over(w)).where("pos <= 10")
+
+
+@query(f"with {_HC}, pairs as (select a.rep as a, b.rep as b from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2) select x.source as source_a, y.source as source_b, count(*) as n, round(avg((x.class = y.class)::int), 6) as agreement from pairs join f x on x.file_id = a join f y on y.file_id = b where x.class is not null and y.class is not null group by 1, 2")
+def match_agreement(spark, sf):
+    """Share of near pairs whose classes agree, per pair of sources."""
+    files = v.files(spark, sf)
+    pairs = ne.banded_pairs(ne.hash_classes(files), 2).select("a", "b")
+    side = lambda k, s, c: files.where("class is not null").select(F.col("file_id").alias(k), F.col("source").alias(s), F.col("class").alias(c))
+    j = pairs.join(side("a", "source_a", "ca"), "a").join(side("b", "source_b", "cb"), "b")
+    return j.groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ca") == F.col("cb")).cast("int")), 6).alias("agreement"))
