@@ -23,8 +23,8 @@ from ..session import Staging
 HOT_ROWS = 200_000
 
 
-def _with_min(rows: DataFrame, key: str, mins: DataFrame, how: str, n_rows: int, hot_rows: int) -> DataFrame:
-    """rows joined with (key, m); keys held by more than ``hot_rows`` rows do not pass through a shuffle."""
+def join_by_key(rows: DataFrame, key: str, mins: DataFrame, how: str, n_rows: int, hot_rows: int) -> DataFrame:
+    """rows joined with ``mins``, one row per key; keys held by more than ``hot_rows`` rows do not pass through a shuffle."""
     hot_rows = max(hot_rows, n_rows // 10_000)
     if n_rows <= hot_rows:  # no key can be hot
         return rows.join(mins, key, how)
@@ -43,16 +43,24 @@ def star_links(rows: DataFrame, keys: Sequence[str], node: str, staging: Staging
     return links_to_root(rows, groups, keys, hot_rows)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with a stored table of groups (keys, n, ...); n is the number of rows of a group.
+
+    Groups of more than ``hot_rows`` rows are broadcast, and there can be no more than rows / hot_rows of them, so
+    their rows stay where they are; the others are joined by a shuffle that no single group can unbalance.
+    """
+    what = groups.drop("n")
+    if groups.where(F.col("n") > hot_rows).limit(1).count() == 0:
+        return rows.join(what, list(keys))
+    hot = F.broadcast(groups.where(F.col("n") > hot_rows).drop("n"))
+    cold = groups.where(F.col("n") <= hot_rows).drop("n")
+    names = F.broadcast(groups.where(F.col("n") > hot_rows).select(*keys))
+    return rows.join(hot, list(keys)).unionByName(rows.join(names, list(keys), "left_anti").join(cold, list(keys)))
+
+
 def links_to_root(rows: DataFrame, groups: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows (keys, a) joined with a stored table groups (keys, b, n); links (a, b) with a > b."""
-    roots = groups.select(*keys, "b")
-    if groups.where(F.col("n") > hot_rows).limit(1).count() == 0:
-        out = rows.join(roots, list(keys))
-    else:
-        hot = F.broadcast(groups.where(F.col("n") > hot_rows).select(*keys, "b"))
-        cold = groups.where(F.col("n") <= hot_rows).select(*keys, "b")
-        out = rows.join(hot, list(keys)).unionByName(rows.join(hot, list(keys), "left_anti").join(cold, list(keys)))
-    return out.where("a <> b").select("a", "b")
+    return with_group(rows, groups.select(*keys, "b", "n"), keys, hot_rows).where("a <> b").select("a", "b")
 
 
 def connected_components(links: DataFrame, staging: Staging, hot_rows: int = HOT_ROWS, max_rounds: int = 100) -> DataFrame:
@@ -68,11 +76,11 @@ def connected_components(links: DataFrame, staging: Staging, hot_rows: int = HOT
         if n == 0:
             break
         mins = cur.groupBy("a").agg(F.min("b").alias("m"))
-        hung = _with_min(cur, "a", mins, "inner", n, hot_rows)
+        hung = join_by_key(cur, "a", mins, "inner", n, hot_rows)
         small = mins.select("a", F.col("m").alias("b")).unionByName(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         small = staging.keep(small)
         up = small.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
-        large = _with_min(small, "b", up, "left", n, hot_rows).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = join_by_key(small, "b", up, "left", n, hot_rows).select("a", F.coalesce("m", "b").alias("b")).distinct()
         nxt = staging.keep(large)
         new_state = _fingerprint(nxt)
         staging.drop(cur, small)

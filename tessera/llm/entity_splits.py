@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import usable
 from ..session import Staging
-from .components import HOT_ROWS, connected_components
+from .components import HOT_ROWS, connected_components, join_by_key
 
 #: Cells the hash range is cut into when the shares are fitted; bounds what is sorted on one machine.
 CELLS = 4096
@@ -35,7 +35,8 @@ def record_blocks(dataset: DataFrame, staging: Staging, hot_rows: int = HOT_ROWS
     ties = recs.select(F.inline(F.array(F.struct(F.col("g").alias("a"), F.col("p").alias("b")), F.struct(F.col("g").alias("a"), F.col("g2").alias("b")), F.struct(F.col("p").alias("a"), F.col("p2").alias("b"))))).where("a is not null and b is not null and a <> b")
     blocks = connected_components(ties, staging, hot_rows)
     named = recs.select("path", F.coalesce("g", "p").alias("node"))
-    joined = named.where("node is not null").join(blocks, "node", "left").select("path", F.coalesce("component", "node").alias("block"))
+    # a block may hold a third of all records: its records are joined apart
+    joined = join_by_key(named.where("node is not null"), "node", staging.keep(blocks), "left", recs.count(), hot_rows).select("path", F.coalesce("component", "node").alias("block"))
     return joined.unionByName(named.where("node is null").select("path", F.concat(F.lit("f:"), "path").alias("block")))
 
 
@@ -45,7 +46,7 @@ def split_breaches(dataset: DataFrame, splits: DataFrame, hot_rows: int = HOT_RO
     folds = splits.where("path is not null and outer_fold is not null").groupBy("path").agg(F.min("outer_fold").alias("lo"), F.max("outer_fold").alias("hi"))
     held = staging.keep(folds.join(record_blocks(dataset, staging, hot_rows), "path", "left").select("path", F.coalesce("block", F.concat(F.lit("f:"), "path")).alias("block"), "lo", "hi"))
     torn = held.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("block")
-    return held.join(torn, "block", "left_semi").select("path")
+    return join_by_key(held, "block", staging.keep(torn), "inner", held.count(), hot_rows).select("path")
 
 
 def assign_splits(dataset: DataFrame, targets: DataFrame, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:

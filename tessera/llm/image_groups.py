@@ -14,7 +14,7 @@ from ..functions.hashing import hamming, parse_hash64
 from ..functions.missing import usable
 from ..session import Staging
 from .chosen_path import LEAF, near_pairs
-from .components import HOT_ROWS, connected_components, links_to_root, star_links
+from .components import HOT_ROWS, connected_components, links_to_root, star_links, with_group
 from .tables import current_files, hash_cols
 
 
@@ -48,23 +48,23 @@ def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: i
     return connected_components(links, staging, hot_rows).select(F.col("node").alias("file_id"), F.col("component").alias("group_id"))
 
 
-def close_classes(files: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def close_classes(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Stored (files, classes, members of classes with copies, close class pairs) for problem 2."""
     staging = Staging(files.sparkSession, "pairs")
     cur = staging.keep(current_files(files, **hash_cols()))
     classes = staging.keep(hash_classes(cur))
-    shared = classes.where("n > 1").select("p", "d", "rep")
-    members = staging.keep(cur.join(shared, ["p", "d"]).select("rep", "file_id"))
+    shared = classes.where("n > 1")
+    members = staging.keep(with_group(cur.where("p is not null and d is not null").select("p", "d", "file_id"), shared, ["p", "d"], hot_rows).select("rep", "file_id"))
     return cur, classes, members, staging.keep(near_pairs(classes, max_bits, staging, leaf))
 
 
-def close_files(files: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> DataFrame:
+def close_files(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(file_id_a, file_id_b), a < b: sha256 present and equal, or phash and dhash each within ``max_bits``.
 
     The pairs of classes come from the chosen-path join and are expanded to files; copies of one image are
     pairs too. A pair with equal sha256 is added where the hashes do not already give it.
     """
-    cur, _, members, pairs = close_classes(files, max_bits, leaf)
+    cur, _, members, pairs = close_classes(files, max_bits, leaf, hot_rows)
     ma = members.select(F.col("rep").alias("a"), F.col("file_id").alias("fa"))
     mb = members.select(F.col("rep").alias("b"), F.col("file_id").alias("fb"))
     between = pairs.select("a", "b").join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("fa", "a").alias("x"), F.coalesce("fb", "b").alias("y"))
@@ -87,7 +87,7 @@ def class_links(files: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> DataFr
     return keyed.select("file_id", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), F.coalesce("deg", F.lit(0)).cast("bigint").alias("n_close_classes"))
 
 
-def survivors(files: DataFrame, dataset: DataFrame, trust: DataFrame) -> DataFrame:
+def survivors(files: DataFrame, dataset: DataFrame, trust: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group_id, survivor_id, patient_id, mask_path): field-by-field survivorship over equal hash pairs.
 
     One aggregation over (phash, dhash): each field takes the maximum of a composite struct whose leading parts
@@ -110,7 +110,7 @@ def survivors(files: DataFrame, dataset: DataFrame, trust: DataFrame) -> DataFra
     ranks = trust.select(usable("source").alias("source"), "trust_rank").where("source is not null").groupBy("source").agg(F.min("trust_rank").alias("trust_rank"))
     ranks = F.broadcast(ranks) if trust.count() < 10_000 else ranks
     # only files that have a twin take part in the joins with other tables
-    in_group = cur.join(several.select("p", "d", "rep"), ["p", "d"])
+    in_group = with_group(cur, several, ["p", "d"], hot_rows)
     known = in_group.join(facts, "path", "left").join(ranks, "source", "left")
     rank = [
         (-F.coalesce(F.col("trust_rank"), F.lit(2_000_000_000)).cast("bigint")).alias("r1"),
