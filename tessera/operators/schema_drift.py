@@ -3,7 +3,8 @@
 A rescue-column reader in four steps, all of them projections over one parse of the payload:
 
 * *enforce*: each target column takes the value under its own name if the JSON type fits;
-* *rescue*: keys that are no column, and values whose type does not fit, stay in ``_rescued`` as JSON;
+* *rescue*: keys that are no column, and values whose type does not fit, stay in ``_rescued`` as JSON, at every
+  depth: of an object read in part its other keys, of a list the rest of each element at its place;
 * *promote*: a missing column is found under an approved name, or by its content (a models object is known by
   the fields of its entries, a comparison list by its model pairs, a label list by its strings);
 * *replay*: rescued and promoted values are converted into the typed column where a converter knows their form
@@ -270,10 +271,87 @@ def _typed_model(x: Column) -> Column:
 _COMPARISON = "struct<model_a:string,model_b:string,a_only_correct:bigint,b_only_correct:bigint,mcnemar_exact_p:double,acc_diff:double,acc_diff_ci95:array<double>,bootstrap_p:double>"
 
 
+def _unread(v: Column, read: Column) -> Column:
+    """The value unless it was read; JSON null leaves nothing."""
+    return F.when((json_kind(v) != "null") & ~F.coalesce(read, F.lit(False)), v)
+
+
+def _rest_of_object(rests: Column) -> Column:
+    """Rests by key as one object, NULL if nothing is left."""
+    return _let(F.map_filter(rests, lambda _, r: r.isNotNull()), lambda m: F.when(F.size(m) > 0, F.to_variant_object(m)))
+
+
+def _rest_of_list(rests: Column) -> Column:
+    """Rests of the elements, each at its place, NULL if nothing is left."""
+    return _let(rests, lambda a: F.when(F.exists(a, lambda r: r.isNotNull()), F.to_variant_object(a)))
+
+
+def _is_whole(v: Column) -> Column:
+    n = _number(v)
+    return n == n.cast("bigint")
+
+
+def _is_double(v: Column) -> Column:
+    return json_kind(v).isin("number", "string") & _get(v, "double").isNotNull()
+
+
+def _all_read(v: Column, read) -> Column:
+    """Whether a list has only nulls and elements that ``read`` accepts."""
+    return F.forall(_get(v, "array<variant>"), lambda x: (json_kind(x) == "null") | F.coalesce(read(x), F.lit(False)))
+
+
+def _interval_rest(v: Column) -> Column:
+    """What :func:`_interval` leaves: other keys than the bounds, and bounds or texts it can't read."""
+    other = F.regexp_replace(_get(v, "string"), r"(?:(?<![\d.])-)?\d+(?:\.\d+)?", "")
+    read = F.when(json_kind(v) == "array", _all_read(v, lambda x: _number(x).isNotNull())).when(json_kind(v) == "string", (F.size(_interval(v)) == 2) & other.rlike(r"^[\s\[\](),;:–—-]*$"))
+    bounds = F.transform_values(_fields(v), lambda k, b: _unread(b, k.isin("lo", "hi") & _is_double(b)))
+    return F.when(json_kind(v) == "object", _rest_of_object(bounds)).otherwise(_unread(v, read))
+
+
+def _model_rest(x: Column) -> Column:
+    """What :func:`_typed_model` leaves of a model entry."""
+
+    def listed(e: Column) -> Column:
+        read = F.try_variant_get(e, "$.metric", "string").isNotNull() & F.coalesce(_is_double(F.try_variant_get(e, "$.value", "variant")), F.lit(False))
+        return F.when(read, _rest_of_object(F.map_filter(_fields(e), lambda k, _: ~k.isin("metric", "value")))).otherwise(_unread(e, F.lit(False)))
+
+    by_key = lambda v, rest: F.when(json_kind(v) == "object", _rest_of_object(F.transform_values(_fields(v), lambda _, y: rest(y)))).otherwise(_unread(v, F.lit(False)))
+    loose = lambda f, k: x[f].isNull() & F.exists(x[f"flat_{f}"], lambda e: e["key"] == k)
+    number = lambda v: _unread(v, _number(v).isNotNull())
+    rests = F.transform_values(
+        x["fields"],
+        lambda k, v: F.when(k == x["point"], F.when(json_kind(v) == "array", _rest_of_list(F.transform(_get(v, "array<variant>"), listed))).otherwise(by_key(v, number)))
+        .when(k == x["ci95"], by_key(v, _interval_rest))
+        .when(k == x["confusion_matrix"], _unread(v, _all_read(v, lambda row: _all_read(row, _is_whole))))
+        .when(k == x["support"], by_key(v, lambda y: _unread(y, _is_whole(y))))
+        .when(loose("point", k), number(v))
+        .when(loose("ci95", k), _interval_rest(v))
+        .otherwise(_unread(v, F.lit(False))),
+    )
+    return _rest_of_object(rests)
+
+
+def _comparison_rest(e: Column) -> Column:
+    """What the typed column leaves of a comparison."""
+
+    def rest(k: Column, v: Column) -> Column:
+        whole = _get(v, "bigint").cast("double") == _get(v, "double")
+        read = (
+            F.when(k.isin("model_a", "model_b"), _get(v, "string").isNotNull())
+            .when(k.isin("a_only_correct", "b_only_correct"), _is_double(v) & whole)
+            .when(k.isin("mcnemar_exact_p", "acc_diff", "bootstrap_p"), _is_double(v))
+            .when(k == "acc_diff_ci95", _all_read(v, _is_double))
+        )
+        return _unread(v, read)
+
+    return F.when(json_kind(e) == "object", _rest_of_object(F.transform_values(_fields(e), rest))).otherwise(_unread(e, F.lit(False)))
+
+
 def ingest(raw: DataFrame) -> DataFrame:
     """One typed row per file in the target schema, with ``_rescued`` for all that did not find a place.
 
-    ``_rescued`` is a JSON object of the keys no column took and of values no converter could read.
+    ``_rescued`` is a JSON object of the keys no column took and of values no converter could read, also those
+    inside what a column took, under the keys they have in the document.
     """
     rows = latest(raw)
     doc, place = F.col("doc"), F.col("place")
@@ -298,9 +376,24 @@ def ingest(raw: DataFrame) -> DataFrame:
         "models": F.map_concat(F.map_from_arrays("model_keys", F.transform("models_read", _typed_model)), F.map_from_arrays("empty_keys", F.transform("empty_keys", lambda k: F.lit(None)))),
         "comparisons": _get(at["comparisons"], f"array<{_COMPARISON}>"),
     }
-    out = rows.select("file_no", "loaded_at", "payload", "doc", "place", *[v.alias(k) for k, v in typed.items()])
+    out = rows.select("file_no", "loaded_at", "payload", "doc", "place", "at", "model_keys", "models_read", *[v.alias(k) for k, v in typed.items()])
     # what a column read leaves the document; the rest stays as JSON
-    read = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), place[c]) for c in _NAMES]))
-    rest = F.map_filter(doc, lambda k, v: ~F.array_contains(read, k) & (json_kind(v) != "null"))
+    no_models = F.map_filter(_fields(at["models"]), lambda _, m: _fields(m).isNull() & (json_kind(m) != "null"))
+    inner = {
+        **{c: F.when(F.col("at")[c]["kind"] == "object", _rest_of_object(F.map_filter(_fields(at[c]), lambda k, v: (k != "kind") & (json_kind(v) != "null")))) for c in ("run_id", "config", "base_config", "split_mode", "bootstrap_unit")},
+        **{c: _unread(at[c], _is_whole(at[c])) for c in ("n_images", "n_groups")},
+        "models": _rest_of_object(F.map_concat(F.map_from_arrays("model_keys", F.transform("models_read", _model_rest)), no_models)),
+        "comparisons": _rest_of_list(F.transform(_get(at["comparisons"], "array<variant>"), _comparison_rest)),
+    }
+    left = {c: F.when(F.col(c).isNull(), at[c]).otherwise(inner[c]) if c in inner else F.when(F.col(c).isNull(), at[c]) for c in _NAMES}
+    out = _bind(out, left=F.struct(*[v.alias(k) for k, v in left.items()]))
+
+    def kept(k: Column, v: Column) -> Column:
+        of_column = F.when(k == place[_NAMES[0]], F.col("left")[_NAMES[0]])
+        for c in _NAMES[1:]:
+            of_column = of_column.when(k == place[c], F.col("left")[c])
+        return of_column.otherwise(v)
+
+    rest = F.map_filter(F.transform_values(doc, kept), lambda _, v: v.isNotNull() & (json_kind(v) != "null"))
     rescued = F.when(doc.isNull(), F.col("payload")).when(F.size(rest) > 0, F.to_json(rest))
     return out.select("file_no", "loaded_at", *_NAMES, rescued.alias("_rescued"))

@@ -54,6 +54,36 @@ def test_drift(spark):
     assert schema_drift.changes(df.where("false")).count() == 0
 
 
+def test_drift_rescues_what_is_left_inside(spark):
+    entry = {
+        "point": {"accuracy": 0.5, "brier": "n/a", "ece": None}, "accuracy": 0.6,
+        "ci95": {"accuracy": {"lo": 0, "hi": 1, "level": 0.9}, "brier": "[0.1, 0.2]", "ece": "unknown", "macro_f1": [0.1, "x"]},
+        "confusion_matrix": [[1, "many"]], "support": {"a": 1.5, "b": "1,000"}, "fit_predict_seconds": 3, "calibration": {"t": 1.2},
+    }
+    listed = {"point": [{"metric": "accuracy", "value": 0.5}, {"metric": "brier", "value": 0.1, "n": 9}, {"metric": "ece", "value": "?"}]}
+    flat = {"accuracy": 0.5, "brier": "n/a", "accuracy_ci95": {"lower": 0, "upper": 1}, "chosen_params": {"C": 1}}
+    pair = {"model_a": "x", "model_b": "y", "a_only_correct": 1.5, "acc_diff": "0.1", "acc_diff_ci95": {"lo": 0, "hi": 1}, "note": "n"}
+    doc = {"run_id": "r", "split_mode": {"kind": "grouped", "by": "patient"}, "n_images": 5.5, "n_groups": "1,000", "results": {"m": entry, "l": listed, "f": flat, "text": "t", "none": None}, "comparisons": [{"model_a": "x", "model_b": "y"}, pair, "z"], "seed": 1}
+    df = spark.createDataFrame([(1, json.dumps(doc), T0)], "file_no bigint, payload string, loaded_at timestamp")
+    row = schema_drift.ingest(df).first()
+    assert json.loads(row["_rescued"]) == {
+        "split_mode": {"by": "patient"},
+        "n_images": 5.5,
+        "results": {
+            "m": {
+                "point": {"brier": "n/a"}, "accuracy": 0.6, "ci95": {"accuracy": {"level": 0.9}, "ece": "unknown", "macro_f1": [0.1, "x"]},
+                "confusion_matrix": [[1, "many"]], "support": {"a": 1.5}, "fit_predict_seconds": 3, "calibration": {"t": 1.2},
+            },
+            "l": {"point": [None, {"n": 9}, {"metric": "ece", "value": "?"}]},
+            "f": {"brier": "n/a", "accuracy_ci95": {"lower": 0, "upper": 1}, "chosen_params": {"C": 1}},
+            "text": "t",
+        },
+        "comparisons": [None, {"a_only_correct": 1.5, "acc_diff_ci95": {"lo": 0, "hi": 1}, "note": "n"}, "z"],
+        "seed": 1,
+    }
+    assert row["split_mode"] == "grouped" and row["n_groups"] == 1000 and row["models"]["m"]["point"]["accuracy"] == 0.5 and row["models"]["m"]["support"]["b"] == 1000
+
+
 def test_nested(spark):
     kind = "id bigint, m map<string,struct<p:map<string,double>,c:array<array<int>>>>, a array<struct<x:string>>"
     df = spark.createDataFrame([(1, {"k": ({"u": 1.0, "v": None}, [[1, 2], []]), "z": None}, [("q",), None]), (2, None, []), (None, {"k": None}, None)], kind)
