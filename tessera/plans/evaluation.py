@@ -255,14 +255,19 @@ def _boot(seed: int, unit: str, *by: str) -> str:
     return f"({_w(u)})"
 
 
+#: Draws of the SQL forms only; the queries take the reference's numbers and so differ from their SQL.
 DRAWS = 100
+#: Draws of intervals and differences over cross-validated predictions (train_eval.py).
+CV_DRAWS = 2000
+#: Draws of strata, recalls and paired means of external items (eval_external.py, leakage_paired.py).
+EXTERNAL_DRAWS = 4000
 
 
 @query(_AB + f""", g as (select grp, sum(a_ok) as ok, count(*) as n from ab group by grp), dr as (select d, sum(w * ok) / sum(w * n) as acc from (select d.d, g.*, {_boot(42, 'g.grp')} as w from g, range(1, {DRAWS + 1}) d(d)) group by d)
 select round(avg(acc), 6) as mean, round(quantile_cont(acc, 0.025), 6) as lo, round(quantile_cont(acc, 0.975), 6) as hi, count(acc) as n_draws from dr""")
 def bootstrap_accuracy_ci(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", DRAWS, 42).groupBy("draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("acc"))
+    d = st.poisson_weights(g, "grp", CV_DRAWS, 42).groupBy("draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("acc"))
     return st.interval(d, "acc")
 
 
@@ -270,7 +275,7 @@ def bootstrap_accuracy_ci(spark, sf):
 select round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.025), 6) as lo, round(quantile_cont(diff, 0.975), 6) as hi, count(diff) as n_draws, round(least(1.0, 2 * least(avg((diff <= 0)::int), avg((diff >= 0)::int))), 6) as p from dr""")
 def bootstrap_paired_diff(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"a": F.col("a_ok"), "b": F.col("b_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", DRAWS, 43).groupBy("draw").agg(((F.sum(F.col("w") * F.col("a")) - F.sum(F.col("w") * F.col("b"))) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
+    d = st.poisson_weights(g, "grp", CV_DRAWS, 43).groupBy("draw").agg(((F.sum(F.col("w") * F.col("a")) - F.sum(F.col("w") * F.col("b"))) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
     return st.interval(d, "diff").join(d.agg(F.round(st.two_sided_p(F.col("diff")), 6).alias("p")))
 
 
@@ -278,7 +283,7 @@ def bootstrap_paired_diff(spark, sf):
 select y_true, round(avg(recall), 6) as mean, round(quantile_cont(recall, 0.025), 6) as lo, round(quantile_cont(recall, 0.975), 6) as hi, count(recall) as n_draws from dr group by y_true""")
 def bootstrap_recall_ci(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)}, "y_true")
-    d = st.poisson_weights(g, "grp", DRAWS, 44, "y_true").groupBy("y_true", "draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("recall"))
+    d = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 44, "y_true").groupBy("y_true", "draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("recall"))
     return st.interval(d, "recall", "y_true")
 
 
@@ -286,7 +291,7 @@ def bootstrap_recall_ci(spark, sf):
 q as (select d, avg(delta) as delta from dr group by d) select round(avg(delta), 6) as mean, round(quantile_cont(delta, 0.025), 6) as lo, round(quantile_cont(delta, 0.975), 6) as hi, count(delta) as n_draws from q""")
 def bootstrap_stratified_delta(spark, sf):
     g = st.group_sums(_pairs(spark, sf).withColumn("direct", F.col("grp") % 2 == 0), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)}, "y_true", "direct")
-    w = st.poisson_weights(g, "grp", DRAWS, 45, "y_true")
+    w = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 45, "y_true")
     part = lambda c, d: F.sum(F.when(d, F.col("w") * F.col(c)))
     yes, no = F.col("direct"), ~F.col("direct")
     per = w.groupBy("draw", "y_true").agg((F.try_divide(part("ok", yes), part("n", yes)) - F.try_divide(part("ok", no), part("n", no))).alias("delta"))
@@ -297,9 +302,9 @@ def bootstrap_stratified_delta(spark, sf):
 select round(avg(diff), 6) as mean, count(diff) as n_draws, round(least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1)), 6) as p, case when least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1)) < 2.0 / {DRAWS + 1} then '<{2 / (DRAWS + 1):.4f}' else printf('%.4f', least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1))) end as p_text from dr""")
 def bootstrap_cluster(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"d0": F.col("a_ok") - F.col("b_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", DRAWS, 46).groupBy("draw").agg((F.sum(F.col("w") * F.col("d0")) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
+    d = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 46).groupBy("draw").agg((F.sum(F.col("w") * F.col("d0")) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
     out = d.agg(F.round(F.avg("diff"), 6).alias("mean"), F.count("diff").alias("n_draws"), st.two_sided_p_plus(F.col("diff")).alias("q"))
-    return out.select("mean", "n_draws", F.round("q", 6).alias("p"), st.format_p(F.col("q"), DRAWS, True).alias("p_text"))
+    return out.select("mean", "n_draws", F.round("q", 6).alias("p"), st.format_p(F.col("q"), EXTERNAL_DRAWS, True).alias("p_text"))
 
 
 @query(f"with {CURATED}, b as (select label, bytes, path, median(bytes) over (partition by label) as med from c where bytes > 0 and label is not null) select label, path, med from (select *, row_number() over (partition by label order by abs(bytes - med), path) as r from b) where r = 1")

@@ -1,11 +1,13 @@
 """Core operators on small frames, and the registry against the smallest data."""
 
 import datetime as dt
+import hashlib
 import json
 import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tessera.functions import text as tx
 from tessera.functions.hashing import parse_hash64
 from tessera.functions.missing import usable
 from tessera.operators import claims, evaluation, graph, images, nested, schema_drift, splitting, statistics
+from tessera.plans import evaluation as plans
 from tessera.sources import readers
 from tessera.streaming import current
 
@@ -139,6 +142,33 @@ def test_metrics(spark):
     assert evaluation.risk_coverage(d, "item").first()["aurc"] == pytest.approx(curve / len(order), abs=1e-6)
 
 
+def test_bootstrap_has_the_draws_of_the_reference(spark, monkeypatch):
+    data = [(g, "AB"[g % 3 == 0], int(g % 5 > 0), int(g % 4 > 0)) for g in range(24) for _ in range(1 + g % 3)]
+    monkeypatch.setattr(plans, "_pairs", lambda *_: spark.createDataFrame(data, "grp bigint, y_true string, a_ok int, b_ok int"))
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(7)]
+    weight = lambda *key: sum(int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32 >= c for c in cdf)
+
+    def brute(draws, seed, value):
+        out = []
+        for d in range(1, draws + 1):
+            w = [weight(seed, d, r[0]) for r in data]
+            out.append(sum(x * value(r) for x, r in zip(w, data)) / sum(w))
+        return np.array(out)
+
+    acc = brute(2000, 42, lambda r: r[2])
+    got = entry.queries()["bootstrap_accuracy_ci"](spark, "").first()
+    assert got["n_draws"] == 2000 and [got["mean"], got["lo"], got["hi"]] == pytest.approx([acc.mean(), *np.percentile(acc, [2.5, 97.5])], abs=2e-6)
+    diff = brute(2000, 43, lambda r: r[2] - r[3])
+    got = entry.queries()["bootstrap_paired_diff"](spark, "").first()
+    assert got["n_draws"] == 2000 and got["p"] == pytest.approx(min(1, 2 * min((diff <= 0).mean(), (diff >= 0).mean())), abs=2e-3)
+    diff = brute(4000, 46, lambda r: r[2] - r[3])
+    got = entry.queries()["bootstrap_cluster"](spark, "").first()
+    assert got["n_draws"] == 4000 and got["p"] == pytest.approx(min(1, 2 * (min((diff <= 0).sum(), (diff >= 0).sum()) + 1) / 4001), abs=2e-3)
+    # a draw that picks no unit of a class has no recall and is skipped
+    assert all(3980 <= r["n_draws"] <= 4000 for r in entry.queries()["bootstrap_recall_ci"](spark, "").collect())
+    assert 3980 <= entry.queries()["bootstrap_stratified_delta"](spark, "").first()["n_draws"] <= 4000
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
