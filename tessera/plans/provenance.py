@@ -139,6 +139,11 @@ def _ext(spark, sf):
     return m.where("p is not null and d is not null").groupBy("path").agg(F.min("p").alias("p"), F.min("d").alias("d"))
 
 
+def _members(files, classes, *cols):
+    """(rep, *cols, n): what the files of each hash class have in these columns, and how many of them."""
+    return files.join(classes.select("p", "d", "rep"), ["p", "d"]).groupBy("rep", *cols).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {_POOL} select path, rep as match_id, dist as distance from rk where r = 1")
 def nearest_neighbour(spark, sf):
     return ne.nearest(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4).select("path", "match_id", "distance")
@@ -152,8 +157,11 @@ def best_two_match(spark, sf):
 @query(f"""with {_POOL} select scope, count(distinct q.path) as n_items, count(distinct n.path) as n_matched, min(n.dist) as min_distance from (values ('trained'), ('sources'), ('composite')) s(scope) cross join (select distinct path from q) q
 left join (select k.path, k.dist, unnest(case when f.source = 'slicebank' then ['trained', 'composite'] when f.source like 'mirror%' then ['sources', 'composite'] else ['composite'] end) as sc from near k join f on f.file_id = k.rep) n on n.path = q.path and n.sc = s.scope group by scope""")
 def scopes_overlap_report(spark, sf):
+    """Matches per scope; a match counts for every source that holds a copy with its hashes (the SQL takes its smallest file's only)."""
     files = v.files(spark, sf)
-    near = ne.within(_ext(spark, sf), "path", ne.hash_classes(files), 4).join(files.select(F.col("file_id").alias("match_id"), "source"), "match_id")
+    classes = ne.hash_classes(files)
+    held = _members(files, classes, "source").select(F.col("rep").alias("match_id"), "source")
+    near = ne.within(_ext(spark, sf), "path", classes, 4).join(held, "match_id")
     scopes = F.when(F.col("source") == "slicebank", F.array(F.lit("trained"), F.lit("composite"))).when(F.col("source").startswith("mirror"), F.array(F.lit("sources"), F.lit("composite"))).otherwise(F.array(F.lit("composite")))
     n_items = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").agg(F.countDistinct("path").alias("n_items"))
     hit = near.select("path", "distance", F.explode(scopes).alias("scope")).groupBy("scope").agg(F.countDistinct("path").alias("n_matched"), F.min("distance").alias("min_distance"))
@@ -244,9 +252,16 @@ def band_sample(spark, sf):
 
 @query(f"with {_HC}, pairs as (select a.rep as a, b.rep as b from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2) select x.source as source_a, y.source as source_b, count(*) as n, round(avg((x.class = y.class)::int), 6) as agreement from pairs join f x on x.file_id = a join f y on y.file_id = b where x.class is not null and y.class is not null group by 1, 2")
 def match_agreement(spark, sf):
-    """Share of near pairs whose classes agree, per pair of sources."""
+    """Share of near pairs of files whose classes agree, per pair of sources.
+
+    All files of two near hash classes are pairs (the SQL takes the smallest file of each only); source_a is on the
+    side of the class with the smaller file_id. Files with equal hashes are no near pair.
+    """
     files = v.files(spark, sf)
-    pairs = ne.banded_pairs(ne.hash_classes(files), 2).select("a", "b")
-    side = lambda k, s, c: files.where("class is not null").select(F.col("file_id").alias(k), F.col("source").alias(s), F.col("class").alias(c))
-    j = pairs.join(side("a", "source_a", "ca"), "a").join(side("b", "source_b", "cb"), "b")
-    return j.groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ca") == F.col("cb")).cast("int")), 6).alias("agreement"))
+    classes = ne.hash_classes(files)
+    pairs = ne.banded_pairs(classes, 2).select("a", "b")
+    held = _members(files.where("class is not null"), classes, "source", "class")
+    side = lambda k, s, c, n: held.select(F.col("rep").alias(k), F.col("source").alias(s), F.col("class").alias(c), F.col("n").alias(n))
+    j = pairs.join(side("a", "source_a", "ca", "na"), "a").join(side("b", "source_b", "cb", "nb"), "b")
+    n, same = F.col("na") * F.col("nb"), F.col("ca") == F.col("cb")
+    return j.groupBy("source_a", "source_b").agg(F.sum(n).alias("n"), F.round(F.sum(F.when(same, n).otherwise(0)) / F.sum(n), 6).alias("agreement"))

@@ -169,6 +169,16 @@ def test_bootstrap_has_the_draws_of_the_reference(spark, monkeypatch):
     assert 3980 <= entry.queries()["bootstrap_stratified_delta"](spark, "").first()["n_draws"] <= 4000
 
 
+def test_matches_count_for_all_sources_of_a_copy(spark, tmp_path):
+    files = [(1, "mirror1", "x", "00", "00"), (2, "slicebank", "y", "00", "00"), (3, "mirror2", "x", "01", "00"), (4, "mirror2", "y", "01", "00"), (5, "slicebank", "x", "ffff", "00")]
+    row = "file_id bigint, source string, class string, phash string, dhash string, path string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, indexed_at timestamp, loaded_at timestamp"
+    spark.createDataFrame([(*f, f"/{f[0]}", "train", 1, 1, "L", 1, None, T0, T0) for f in files], row).write.parquet(f"{tmp_path}/files_index.parquet")
+    spark.createDataFrame([("e1", "00", "00"), ("e2", "ffffffff", "ffffffff")], "path string, phash string, dhash string").write.parquet(f"{tmp_path}/bdneuro_v7_manifest.parquet")
+    q = entry.queries()
+    assert rows(q["scopes_overlap_report"](spark, str(tmp_path))) == [("composite", 2, 1, 0), ("sources", 2, 1, 0), ("trained", 2, 1, 0)]
+    assert rows(q["match_agreement"](spark, str(tmp_path))) == [("mirror1", "mirror2", 2, 0.5), ("slicebank", "mirror2", 2, 0.5)]
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
