@@ -78,13 +78,31 @@ def close_files(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows:
     return ordered.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
 
 
-def class_links(files: DataFrame, max_bits: int = 4, leaf: int = LEAF) -> DataFrame:
-    """(file_id, class_id, class_size, n_close_classes): one row per file instead of all pairs."""
-    cur, classes, _, pairs = close_classes(files, max_bits, leaf)
-    degree = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("deg"))
-    sized = classes.join(degree, "rep", "left")
-    keyed = cur.where("p is not null and d is not null").join(sized, ["p", "d"])
-    return keyed.select("file_id", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), F.coalesce("deg", F.lit(0)).cast("bigint").alias("n_close_classes"))
+def class_links(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(file_id, class_id, class_size, n_close_classes, sha_id, sha_size, n_sha_classes): one row per file instead of all pairs.
+
+    ``class_id`` is the smallest file with both hashes, NULL where one is absent; ``sha_id`` the smallest file with the
+    sha256, NULL where it is absent. ``n_sha_classes`` counts the other classes with the same sha256 that the hashes
+    do not link; for it a file without both hashes is a class of its own.
+    """
+    cur, classes, _, pairs = close_classes(files, max_bits, leaf, hot_rows)
+    staging = Staging(files.sparkSession, "class_links")
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("deg"))
+    sized = classes.join(degree, "rep", "left").select("p", "d", "rep", F.col("n").alias("class_size"), F.coalesce("deg", F.lit(0)).cast("bigint").alias("n_close_classes"))
+    hashed = cur.where("p is not null and d is not null").join(sized, ["p", "d"]).select("file_id", "s", "rep", "class_size", "n_close_classes", F.col("rep").alias("unit"))
+    loose = cur.where("p is null or d is null").select("file_id", "s", F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_close_classes"), F.col("file_id").alias("unit"))
+    every = staging.keep(hashed.unionByName(loose))
+    units = staging.keep(every.where("s is not null").groupBy("s", "unit").agg(F.min("file_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    shas = staging.keep(units.groupBy("s").agg(F.min("first").alias("sha_id"), F.sum("n").alias("n"), F.sum("n").alias("sha_size"), F.count(F.lit(1)).alias("n_units")))
+    # only close pairs are looked up in the units, so a sha256 of many units is never squared
+    held = units.select("s", "unit")
+    near = both.join(held, both["rep"] == held["unit"]).select("unit", "other", "s").join(held.select("s", F.col("unit").alias("other")), ["s", "other"], "left_semi")
+    linked = near.groupBy("s", "unit").agg(F.count(F.lit(1)).alias("linked"))
+    signed = with_group(every.where("s is not null"), shas, ["s"], hot_rows).join(linked, ["s", "unit"], "left")
+    keys = ["file_id", F.col("rep").alias("class_id"), "class_size", "n_close_classes"]
+    unsigned = every.where("s is null").select(*keys, F.lit(None).cast("bigint").alias("sha_id"), F.lit(None).cast("bigint").alias("sha_size"), F.lit(0).cast("bigint").alias("n_sha_classes"))
+    return signed.select(*keys, "sha_id", "sha_size", (F.col("n_units") - 1 - F.coalesce("linked", F.lit(0))).alias("n_sha_classes")).unionByName(unsigned)
 
 
 def survivors(files: DataFrame, dataset: DataFrame, trust: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -192,3 +192,29 @@ def test_empty_tables(spark, files, dataset):
     assert image_groups.survivors(f, d, trust).count() == 0
     assert split_overlap.overlaps(m, f).count() == 0
     assert entity_splits.split_breaches(d, spark.createDataFrame([], "path string, outer_fold int")).count() == 0
+
+
+def test_class_links_count_every_file_and_equal_digests(spark):
+    data = [*make_files(150, seed=5), *[(900 + i, f"/b/{i}.png", "s1", "c", "train", 1, 1, "L", 1, sha, None, "00", T0, T0, 7, 8) for i, sha in enumerate(["ab" * 32, "AB" * 32, None])]]
+    newest = {}
+    for r in data:
+        if r[0] not in newest or r[12] > newest[r[0]][12]:
+            newest[r[0]] = r
+    units, digest = {}, {}
+    for i, r in newest.items():
+        p, d = parse(r[10]), parse(r[11])
+        units[i] = (p, d) if p is not None and d is not None else i
+        digest[i] = r[9].lower() if r[9] else None
+    close = lambda x, y: not isinstance(x, int) and not isinstance(y, int) and all(bin(a ^ b).count("1") <= 4 for a, b in zip(x, y))
+    want = {}
+    for i, u in units.items():
+        same = [j for j in units if units[j] == u] if not isinstance(u, int) else []
+        signed = [j for j in units if digest[i] and digest[j] == digest[i]]
+        others = {units[j] for j in signed} - {u}
+        near = {x for x in units.values() if x != u and close(x, u)}
+        want[i] = (min(same, default=None), len(same) or None, len(near), min(signed, default=None), len(signed) or None, len(others - near))
+    df = spark.createDataFrame(data, FILES)
+    assert sum(w[5] > 0 for w in want.values()) > 2 and want[900][5] == want[901][5] == 1
+    for hot in (components.HOT_ROWS, 1):
+        assert {r[0]: tuple(r[1:]) for r in image_groups.class_links(df, hot_rows=hot).collect()} == want
+    assert image_groups.class_links(df.where("false")).count() == 0
