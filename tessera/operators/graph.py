@@ -35,7 +35,7 @@ def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: st
     """(item, grp): items merged along edges in (a, b) order, entities first, refusing to join two known entities.
 
     Items of one entity are merged unconditionally. A similarity edge is refused if both sides carry entities and
-    share none. Merges never leave a component of all edges together, so each is settled on its own, in the order
+    share none; an item with several rows carries the entities of all. Merges never leave a component of all edges together, so each is settled on its own, in the order
     of its edges; the group is named by its smallest item. Items without edges are groups of their own.
     """
     nodes = items.select(F.col(item).alias("node"), F.col(entity).alias("entity"))
@@ -45,9 +45,9 @@ def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: st
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(1).alias("kind")).unionByName(ties)
     staging = Staging(items.sparkSession, "constrained")
     comp = staging.keep(components(links.select("a", "b"), staging))
-    entity_of = F.min("entity").alias("entity")
+    entity_of = F.collect_set("entity").alias("entity")
     rows = comp.join(nodes.groupBy("node").agg(entity_of), "node", "left").select("component", F.lit(-1).alias("kind"), F.col("node").alias("b"), F.col("node").alias("a"), "entity")
-    placed = links.join(comp, links["a"] == comp["node"]).select("component", "kind", "b", "a", F.lit(None).cast("string").alias("entity"))
+    placed = links.join(comp, links["a"] == comp["node"]).select("component", "kind", "b", "a", F.lit(None).cast(f"array<{items.schema[entity].dataType.simpleString()}>").alias("entity"))
     kind = items.schema[item].dataType.simpleString()
 
     def settle(pdf):
@@ -57,7 +57,7 @@ def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: st
         held: dict = {}
         for r in pdf[pdf["kind"] == -1].itertuples():
             parent[r.a] = r.a
-            held[r.a] = set() if r.entity is None or r.entity != r.entity else {r.entity}
+            held[r.a] = set() if r.entity is None else set(r.entity)
 
         def find(x):
             while parent[x] != x:

@@ -11,6 +11,7 @@ from ..operators import images as im
 from ..operators import models as mo
 from ..operators import neighbours as ne
 from ..operators import statistics as st
+from ..session import Staging
 from ..sources import views as v
 from ..sources.tables import table as t
 from .base_sql import FILES, LABELLED, RUNS
@@ -52,11 +53,29 @@ def cluster_independence(spark, sf):
 
 @query()
 def constrained_groups(spark, sf):
+    """(file_id, group_rep): one row per file with hashes or a patient; near files of different known patients stay apart.
+
+    Nodes are the files of one patient with equal hashes; copies and near files are edges that can be refused. Where a
+    path names several patients, its file stands in a node that holds them all.
+    """
     files = v.files(spark, sf)
-    classes = ne.hash_classes(files)
-    patients = v.curated(spark, sf).where("patient is not null").groupBy("path").agg(F.min("patient").alias("patient"))
-    held = files.join(patients, "path", "left").where("p is not null and d is not null").groupBy("p", "d").agg(F.min("file_id").alias("rep"), F.min("patient").alias("patient"))
-    return gr.constrained_groups(held, ne.banded_pairs(classes, 4).select("a", "b"), "rep", "patient").select("rep", F.col("grp").alias("group_rep"))
+    patients = v.curated(spark, sf).where("patient is not null").groupBy("path").agg(F.array_sort(F.collect_set("patient")).alias("patients"))
+    held = files.select("file_id", "path", "p", "d").join(patients, "path", "left").where("(p is not null and d is not null) or patients is not null")
+    hashed = F.col("p").isNotNull() & F.col("d").isNotNull()
+    key = F.when(hashed, F.struct("p", "d"))
+    keyed = held.select("file_id", "patients", key["p"].alias("p"), key["d"].alias("d"), F.when(~hashed, F.col("file_id")).alias("alone"))
+    nodes = keyed.groupBy("p", "d", "patients", "alone").agg(F.min("file_id").alias("node"), F.collect_list("file_id").alias("members"))
+    nodes = Staging(spark, "constrained_nodes").keep(nodes)
+    classes = nodes.where("p is not null").groupBy("p", "d").agg(F.min("node").alias("rep"))
+    of_class = nodes.where("p is not null").join(classes, ["p", "d"]).select("rep", "node")
+    near = ne.banded_pairs(classes, 4).select("a", "b")
+    side = lambda k, n: of_class.select(F.col("rep").alias(k), F.col("node").alias(n))
+    # every node of a class with every other one, and with those of near classes
+    within = side("rep", "a").join(side("rep", "b"), "rep").where("a < b").select("a", "b")
+    across = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    items = nodes.select("node", F.explode_outer("patients").alias("patient"))
+    done = gr.constrained_groups(items, within.unionByName(across), "node", "patient")
+    return nodes.select("node", F.explode("members").alias("file_id")).join(done, "node").select("file_id", F.col("grp").alias("group_rep"))
 
 
 _EX = f"""with {LABELLED}, {FILES.replace("f as", "fl as")}, dev as (select fl.p, fl.d, l.fold, l.grp from l join fl using (path) where fl.p is not null and fl.d is not null),

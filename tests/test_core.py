@@ -17,6 +17,7 @@ from tessera.functions.hashing import parse_hash64
 from tessera.functions.missing import usable
 from tessera.operators import claims, evaluation, graph, images, nested, schema_drift, splitting, statistics
 from tessera.plans import evaluation as plans
+from tessera.plans import groups as plans_groups
 from tessera.sources import readers
 from tessera.streaming import current
 
@@ -105,6 +106,15 @@ def test_components_and_constraint(spark):
     assert rows(graph.constrained_groups(items, links, "id", "ent")) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
 
 
+def test_constrained_groups_keep_patients_apart(spark, monkeypatch):
+    # 1 and 2 are copies of different patients, 3 is a copy of none; 4 is the other file of patient b, 5 one without hashes
+    files = [(1, "/1", 0, 0), (2, "/2", 0, 0), (3, "/3", 0, 0), (4, "/4", -1, -1), (5, "/5", None, None), (6, "/6", None, 3), (7, "/7", 77777, 0), (8, "/8", 77776, 0)]
+    people = [("/1", "a"), ("/2", "b"), ("/4", "b"), ("/5", "b"), ("/7", "c"), ("/7", "d"), ("/8", "d")]
+    monkeypatch.setattr(plans_groups.v, "files", lambda *_: spark.createDataFrame(files, "file_id bigint, path string, p bigint, d bigint"))
+    monkeypatch.setattr(plans_groups.v, "curated", lambda *_: spark.createDataFrame(people, "path string, patient string"))
+    assert rows(entry.queries()["constrained_groups"](spark, "")) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 2), (7, 7), (8, 7)]
+
+
 def test_mcnemar_and_holm(spark):
     def exact(a, b):
         n, k = a + b, min(a, b)
