@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -34,12 +33,16 @@ def local_session(cpus: int | str = 8, app: str = "tessera", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a folder of our own is made.
+    A folder of our own is made only where the setting is missing and all executors live in this process (tests,
+    a laptop); on a cluster a machine-local folder would be read back in part, so there it is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_dir
@@ -51,6 +54,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+#: Removes the shuffle files of a finished query at once instead of when the driver next collects garbage.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Staging:
     """Tables written to the shared folder to cut lineage.
 
@@ -62,17 +69,18 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
-        if partitions is not None:
-            df = df.coalesce(partitions)
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(_CLEAN_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
         out._staged_path = path  # noqa: SLF001
         return out
 
@@ -81,8 +89,3 @@ class Staging:
             path = getattr(df, "_staged_path", None)
             if path:
                 _delete(self.spark, path)
-
-    def free(self) -> None:
-        """Let Spark clean the shuffles of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
