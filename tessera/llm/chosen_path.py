@@ -1,113 +1,202 @@
 """Chosen-path set similarity join over pairs of 64-bit hashes.
 
-A record is the set of its (hash, position, bit) tokens. A tree branches the records recursively: at each
-level a seeded minwise order ranks the bit positions not used yet and cuts them into ``k + 1`` shares, and a
-record goes down one branch per share, labelled by the tokens it holds there. Two records at most ``k`` bits
-apart disagree in at most ``k`` shares, so they meet in at least one branch of every level; the trees, one per
-share of the first level, together reach a recall of 1 for every seed. Nodes are counted before they are
-compared: small ones exhaustively, larger ones after another level of branching, up to three levels (for
-k = 4 that fixes 36 of the 128 bits; what is still together then is alike for the most part).
-
-A pair that meets in several branches is reported by the first of them alone, which is decided from the two
-records themselves, so no distinct over pairs is needed.
+A record is the set of its 128 (hash, position, bit) tokens. A tree is walked from its root: each node orders the
+positions by its own seeded hash, selects the first of them, and sends a record to the child named by the token it
+holds there. As the order depends on the node alone, two records together at a node go on together exactly where they
+hold the same token at the selected position, so two records that differ in ``2 k`` of 128 positions stay together
+through ``m`` levels with probability ``(1 - 2 k / 128) ** m``. (A position selected again further down separates
+nothing and costs nothing.)
+
+The depth is the logarithm of the number of records, so a node holds about ``leaf / 16`` unrelated ones at any scale,
+and as many independent trees are grown as it takes to lose a pair at the very limit with a probability of ``miss``
+at most; closer pairs are lost more rarely still. Nodes of up to ``leaf`` records are compared exhaustively. The
+records of larger ones are branched again, into ``BRANCHES`` subtrees each so that recall is kept; what is still
+together after ``ROUNDS`` of that is alike for the most part and is compared exhaustively too, in blocks, so that no
+task holds a whole node.
+
+Paths need no communication: they are computed for whole Arrow batches. Records are then moved to their nodes, sorted
+there, and compared run by run, so a task holds one node of ``leaf`` records at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
 from ..session import Staging
 
 #: Records a node may hold to be compared exhaustively.
-LEAF = 512
+LEAF = 1024
+#: Probability of losing a pair that differs in as many bits as allowed.
+MISS = 1e-5
+#: Levels added, subtrees grown and rounds made where a node is too large.
+LEVELS, BRANCHES, ROUNDS = 5, 3, 3
+#: Trees grown at once; bounds the disk that moved records take.
+GROUP = 8
 
+_SCHEMA = "node bigint, a bigint, b bigint, p bigint, d bigint"
+_ARROW = pa.schema([(n, pa.int64()) for n in ("node", "a", "b", "p", "d")])
+_ROWS = 200_000  # rows looked at together
+_U = np.uint64
 
-def position_shares(k: int, positions: Sequence[int], seed: str) -> list[int]:
-    """k + 1 bit masks (signed 64-bit) over ``positions`` in the seed's minwise order."""
-    order = sorted(positions, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).digest())
-    masks = []
-    for j in range(k + 1):
-        mask = sum(1 << i for i in order[j * len(order) // (k + 1) : (j + 1) * len(order) // (k + 1)])
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    return masks
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash (the finaliser of splitmix64)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-def _positions(mask: int) -> list[int]:
-    return [i for i in range(64) if (mask >> i) & 1]
 
+def descend(node: np.ndarray, p: np.ndarray, d: np.ndarray, levels: int) -> np.ndarray:
+    """The nodes reached from ``node`` by records (p, d) after some levels.
 
-def _first_common(branch: Column, differing: Column, masks: Sequence[int]) -> Column:
-    """True where ``branch`` is the first of the masks in which nothing differs."""
-    at = [differing.bitwiseAND(F.lit(m).cast("bigint")) == 0 for m in masks]
-    first = F.when(at[0], F.lit(0))
-    for i in range(1, len(masks)):
-        first = first.when(at[i], F.lit(i))
-    return first == branch
-
-
-def _branch(rows: DataFrame, value: str, masks: Sequence[int], name: str, parent: str | None) -> DataFrame:
-    """One row per branch, with node = hash(parent, branch, tokens)."""
-    made = [
-        F.struct(
-            F.xxhash64(*([F.col(parent)] if parent else []), F.lit(i), F.col(value).bitwiseAND(F.lit(m).cast("bigint"))).alias("node"),
-            F.lit(i).cast("tinyint").alias(name),
-        )
-        for i, m in enumerate(masks)
-    ]
-    keep = [c for c in rows.columns if c != "node"]
-    return rows.select(*keep, F.inline(F.array(*made))).select("node", *keep, name)
-
-
-def _compare(rows: DataFrame, k: int, levels: Sequence[tuple[str, str, Sequence[int]]]) -> DataFrame:
-    """Pairs within the nodes of ``rows``; levels: (branch column, hash, masks) of the path so far."""
-    left = rows.select("node", F.col("rep").alias("a"), F.col("p").alias("pa"), F.col("d").alias("da"), *[F.col(n) for n, _, _ in levels])
-    right = rows.select("node", F.col("rep").alias("b"), F.col("p").alias("pb"), F.col("d").alias("db")).hint("shuffle_hash")
-    near = (F.col("a") < F.col("b")) & (hamming(F.col("pa"), F.col("pb")) <= k) & (hamming(F.col("da"), F.col("db")) <= k)
-    for name, value, masks in levels:
-        near = near & _first_common(F.col(name), F.col(f"{value}a").bitwiseXOR(F.col(f"{value}b")), masks)
-    met = left.join(right, left["node"] == right["node"]).where(near)
-    return met.select("a", "b", hamming(F.col("pa"), F.col("pb")).alias("dist_p"), hamming(F.col("da"), F.col("db")).alias("dist_d"))
-
-
-def near_pairs(classes: DataFrame, k: int, staging: Staging, leaf: int = LEAF, seed: str = "cp") -> DataFrame:
-    """(a, b, dist_p, dist_d) of all classes (rep, p, d) with p and d each at most ``k`` bits apart, a < b.
-
-    ``classes`` holds distinct (p, d) with a unique rep and should be a stored table, as it is read by each
-    level. Rows with a NULL hash link to nothing; an empty table gives an empty one.
+    A node ranks position j by (j XOR its hash), so the first position is its hash itself.
+    """
+    for _ in range(levels):
+        at = mix(node + _U(0x9E3779B97F4A7C15)) & _U(127)
+        bit = (np.where(at < 64, p, d) >> (at & _U(63))) & _U(1)
+        node = mix(node ^ ((at << _U(1) | bit) + _U(1)) * _U(0xD1342543DE82EF95))
+    return node
+
+
+def plan(n: int, k: int, leaf: int, miss: float) -> tuple[int, int]:
+    """(levels, trees) for ``n`` records and at most ``k`` differing bits in each hash."""
+    levels = max(0, round(math.log2(max(n, 1) / max(1, leaf / 16))))
+    if n <= leaf or levels == 0:
+        return 0, 1
+    stay = 1 - 2 * k / 128
+    kept = (1 - (1 - stay**LEVELS) ** BRANCHES) ** ROUNDS
+    return levels, math.ceil(math.log(miss) / math.log1p(-kept * stay**levels))
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).view(_U) for n in names]
+
+
+def _table(node, a, b, p, d) -> pa.RecordBatch:
+    n = len(a)
+    cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (node, a, b, p, d)]
+    return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
+
+
+def _plant(trees: range, levels: int, seed: int):
+    """Rows (node, a, NULL, p, d) of each record in each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, p, d = _columns(batch, "rep", "p", "d")
+            for t in trees:
+                root = mix(np.full(1, (seed << 20) + t + 1, _U))[0]
+                yield _table(descend(np.full(len(rep), root, _U), p, d, levels), rep, None, p, d)
+
+    return run
+
+
+def _regrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of large nodes, sent down the subtrees of these."""
+    for batch in batches:
+        node, rep, p, d = _columns(batch, "node", "a", "p", "d")
+        for t in range(BRANCHES):
+            yield _table(descend(mix(node + _U(t + 1)), p, d, LEVELS), rep, None, p, d)
+
+
+def _close(rep, p, d, end, k: int) -> Iterator[pa.RecordBatch]:
+    """Close pairs of rows that share a node; ``end`` is where the node of a row ends."""
+    at = np.nonzero(np.arange(len(rep)) + 1 < end)[0]
+    step = 1
+    while len(at):
+        other = at + step
+        near = np.bitwise_count(d[at] ^ d[other]) <= k
+        i, j = at[near], other[near]
+        dp, dd = np.bitwise_count(p[i] ^ p[j]), np.bitwise_count(d[i] ^ d[j])
+        ok = dp <= k
+        if ok.any():
+            x, y = rep[i[ok]].view(np.int64), rep[j[ok]].view(np.int64)
+            yield _table(None, np.minimum(x, y), np.maximum(x, y), dp[ok].astype(np.int64), dd[ok].astype(np.int64))
+        step += 1
+        at = at[at + step < end[at]]
+
+
+def _compare(k: int, leaf: int | None):
+    """Close pairs within the nodes of sorted rows; records of nodes above ``leaf`` come out as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n_held, large = 0, None
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n_held, large
+            node, rep, p, d = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, _U),) * 4
+            held, n_held = [], 0
+            if not len(node):
+                return
+            starts = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1])
+            sizes = np.diff(np.concatenate([starts, [len(node)]]))
+            big = sizes > leaf if leaf is not None else np.zeros(len(sizes), bool)
+            big[0] |= large is not None and node[0] == large
+            keep = len(node)
+            if not last and not big[-1]:  # the last node may go on in the next batch
+                keep = starts[-1]
+                held, n_held = [[c[keep:] for c in (node, rep, p, d)]], len(node) - keep
+            large = node[-1] if big[-1] else None
+            rows_big = np.repeat(big, sizes)[:keep]
+            if rows_big.any():
+                yield _table(node[:keep][rows_big], rep[:keep][rows_big], None, p[:keep][rows_big], d[:keep][rows_big])
+            end = np.repeat(starts + sizes, sizes)[:keep]
+            yield from _close(rep[:keep], p[:keep], d[:keep], np.where(rows_big, 0, end), k)
+
+        for batch in batches:
+            held.append(_columns(batch, "node", "a", "p", "d"))
+            n_held += batch.num_rows
+            if n_held >= _ROWS:
+                yield from settle(False)
+        yield from settle(True)
+
+    return run
+
+
+def _in_nodes(rows: DataFrame, k: int, leaf: int | None) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(k, leaf), _SCHEMA)
+
+
+def _in_blocks(rows: DataFrame, block: int, staging: Staging) -> DataFrame:
+    """Rows of large nodes under a node per pair of blocks, in which all their pairs meet."""
+    sizes = staging.keep(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks")))
+    dealt = rows.join(sizes, "node").withColumn("i", F.pmod(F.xxhash64("a"), "n_blocks"))
+    met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+    return met.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "a", "b", "p", "d")
+
+
+def near_pairs(classes: DataFrame, k: int, staging: Staging, leaf: int = LEAF, miss: float = MISS, seed: int = 1) -> DataFrame:
+    """(a, b, dist_p, dist_d) of classes (rep, p, d) with p and d each at most ``k`` bits apart, a < b, each pair once.
+
+    A pair is lost with probability ``miss`` at most. ``classes`` holds distinct (p, d) with a unique rep and should
+    be a stored table, as it is read once per group of trees. Rows with a NULL hash link to nothing; an empty table
+    gives an empty one.
     """
     classes = classes.select("rep", "p", "d").dropna()
-    first = position_shares(k, range(64), f"{seed}-d")
-    second = position_shares(k, range(64), f"{seed}-p")
-    top = [("b1", "d", first)]
-    frontier = _branch(classes, "d", first, "b1", None)
-    counts = staging.keep(frontier.groupBy("b1", "node").count().where(F.col("count") > leaf).select("b1", "node"))
-    if counts.limit(1).count() == 0:
-        return _compare(frontier, k, top)
-    out = []
-    for tree, mask in enumerate(first):  # one at a time, so that the disk holds the shuffle of one tree
-        rows = frontier.where(F.col("b1") == tree)
-        large = counts.where(F.col("b1") == tree).select("node")
-        if large.limit(1).count() == 0:
-            out.append(staging.keep(_compare(rows, k, top)))
-            continue
-        out.append(staging.keep(_compare(rows.join(large, "node", "left_anti"), k, top)))
-        levels = [*top, ("b2", "p", second)]
-        rows = _branch(rows.join(large, "node", "left_semi"), "p", second, "b2", "node")
-        rest = position_shares(k, [i for i in range(64) if i not in set(_positions(mask))], f"{seed}-d{tree}")
-        large2 = staging.keep(rows.groupBy("node").count().where(F.col("count") > leaf).select("node"))
-        if large2.limit(1).count() == 0:
-            out.append(staging.keep(_compare(rows, k, levels)))
+    levels, trees = plan(classes.count(), k, leaf, miss)
+    made = []
+    for at in range(0, trees, GROUP):
+        planted = classes.mapInArrow(_plant(range(at, min(at + GROUP, trees)), levels, seed), _SCHEMA)
+        found = staging.keep(_in_nodes(planted, k, leaf))
+        for _ in range(ROUNDS):
+            made.append(found.where("node is null"))
+            large = found.where("node is not null")
+            if large.limit(1).count() == 0:
+                break
+            found = staging.keep(_in_nodes(large.mapInArrow(_regrow, _SCHEMA), k, leaf))
         else:
-            out.append(staging.keep(_compare(rows.join(large2, "node", "left_anti"), k, levels)))
-            deep = _branch(rows.join(large2, "node", "left_semi"), "d", rest, "b3", "node")
-            out.append(staging.keep(_compare(deep, k, [*levels, ("b3", "d", rest)])))
-        staging.free()
-    whole = out[0]
-    for part in out[1:]:
+            made.append(found.where("node is null"))
+            large = found.where("node is not null")
+            if large.limit(1).count():
+                made.append(staging.keep(_in_nodes(_in_blocks(large, max(1, leaf // 4), staging), k, None)))
+    whole = made[0]
+    for part in made[1:]:
         whole = whole.unionByName(part)
-    return whole
+    return whole.select("a", "b", F.col("p").cast("int").alias("dist_p"), F.col("d").cast("int").alias("dist_d")).distinct()

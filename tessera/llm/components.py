@@ -16,16 +16,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT_KEYS, HOT_ROWS
 from ..session import Staging
 
-#: A key with more rows than this is joined apart from the rest, against a broadcast of its own minimum.
-#: At most rows / HOT_ROWS keys can be hot, which bounds that broadcast.
-HOT_ROWS = 200_000
+#: A key with more rows than this is joined apart from the rest, against a broadcast of its own minimum. The limit
+#: rises with the table, so that no more than HOT_KEYS keys can be hot, which bounds that broadcast.
 
 
 def join_by_key(rows: DataFrame, key: str, mins: DataFrame, how: str, n_rows: int, hot_rows: int) -> DataFrame:
     """rows joined with ``mins``, one row per key; keys held by more than ``hot_rows`` rows do not pass through a shuffle."""
-    hot_rows = max(hot_rows, n_rows // 10_000)
+    hot_rows = max(hot_rows, n_rows // HOT_KEYS)
     if n_rows <= hot_rows:  # no key can be hot
         return rows.join(mins, key, how)
     hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key))
@@ -46,11 +46,13 @@ def star_links(rows: DataFrame, keys: Sequence[str], node: str, staging: Staging
 def with_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows joined with a stored table of groups (keys, n, ...); n is the number of rows of a group.
 
-    Groups of more than ``hot_rows`` rows are broadcast, and there can be no more than rows / hot_rows of them, so
-    their rows stay where they are; the others are joined by a shuffle that no single group can unbalance.
+    Groups of more than ``hot_rows`` rows are broadcast, of which there are HOT_KEYS at most as the limit rises with
+    the rows, and their rows stay where they are; the others are joined by a shuffle that no group can unbalance.
     """
+    top = groups.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
+    hot_rows = max(hot_rows, (top["total"] or 0) // HOT_KEYS)
     what = groups.drop("n")
-    if groups.where(F.col("n") > hot_rows).limit(1).count() == 0:
+    if (top["top"] or 0) <= hot_rows:
         return rows.join(what, list(keys))
     hot = F.broadcast(groups.where(F.col("n") > hot_rows).drop("n"))
     cold = groups.where(F.col("n") <= hot_rows).drop("n")

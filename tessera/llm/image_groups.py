@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming, parse_hash64
 from ..functions.missing import usable
+from ..operators.skew import HOT_ROWS, pairs_within, spread_join
 from ..session import Staging
-from .chosen_path import LEAF, near_pairs
-from .components import HOT_ROWS, connected_components, links_to_root, star_links, with_group
+from .chosen_path import LEAF, MISS, near_pairs
+from .components import connected_components, links_to_root, star_links, with_group
+from .share_join import LEAF as SHARE_LEAF
+from .share_join import close_pairs
 from .tables import current_files, hash_cols
 
 
@@ -23,7 +26,7 @@ def hash_classes(files: DataFrame) -> DataFrame:
     return files.where("p is not null and d is not null").groupBy("p", "d").agg(F.min("file_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
+def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: int = SHARE_LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(file_id, group_id): files linked by close hashes or a shared patient, however many steps apart.
 
     Files that share both hashes hang on the smallest of them, close hash pairs link those smallest files, and
@@ -32,7 +35,7 @@ def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: i
     """
     spark = files.sparkSession
     staging = Staging(spark, "groups")
-    cur = staging.keep(current_files(files, p=parse_hash64("phash"), d=parse_hash64("dhash"), path=F.col("path")))
+    cur = staging.keep(current_files(files, staging, p=parse_hash64("phash"), d=parse_hash64("dhash"), path=F.col("path")))
     classes = staging.keep(hash_classes(cur))
     copies = links_to_root(
         cur.where("p is not null and d is not null").select("p", "d", F.col("file_id").alias("a")),
@@ -40,7 +43,7 @@ def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: i
         ["p", "d"],
         hot_rows,
     )
-    close = near_pairs(classes, max_bits, staging, leaf).select("a", "b")
+    close = close_pairs(classes, max_bits, staging, leaf).select("a", "b")
     patients = dataset.select("path", usable("patient_id").alias("patient")).where("path is not null and patient is not null").distinct()
     named = staging.keep(patients.join(cur.select("path", "file_id"), "path").select("patient", "file_id"))
     same_patient = star_links(named, ["patient"], "file_id", staging, hot_rows)
@@ -48,44 +51,59 @@ def file_groups(files: DataFrame, dataset: DataFrame, max_bits: int = 2, leaf: i
     return connected_components(links, staging, hot_rows).select(F.col("node").alias("file_id"), F.col("component").alias("group_id"))
 
 
-def close_classes(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def close_classes(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS, miss: float = MISS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Stored (files, classes, members of classes with copies, close class pairs) for problem 2."""
     staging = Staging(files.sparkSession, "pairs")
-    cur = staging.keep(current_files(files, **hash_cols()))
+    cur = staging.keep(current_files(files, staging, **hash_cols()))
     classes = staging.keep(hash_classes(cur))
     shared = classes.where("n > 1")
-    members = staging.keep(with_group(cur.where("p is not null and d is not null").select("p", "d", "file_id"), shared, ["p", "d"], hot_rows).select("rep", "file_id"))
-    return cur, classes, members, staging.keep(near_pairs(classes, max_bits, staging, leaf))
+    members = staging.keep(with_group(cur.where("p is not null and d is not null").select("p", "d", "file_id"), shared.select("p", "d", "rep", F.col("n").alias("size"), "n"), ["p", "d"], hot_rows).select("rep", "file_id", "size"))
+    return cur, classes, members, staging.keep(near_pairs(classes, max_bits, staging, leaf, miss))
 
 
-def close_files(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
+def class_pairs(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, miss: float = MISS) -> DataFrame:
+    """(class_a, class_b, dist_p, dist_d), a < b: close pairs of hash classes, each named by its smallest file.
+
+    With the membership of :func:`class_links` they hold every link by hashes without expanding copies into pairs.
+    """
+    return close_classes(files, max_bits, leaf, miss=miss)[3].select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "dist_p", "dist_d")
+
+
+def close_files(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS, miss: float = MISS) -> DataFrame:
     """(file_id_a, file_id_b), a < b: sha256 present and equal, or phash and dhash each within ``max_bits``.
 
     The pairs of classes come from the chosen-path join and are expanded to files; copies of one image are
-    pairs too. A pair with equal sha256 is added where the hashes do not already give it.
+    pairs too. A pair with equal sha256 is added where the hashes do not already give it. Classes and digests of
+    very many files are expanded block by block.
     """
-    cur, _, members, pairs = close_classes(files, max_bits, leaf, hot_rows)
-    ma = members.select(F.col("rep").alias("a"), F.col("file_id").alias("fa"))
-    mb = members.select(F.col("rep").alias("b"), F.col("file_id").alias("fb"))
-    between = pairs.select("a", "b").join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("fa", "a").alias("x"), F.coalesce("fb", "b").alias("y"))
-    within = ma.join(mb, (ma["a"] == mb["b"]) & (ma["fa"] < mb["fb"])).select(F.col("fa").alias("x"), F.col("fb").alias("y"))
+    cur, _, members, pairs = close_classes(files, max_bits, leaf, hot_rows, miss)
+    staging = Staging(files.sparkSession, "close_files")
+    sizes = staging.keep(members.groupBy("rep").agg(F.first("size").alias("n")))
+    of = lambda c, f: members.select(F.col("rep").alias(c), F.col("file_id").alias(f))
+    named = lambda c: sizes.select(F.col("rep").alias(c), "n")
+    # a class of many copies comes back once per close class: its copies are dealt over tasks
+    half = spread_join(of("a", "fa"), pairs.select("a", "b"), ["a"], named("a"), ["fa"], "right", hot_rows).select(F.coalesce("fa", "a").alias("x"), "b")
+    between = spread_join(of("b", "fb"), half, ["b"], named("b"), ["fb"], "right", hot_rows).select("x", F.coalesce("fb", "b").alias("y"))
+    within = pairs_within(members.select("rep", "file_id", F.col("size").alias("n")), "rep", "file_id").select(F.col("a").alias("x"), F.col("b").alias("y"))
     signed = cur.where("s is not null")
-    left = signed.select("s", F.col("file_id").alias("x"), F.col("p").alias("pa"), F.col("d").alias("da"))
-    right = signed.select("s", F.col("file_id").alias("y"), F.col("p").alias("pb"), F.col("d").alias("db"))
-    by_hash = (hamming(F.col("pa"), F.col("pb")) <= max_bits) & (hamming(F.col("da"), F.col("db")) <= max_bits)
-    same = left.join(right.hint("shuffle_hash"), (left["s"] == right["s"]) & (F.col("x") < F.col("y"))).where(~F.coalesce(by_hash, F.lit(False))).select("x", "y")
+    digests = staging.keep(signed.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s", F.col("n").alias("size"), "n"))
+    held = staging.keep(with_group(signed, digests, ["s"], hot_rows))
+    met = pairs_within(held.select("s", F.struct("file_id", "p", "d").alias("f"), F.col("size").alias("n")), "s", "f").select("a", "b")
+    by_hash = (hamming(F.col("a.p"), F.col("b.p")) <= max_bits) & (hamming(F.col("a.d"), F.col("b.d")) <= max_bits)
+    same = met.where(~F.coalesce(by_hash, F.lit(False))).select(F.col("a.file_id").alias("x"), F.col("b.file_id").alias("y"))
     ordered = between.unionByName(within).unionByName(same)
     return ordered.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
 
 
-def class_links(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS) -> DataFrame:
+def class_links(files: DataFrame, max_bits: int = 4, leaf: int = LEAF, hot_rows: int = HOT_ROWS, miss: float = MISS) -> DataFrame:
     """(file_id, class_id, class_size, n_close_classes, sha_id, sha_size, n_sha_classes): one row per file instead of all pairs.
 
     ``class_id`` is the smallest file with both hashes, NULL where one is absent; ``sha_id`` the smallest file with the
     sha256, NULL where it is absent. ``n_sha_classes`` counts the other classes with the same sha256 that the hashes
-    do not link; for it a file without both hashes is a class of its own.
+    do not link; for it a file without both hashes is a class of its own. The pairs counted are those of
+    :func:`class_pairs`; files of one ``sha_id`` are all linked with each other.
     """
-    cur, classes, _, pairs = close_classes(files, max_bits, leaf, hot_rows)
+    cur, classes, _, pairs = close_classes(files, max_bits, leaf, hot_rows, miss)
     staging = Staging(files.sparkSession, "class_links")
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("deg"))
@@ -116,7 +134,7 @@ def survivors(files: DataFrame, dataset: DataFrame, trust: DataFrame, hot_rows:
     """
     staging = Staging(files.sparkSession, "survivors")
     cur = staging.keep(
-        current_files(files, p=parse_hash64("phash"), d=parse_hash64("dhash"), path=F.col("path"), source=usable("source"), bytes=F.col("bytes"), at=F.col("indexed_at")).where("p is not null and d is not null")
+        current_files(files, staging, p=parse_hash64("phash"), d=parse_hash64("dhash"), path=F.col("path"), source=usable("source"), bytes=F.col("bytes"), at=F.col("indexed_at")).where("p is not null and d is not null")
     )
     several = staging.keep(hash_classes(cur).where("n > 1"))
     facts = (

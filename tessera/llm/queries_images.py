@@ -20,6 +20,10 @@ def p2_class_links(spark, sf):
     return image_groups.class_links(_t(spark, sf, "files_index"))
 
 
+def p2_class_pairs(spark, sf):
+    return image_groups.class_pairs(_t(spark, sf, "files_index"))
+
+
 def p3_found(spark, sf):
     return split_overlap.overlaps(_t(spark, sf, "bdneuro_v7_manifest"), _t(spark, sf, "files_index")).select("eval_path", "train_path")
 
@@ -51,7 +55,7 @@ def _all():
     return Window.partitionBy()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_class_links, p3_found, p3_counts, p5_found, p6_found, p6_splits, p6_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_class_links, p2_class_pairs, p3_found, p3_counts, p5_found, p6_found, p6_splits, p6_shares)}
 
 _HASH = "case when regexp_matches(lower({c}), '^\\s*(0x)?0*[0-9a-f]{{1,16}}\\s*$') then ('0x' || lpad(regexp_extract(lower({c}), '^\\s*(?:0x)?0*([0-9a-f]{{1,16}})\\s*$', 1), 16, '0'))::ubigint end"
 _CUR = f"""cur as (
@@ -83,6 +87,16 @@ select node as file_id, min(seen) as group_id from reach group by node""",
     "p2_found": f"""with {_CUR} select a.file_id as file_id_a, b.file_id as file_id_b from cur a join cur b on a.file_id < b.file_id
  and (bit_count(xor(a.p, b.p)) <= 4 and bit_count(xor(a.d, b.d)) <= 4)
 union select a.file_id, b.file_id from cur a join cur b on a.file_id < b.file_id and a.s = b.s""",
+    "p2_class_pairs": f"""with {_CUR}, hc as (select p, d, min(file_id) as rep from cur where p is not null and d is not null group by 1, 2)
+select a.rep as class_a, b.rep as class_b, bit_count(xor(a.p, b.p))::int as dist_p, bit_count(xor(a.d, b.d))::int as dist_d from hc a join hc b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 4 and bit_count(xor(a.d, b.d)) <= 4""",
+    "p2_class_links": f"""with {_CUR}, hc as (select p, d, min(file_id) as rep, count(*) as n from cur where p is not null and d is not null group by 1, 2),
+near as (select a.rep as a, b.rep as b from hc a join hc b on a.rep <> b.rep and bit_count(xor(a.p, b.p)) <= 4 and bit_count(xor(a.d, b.d)) <= 4),
+every as (select c.file_id, c.s, h.rep, h.n, coalesce(h.rep, c.file_id) as unit, coalesce(g.deg, 0) as deg from cur c left join hc h using (p, d) left join (select a, count(*) as deg from near group by a) g on g.a = h.rep),
+u as (select s, unit, min(file_id) as first, count(*) as n from every where s is not null group by 1, 2),
+sh as (select s, min(first) as sha_id, sum(n)::bigint as sha_size, count(*) as n_units from u group by s),
+lk as (select x.s, x.unit, count(*) as linked from u x join near on near.a = x.unit join u y on y.s = x.s and y.unit = near.b group by 1, 2)
+select e.file_id, e.rep as class_id, e.n as class_size, e.deg as n_close_classes, sh.sha_id, sh.sha_size, coalesce(sh.n_units - 1 - coalesce(lk.linked, 0), 0) as n_sha_classes
+from every e left join sh using (s) left join lk on lk.s = e.s and lk.unit = e.unit""",
     "p6_found": f"""with recursive recs as (select distinct path, 'g:' || nullif(trim(lower(group_id)), '') as g,
     case when lower(trim(patient_id)) not in {_NONE} then 'p:' || lower(trim(patient_id)) end as p from dataset where path is not null),
 sym as (select distinct g as a, p as b from recs where g is not null and p is not null union select distinct p, g from recs where g is not null and p is not null), {_CLOSURE},

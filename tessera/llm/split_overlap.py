@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import compact_digest, hamming, parse_hash64
+from ..operators.skew import HOT_ROWS, spread_join
 from ..session import Staging
 from .tables import current_files, hash_cols
 
@@ -72,9 +73,8 @@ def segment_join(evaluation: DataFrame, training: DataFrame, k: int) -> DataFram
     """
     ev = _keys(evaluation.select("p", "d"), [(i, s, n) for i, (s, n) in enumerate(segments(k))]).select("key", F.col("p").alias("pe"), F.col("d").alias("de"))
     tr = _keys(training.select("p", "d"), positions(k)).select("key", F.col("p").alias("pt"), F.col("d").alias("dt"))
-    met = tr.join(ev.hint("shuffle_hash"), "key").select("pe", "de", "pt", "dt").distinct()
     within = lambda a, b: F.levenshtein(binary_text(F.col(a)), binary_text(F.col(b)), k) >= 0
-    return met.where(within("pe", "pt") & within("de", "dt"))
+    return tr.join(ev, "key").select("pe", "de", "pt", "dt").where(within("pe", "pt") & within("de", "dt")).distinct()
 
 
 def sides(manifest: DataFrame, files: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
@@ -83,20 +83,29 @@ def sides(manifest: DataFrame, files: DataFrame, staging: Staging) -> tuple[Data
     ev = manifest.where("path is not null").select("path", split.alias("split"), parse_hash64("phash").alias("p"), parse_hash64("dhash").alias("d"), compact_digest("sha256").alias("s"))
     ev = staging.keep(ev.where("split is not null").distinct())
     in_train = F.lower(F.trim("orig_split")) == "train"
-    tr = current_files(files, path=F.col("path"), train=in_train, source=F.lower(F.trim("source")), **hash_cols())
+    tr = current_files(files, staging, path=F.col("path"), train=in_train, source=F.lower(F.trim("source")), **hash_cols())
     return ev, staging.keep(tr.where("train and path is not null").drop("train", "file_id"))
 
 
-def overlaps(manifest: DataFrame, files: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(eval_path, train_path, split, source, exact): every overlap once; exact where the sha256 are equal."""
+def overlaps(manifest: DataFrame, files: DataFrame, max_bits: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(eval_path, train_path, split, source, exact): every overlap once; exact where the sha256 are equal.
+
+    Hash pairs are matched once per distinct pair; the files that hold one are added afterwards, those of very common
+    pairs or digests dealt over tasks.
+    """
     staging = Staging(files.sparkSession, "overlap")
     ev, tr = sides(manifest, files, staging)
-    near = segment_join(ev.select("p", "d").dropna().distinct(), tr.select("p", "d").dropna().distinct(), max_bits)
+    pairs = lambda rows, a, b: rows.where("p is not null and d is not null").groupBy(F.col("p").alias(a), F.col("d").alias(b)).agg(F.count(F.lit(1)).alias("n"))
+    ep, tp = staging.keep(pairs(ev, "pe", "de")), staging.keep(pairs(tr, "pt", "dt"))
+    near = segment_join(ep.select(F.col("pe").alias("p"), F.col("de").alias("d")), tp.select(F.col("pt").alias("p"), F.col("dt").alias("d")), max_bits)
     near = staging.keep(near.where((hamming(F.col("pe"), F.col("pt")) <= max_bits) & (hamming(F.col("de"), F.col("dt")) <= max_bits)))
     e = ev.select(F.col("path").alias("eval_path"), "split", F.col("p").alias("pe"), F.col("d").alias("de"), F.col("s").alias("se"))
     t = tr.select(F.col("path").alias("train_path"), "source", F.col("p").alias("pt"), F.col("d").alias("dt"), F.col("s").alias("st"))
-    by_hash = near.join(e, ["pe", "de"]).join(t, ["pt", "dt"])
-    by_sha = e.where("se is not null").join(t.where("st is not null"), F.col("se") == F.col("st"))
+    of_eval = spread_join(e, near, ["pe", "de"], ep, ["eval_path"], hot_rows=hot_rows)
+    by_hash = spread_join(t, of_eval, ["pt", "dt"], tp, ["train_path"], hot_rows=hot_rows)
+    signed = t.where("st is not null")
+    digests = staging.keep(signed.groupBy("st").agg(F.count(F.lit(1)).alias("n")))
+    by_sha = spread_join(signed, e.where("se is not null").withColumn("st", F.col("se")), ["st"], digests, ["train_path"], hot_rows=hot_rows)
     cols = ["eval_path", "train_path", "split", "source", F.coalesce(F.col("se") == F.col("st"), F.lit(False)).alias("exact")]
     found = by_hash.select(*cols).unionByName(by_sha.select(*cols))
     return found.groupBy("eval_path", "train_path").agg(F.max("split").alias("split"), F.max("source").alias("source"), F.bool_or("exact").alias("exact"))

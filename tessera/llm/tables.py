@@ -3,32 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.hashing import compact_digest, parse_hash64
+from ..session import Staging
+from ..sources.current import latest_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def current_files(files: DataFrame, **cols: Column) -> DataFrame:
+def current_files(files: DataFrame, staging: Staging, **cols: Column) -> DataFrame:
     """One row per file_id: that of its greatest indexed_at, with ``cols`` computed from it.
 
-    The columns are computed before the shuffle, so only what a caller needs is moved. Rows without a
-    file_id are left out. Equal rows collapse; should readings of one time differ, the later loaded_at
-    and then the greatest values win, so the result does not depend on row order.
+    Rows without a file_id are left out. Equal rows collapse; should readings of one time differ, the later
+    loaded_at and then the greatest values win, so the result does not depend on row order.
     """
-    src = files.where(F.col("file_id").isNotNull())
-    picked = src.select(
-        "file_id",
-        F.struct(
-            F.col("indexed_at"),
-            F.col("loaded_at") if "loaded_at" in files.columns else F.lit(None).cast("timestamp").alias("loaded_at"),
-            F.struct(*[c.alias(n) for n, c in cols.items()]).alias("v"),
-        ).alias("r"),
-    )
-    return picked.groupBy("file_id").agg(F.max("r").alias("r")).select("file_id", "r.v.*")
+    return latest_rows(files, "file_id", ("indexed_at", "loaded_at"), cols, staging)
 
 
 def hash_cols() -> dict[str, Column]:

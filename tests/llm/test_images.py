@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from tessera.llm import chosen_path, components, entity_splits, image_groups, split_overlap
+from tessera.llm import chosen_path, components, entity_splits, image_groups, share_join, split_overlap
+from tessera.operators import skew
 from tessera.session import Staging
 
 FILES = "file_id bigint, path string, source string, class string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, phash string, dhash string, indexed_at timestamp, loaded_at timestamp, rep int, n int"
@@ -125,11 +126,62 @@ def test_chain_and_star_components(spark):
 
 def test_shares_cover_all_positions():
     for k in (2, 4):
-        masks = chosen_path.position_shares(k, range(64), "s")
+        masks = share_join.position_shares(k, range(64), "s")
         assert len(masks) == k + 1
         assert sum(m % (1 << 64) for m in masks) == (1 << 64) - 1
 
 
+def random_classes(n, seed, hot=0.0):
+    """Hash pairs of which half are near copies of others; a share of them has one p."""
+    rng = random.Random(seed)
+    held = {}
+    while len(held) < n:
+        if held and rng.random() < 0.5:
+            p, d = rng.choice(list(held)[:200])
+            p, d = flip(p, rng.randrange(5), rng), flip(d, rng.randrange(5), rng)
+        else:
+            p, d = (7 if rng.random() < hot else rng.getrandbits(64)), rng.getrandbits(64)
+        held.setdefault((p, d), len(held) + 1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(i, signed(p), signed(d)) for (p, d), i in held.items()]
+
+
+@pytest.mark.parametrize(("leaf", "hot"), [(64, 0.0), (16, 0.4)])
+def test_chosen_paths_reach_their_recall(spark, leaf, hot):
+    data = random_classes(1500, 3, hot)
+    df = spark.createDataFrame(data, "rep bigint, p bigint, d bigint")
+    staging = Staging(spark, "cp")
+    levels, trees = chosen_path.plan(1500, 4, leaf, 1e-5)
+    assert levels >= 4 and trees > 5  # the tree is really walked
+    want = {tuple(r) for r in share_join.close_pairs(df, 4, staging).collect()}
+    got = [tuple(r) for r in chosen_path.near_pairs(df, 4, staging, leaf).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.999 * len(want) > 300
+    few = {tuple(r) for r in chosen_path.near_pairs(df, 4, staging, leaf, miss=0.3).collect()}
+    assert 0.7 <= len(few & want) / len(want)
+
+
+def test_large_nodes_are_compared_in_blocks(spark):
+    near = random_classes(1, 1)[0][1:]
+    data = [(i, near[0], near[1] ^ (1 << (i % 63)) ^ (1 << (i // 63))) for i in range(1, 63 * 5)]
+    data = [(i, p, d) for i, (p, d) in enumerate({(p, d) for _, p, d in data})]
+    df = spark.createDataFrame(data, "rep bigint, p bigint, d bigint")
+    staging = Staging(spark, "dense")
+    want = {tuple(sorted((a[0], b[0]))) for a, b in itertools.combinations(data, 2) if (a[2] ^ b[2]).bit_count() <= 4}
+    assert {tuple(r)[:2] for r in chosen_path.near_pairs(df, 4, staging, leaf=4).collect()} == want
+    assert {tuple(r)[:2] for r in share_join.close_pairs(df, 4, staging, leaf=4).collect()} == want
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([("h", i) for i in range(90)] + [("c", 100), ("d", 101)], "k string, i int")
+    other = spark.createDataFrame([("h", "x"), ("h", "y"), ("c", "z"), ("e", "w")], "k string, v string")
+    sizes = Staging(spark, "sizes").keep(rows.groupBy("k").count().withColumnRenamed("count", "n"))
+    for how in ("inner", "left", "right"):
+        got = skew.spread_join(rows, other, ["k"], sizes, ["i"], how, hot_rows=10)
+        assert sorted(got.select("k", "i", "v").collect(), key=str) == sorted(rows.join(other, "k", how).select("k", "i", "v").collect(), key=str)
+    pairs = skew.pairs_within(rows.join(sizes, "k"), "k", "i", block=7)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == list(itertools.combinations(range(90), 2))
+
+
 def test_overlaps_equal_brute_force(spark, files, rows):
     rng = random.Random(9)
     cur = current(rows)
@@ -147,8 +199,9 @@ def test_overlaps_equal_brute_force(spark, files, rows):
             for v in cur.values():
                 if (v[3][4] or "").strip().lower() == "train" and (near((parse(e[1]), parse(e[2])), v, 2) or (e[3] and e[3] == v[2])):
                     want.add((e[0], v[3][1]))
-    got = [tuple(r)[:2] for r in split_overlap.overlaps(m, files).collect()]
-    assert set(got) == want and len(got) == len(want)
+    for hot in (200_000, 1):
+        got = [tuple(r)[:2] for r in split_overlap.overlaps(m, files, hot_rows=hot).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_segment_places_allow_shifts():
