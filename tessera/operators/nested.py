@@ -22,62 +22,77 @@ _NODE = "array<struct<label:string,schema_path:string,keys:array<string>,value:s
 
 
 def _scalar(value: Column, kind: T.DataType) -> Column:
-    """The value as text: JSON for anything with parts."""
-    return F.to_json(value) if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else value.cast("string")
+    """The value as text, NULL for anything with parts: these are nodes of their own."""
+    return F.lit(None).cast("string") if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else value.cast("string")
 
 
-def _walk(value: Column, kind: T.DataType, label: Column, path: str, keys: Column) -> Column | None:
-    """Array of the nodes below ``value``; None where its type can hold none."""
+def _walk(value: Column, kind: T.DataType, label: Column, path: str, keys: Column, wanted: frozenset[str] | None) -> Column | None:
+    """Array of the nodes below ``value`` in document order; None where its type can hold none that are wanted."""
     if isinstance(kind, T.StructType):
-        parts = [_walk(value[f.name], f.dataType, F.concat(label, F.lit(f".{i}")), f"{path}.{f.name}", keys) for i, f in enumerate(kind.fields)]
+        parts = [_walk(value[f.name], f.dataType, F.concat(label, F.lit(f".{i}")), f"{path}.{f.name}", keys, wanted) for i, f in enumerate(kind.fields)]
         parts = [p for p in parts if p is not None]
         return F.concat(*parts) if parts else None
     if isinstance(kind, T.MapType):
-        items, inner, mark = F.map_entries(value), kind.valueType, "{}"
+        items, inner, path = F.map_entries(value), kind.valueType, path + "{}"
         parts_of = lambda e, i: (e["key"].cast("string"), e["value"])
     elif isinstance(kind, T.ArrayType):
-        items, inner, mark = value, kind.elementType, "[]"
+        items, inner, path = value, kind.elementType, path + "[]"
         parts_of = lambda e, i: (i.cast("string"), e)
     else:
         return None
+    if wanted is not None and not any(w.startswith(path) for w in wanted):
+        return None
 
     def node(e: Column, i: Column) -> Column:
         key, held = parts_of(e, i)
         here, ks = F.concat(label, F.lit("."), i.cast("string")), F.concat(keys, F.array(key))
-        own = F.array(F.struct(here.alias("label"), F.lit(path + mark).alias("schema_path"), ks.alias("keys"), _scalar(held, inner).alias("value")))
-        below = _walk(held, inner, here, path + mark, ks)
+        own = F.array(F.struct(here.alias("label"), F.lit(path).alias("schema_path"), ks.alias("keys"), _scalar(held, inner).alias("value")))
+        below = _walk(held, inner, here, path, ks, wanted)
+        if wanted is not None and path not in wanted:
+            own = F.array().cast(_NODE)
         return own if below is None else F.concat(own, below)
 
     return F.coalesce(F.flatten(F.transform(items, node)), F.array().cast(_NODE))
 
 
-def shred(df: DataFrame, root: str, columns: Sequence[str]) -> DataFrame:
+def shred(df: DataFrame, root: str, columns: Sequence[str], paths: Sequence[str] | None = None) -> DataFrame:
     """(root, label, parent_label, schema_path, keys, value): one row per node of the given columns.
 
-    ``keys`` are the map keys and array positions on the way to the node, its own last.
+    ``keys`` are the map keys and array positions on the way to the node, its own last. With ``paths`` only nodes of
+    these schema paths are made, and the walk enters nothing else. The first ordinal of a label is the place of the
+    column in ``columns``.
     """
+    wanted = None if paths is None else frozenset(paths)
     parts = []
     for i, name in enumerate(columns):
-        made = _walk(F.col(name), df.schema[name].dataType, F.lit(str(i)), name, F.array().cast("array<string>"))
+        made = _walk(F.col(name), df.schema[name].dataType, F.lit(str(i)), name, F.array().cast("array<string>"), wanted)
         if made is not None:
             parts.append(made)
-    nodes = df.where(F.col(root).isNotNull()).select(root, F.inline(F.concat(*parts)))
-    # the label holds two ordinals per struct field and collection below it, one for a bare collection
-    return nodes.select(root, "label", _parent(F.col("label"), F.col("schema_path")).alias("parent_label"), "schema_path", "keys", "value")
+    nodes = df.where(F.col(root).isNotNull()).select(root, F.inline(F.concat(*parts) if parts else F.array().cast(_NODE)))
+    return nodes.select(root, "label", parent_label(F.col("label"), F.col("schema_path")).alias("parent_label"), "schema_path", "keys", "value")
+
 
+def parent_label(label: Column, path: Column) -> Column:
+    """The label cut back to the enclosing element; NULL for nodes right below the root.
 
-def _parent(label: Column, path: Column) -> Column:
-    """The label cut back to the enclosing element; NULL for nodes right below the root."""
+    A label has one ordinal per struct field and element on the way; what is cut are those of the last element and
+    the fields between it and the element around it.
+    """
     last = F.regexp_extract(path, r"(?:^|[}\]])([^{}\[\]]*)(?:\{\}|\[\])$", 1)
-    ordinals = F.size(F.split(last, r"\.", -1))  # struct fields between the two elements, and the element itself
+    ordinals = F.size(F.split(last, r"\.", -1))
     cut = F.size(F.split(label, r"\.")) - ordinals
     shallow = ~path.rlike(r"[}\]].+(\{\}|\[\])$")
     return F.when(~shallow, F.concat_ws(".", F.slice(F.split(label, r"\."), F.lit(1), F.greatest(cut, F.lit(0)))))
 
 
 def tables(nodes: DataFrame, paths: Sequence[str]) -> dict[str, DataFrame]:
-    """The node tables of the given schema paths."""
-    return {p: nodes.where(F.col("schema_path") == p) for p in paths}
+    """The node tables of the given schema paths, related by ``parent_label`` = ``label``."""
+    return {p: nodes.where(F.col("schema_path") == p).withColumn("key", F.element_at("keys", -1)).drop("keys", "schema_path") for p in paths}
+
+
+def _last(label: Column) -> Column:
+    """The ordinal a label ends with: the place of the element in its collection."""
+    return F.substring_index(label, ".", -1).cast("int")
 
 
 #: Schema paths of the metrics table and the kind of child they hold.
@@ -85,21 +100,49 @@ METRIC_CHILDREN = {"models{}": "model", "models{}.point{}": "point", "models{}.c
 
 
 def metric_children(metrics: DataFrame) -> DataFrame:
-    """(metrics_id, child_kind, parent_key, child_key) of models, their values and the comparisons."""
-    nodes = shred(metrics.select("metrics_id", "models", "comparisons"), "metrics_id", ["models", "comparisons"]).where(F.col("schema_path").isin(*METRIC_CHILDREN))
-    kind = F.create_map(*[F.lit(x) for kv in METRIC_CHILDREN.items() for x in kv])[F.col("schema_path")]
-    a, b = (F.coalesce(F.get_json_object("value", f"$.{c}"), F.lit("")) for c in ("model_a", "model_b"))
-    rows = nodes.where((F.col("schema_path") != "comparisons[]") | F.col("value").isNotNull())
-    top = F.col("schema_path") == "models{}"
-    pair = F.col("schema_path") == "comparisons[]"
-    return rows.select("metrics_id", kind.alias("child_kind"), F.col("keys")[0].alias("parent_key"), F.when(top, F.lit("")).when(pair, F.concat(a, F.lit("|"), b)).otherwise(F.col("keys")[1]).alias("child_key"))
+    """(metrics_id, child_kind, parent_key, child_key) of models, their values and the comparisons.
+
+    A label is an address: cut back to the parent's, its last ordinal is the place of the parent among the models, so
+    the parent's key is looked up in the row itself and no join is needed.
+    """
+    rows = metrics.select("metrics_id", "models", "comparisons").where("metrics_id is not null")
+    nodes = _nodes_of(rows, METRIC_CHILDREN)
+    label, path = (lambda n: n["label"]), (lambda n: n["schema_path"])
+    names = F.map_keys("models")
+    pair = lambda n: F.get("comparisons", _last(label(n)))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    kind = F.create_map(*[F.lit(x) for kv in METRIC_CHILDREN.items() for x in kv])
+
+    def child(n: Column) -> Column:
+        is_model, is_pair = path(n) == "models{}", path(n) == "comparisons[]"
+        own = F.element_at(n["keys"], -1)
+        above = F.get(names, _last(parent_label(label(n), path(n))))
+        return F.struct(
+            kind[path(n)].alias("child_kind"),
+            F.when(is_model | is_pair, own).otherwise(above).alias("parent_key"),
+            F.when(is_model, F.lit("")).when(is_pair, F.concat(empty(pair(n)["model_a"]), F.lit("|"), empty(pair(n)["model_b"]))).otherwise(own).alias("child_key"),
+        )
+
+    kept = F.filter(nodes, lambda n: (path(n) != "comparisons[]") | pair(n).isNotNull())
+    return rows.select("metrics_id", F.inline(F.transform(kept, child)))
+
+
+def _nodes_of(rows: DataFrame, paths: Sequence[str]) -> Column:
+    """The nodes of models and comparisons as an array."""
+    wanted = frozenset(paths)
+    made = [_walk(F.col(c), rows.schema[c].dataType, F.lit(str(i)), c, F.array().cast("array<string>"), wanted) for i, c in enumerate(("models", "comparisons"))]
+    return F.concat(*[m for m in made if m is not None])
 
 
 def metric_values(metrics: DataFrame) -> DataFrame:
-    """(metrics_id, model, metric, point, ci_lo, ci_hi, support): the values of each model side by side."""
-    nodes = shred(metrics.select("metrics_id", "models"), "metrics_id", ["models"]).where(F.col("schema_path").isin("models{}.point{}", "models{}.ci95{}", "models{}.support{}"))
-    bounds = F.from_json("value", "array<double>")
-    of = lambda p, v: F.max(F.when(F.col("schema_path") == f"models{{}}.{p}{{}}", v))
+    """(metrics_id, model, metric, point, ci_lo, ci_hi, support): the values of each model side by side.
+
+    Made of the node tables: bounds are children of the interval they belong to, which is a child of its model.
+    """
+    paths = ("models{}.point{}", "models{}.ci95{}", "models{}.ci95{}[]", "models{}.support{}")
+    nodes = shred(metrics.select("metrics_id", "models"), "metrics_id", ["models"], paths)
+    of = lambda p, v: F.max(F.when(F.col("schema_path") == f"models{{}}.{p}", v))
+    number, bound = F.col("value").try_cast("double"), _last(F.col("label"))
     return nodes.groupBy("metrics_id", F.col("keys")[0].alias("model"), F.col("keys")[1].alias("metric")).agg(
-        of("point", F.col("value").try_cast("double")).alias("point"), of("ci95", F.get(bounds, F.lit(0))).alias("ci_lo"), of("ci95", F.get(bounds, F.lit(1))).alias("ci_hi"), of("support", F.col("value").try_cast("bigint")).alias("support")
+        of("point{}", number).alias("point"), of("ci95{}[]", F.when(bound == 0, number)).alias("ci_lo"), of("ci95{}[]", F.when(bound == 1, number)).alias("ci_hi"), of("support{}", F.col("value").try_cast("bigint")).alias("support")
     )

@@ -88,6 +88,23 @@ def test_drift_rescues_what_is_left_inside(spark):
     assert row["split_mode"] == "grouped" and row["n_groups"] == 1000 and row["models"]["m"]["point"]["accuracy"] == 0.5 and row["models"]["m"]["support"]["b"] == 1000
 
 
+def test_drift_replays_rescued_values(spark):
+    entry = {"scores": {"accuracy": "0.7"}, "conf_int": {"accuracy": {"lo": 0.1, "hi": 0.9}}, "confusion": [[1, 2]], "support": {"a": 3}, "odd": 1}
+    docs = [{"run_id": "r", "CvMode": "grouped", "num_images": "1,000", "classifiers": {"m": entry, "n": None}, "model_comparisons": [{"model_a": "x", "model_b": "y"}], "class_names": "a, b", "seed": 1}, {"models": {"m": entry, "k": {"point": {"accuracy": 1}, "scores": {"brier": 2}}}}, {}]
+    df = spark.createDataFrame([(i, json.dumps(d), T0) for i, d in enumerate(docs)] + [(9, "{bad", T0)], "file_no bigint, payload string, loaded_at timestamp")
+    bare = schema_drift.ingest(df, {})
+    first = bare.where("file_no = 0").first()
+    assert first["n_images"] is None and json.loads(first["_rescued"])["num_images"] == "1,000"
+    key = lambda rs: {r["file_no"]: (r.asDict(True), json.loads(r["_rescued"]) if r["_rescued"] and r["file_no"] != 9 else r["_rescued"]) for r in rs}
+    again, whole = key(schema_drift.replay(bare, schema_drift.APPROVED).collect()), key(schema_drift.ingest(df).collect())
+    assert {k: v[1] for k, v in again.items()} == {k: v[1] for k, v in whole.items()}
+    assert all({c: x for c, x in again[k][0].items() if c != "_rescued"} == {c: x for c, x in whole[k][0].items() if c != "_rescued"} for k in whole)
+    assert again[0][0]["n_images"] == 1000 and again[0][1] == {"classifiers": {"m": {"odd": 1}}, "seed": 1}
+    assert again[1][1] == {"models": {"m": {"odd": 1}, "k": {"scores": {"brier": 2}}}}  # a filled field keeps its value
+    names = {**schema_drift.APPROVED, "models.*.support": ("odd",)}
+    assert schema_drift.ingest(df, names).where("file_no = 1").first()["models"]["m"]["support"] == {"a": 3}
+
+
 def test_nested(spark):
     kind = "id bigint, m map<string,struct<p:map<string,double>,c:array<array<int>>>>, a array<struct<x:string>>"
     df = spark.createDataFrame([(1, {"k": ({"u": 1.0, "v": None}, [[1, 2], []]), "z": None}, [("q",), None]), (2, None, []), (None, {"k": None}, None)], kind)
@@ -95,6 +112,10 @@ def test_nested(spark):
     assert {r["schema_path"] for r in got.values()} == {"m{}", "m{}.p{}", "m{}.c[]", "m{}.c[][]", "a[]"}
     assert all(r["parent_label"] is None or r["parent_label"] in got for r in got.values())
     leaf = next(r for r in got.values() if r["schema_path"] == "m{}.c[][]" and r["value"] == "2")
+    pruned = nested.shred(df, "id", ["m", "a"], ["m{}.c[][]"])
+    assert rows(pruned) == rows(nested.shred(df, "id", ["m", "a"]).where("schema_path = 'm{}.c[][]'")) and nested.shred(df, "id", ["m"], ["x{}"]).count() == 0
+    of = nested.tables(nested.shred(df, "id", ["m", "a"]), ["m{}", "m{}.p{}"])
+    assert {(r["key"], r["pk"]) for r in of["m{}.p{}"].join(of["m{}"].select(F.col("label").alias("parent_label"), F.col("key").alias("pk")), "parent_label").collect()} == {("u", "k"), ("v", "k")}
     assert leaf["keys"] == ["k", "0", "1"] and got[leaf["parent_label"]]["schema_path"] == "m{}.c[]" and got[got[leaf["parent_label"]]["parent_label"]]["keys"] == ["k"]
 
 
