@@ -37,7 +37,7 @@ MISS = 1e-5
 #: Levels added, subtrees grown and rounds made where a node is too large.
 LEVELS, BRANCHES, ROUNDS = 5, 3, 3
 #: Trees grown at once; bounds the disk that moved records take.
-GROUP = 8
+GROUP = 5
 
 _SCHEMA = "node bigint, a bigint, b bigint, p bigint, d bigint"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("node", "a", "b", "p", "d")])
@@ -66,7 +66,7 @@ def descend(node: np.ndarray, p: np.ndarray, d: np.ndarray, levels: int) -> np.n
 
 def plan(n: int, k: int, leaf: int, miss: float) -> tuple[int, int]:
     """(levels, trees) for ``n`` records and at most ``k`` differing bits in each hash."""
-    levels = max(0, round(math.log2(max(n, 1) / max(1, leaf / 16))))
+    levels = max(0, int(math.log2(max(n, 1) / max(1, leaf / 16))))
     if n <= leaf or levels == 0:
         return 0, 1
     stay = 1 - 2 * k / 128

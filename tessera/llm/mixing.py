@@ -11,7 +11,8 @@ each time its start is covered.
 
 Defined results: texts that are NULL or empty, and documents of no listed source, are not used; a source whose
 documents hold no tokens cannot be mixed: it is reported with share 0 and the others keep their proportions;
-targets that are NULL or not above 0 are left out, and max_repeats below 1 counts as 1.
+targets that are NULL or not above 0 are left out, and max_repeats below 1 counts as 1. A text posted more than
+once is tokenized each time, which is cheaper than moving texts to find that out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ..session import Staging
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Sources and membership patterns the network may have; more are an error.
+MOST = 100_000
 #: Cells of the seeded order; prefix sums over cells are the only sums made in one place per pattern.
 CELLS = 4096
 
@@ -137,11 +140,14 @@ def plan_flow(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[flo
 def _pooled(documents: DataFrame, targets: DataFrame, tokenizer: str, staging: Staging) -> tuple[DataFrame, dict]:
     """Stored (doc_id, pattern, tokens) of distinct texts with a listed source, and the targets."""
     rows = targets.select(usable("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("reps"))
-    goal = {r["source"]: (float(r["share"]), max(1, int(r["reps"] or 1))) for r in rows.limit(100_000).collect()}
-    listed = F.broadcast(rows.select("source"))
-    texts = documents.where("text is not null and text <> ''").select("doc_id", usable("source").alias("source"), F.sha2("text", 256).alias("key"), n_tokens(tokenizer)("text").alias("tokens"))
-    # sources of one text are counted among the listed ones only, so a pattern holds no more names than there are targets
-    pooled = texts.join(listed, "source").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern"))
+    if rows.count() > MOST:
+        raise ValueError(f"more than {MOST} sources")
+    goal = {r["source"]: (float(r["share"]), max(1, int(r["reps"] or 1))) for r in rows.collect()}
+    listed = F.broadcast(rows.select("source"))  # MOST rows at most
+    # texts of other sources are left out before any is tokenized; a pattern holds no more names than there are targets
+    used = documents.where("text is not null and text <> ''").select("doc_id", usable("source").alias("source"), "text").join(listed, "source")
+    texts = used.select("doc_id", "source", F.sha2("text", 256).alias("key"), n_tokens(tokenizer)("text").alias("tokens"))
+    pooled = texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern"))
     return staging.keep(pooled.select("doc_id", "pattern", "tokens")), goal
 
 
@@ -152,13 +158,17 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     pooled, goal = _pooled(documents, targets, tokenizer, staging)
     cells = pooled.groupBy("pattern", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).alias("cell")).agg(F.sum("tokens").alias("t"))
     cells = staging.keep(cells)
-    sizes = {tuple(r["pattern"]): int(r["t"]) for r in cells.groupBy("pattern").agg(F.sum("t").alias("t")).collect()}  # at most one per set of listed sources
+    by_pattern = staging.keep(cells.groupBy("pattern").agg(F.sum("t").alias("t")))
+    if by_pattern.count() > MOST:
+        raise ValueError(f"more than {MOST} membership patterns")
+    sizes = {tuple(r["pattern"]): int(r["t"]) for r in by_pattern.collect()}
     flow = plan_flow(sizes, goal, total)
     stretches, at = [], {}
     for (pattern, source), amount in sorted(flow.items()):
         start = at.get(pattern, 0)
         stretches.append((list(pattern), source, start, start + amount, sizes[pattern]))
         at[pattern] = start + amount
+    # a cheapest flow uses a tree of arcs, so there are fewer stretches than patterns and sources together
     plan = F.broadcast(spark.createDataFrame(stretches, "pattern array<string>, source string, lo bigint, hi bigint, line bigint"))
     before = Window.partitionBy("pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")

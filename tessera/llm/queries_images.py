@@ -75,6 +75,20 @@ pairs as (select e.path as eval_path, t.path as train_path, e.split, t.source, c
 _PATIENT = f"select path, lower(trim(patient_id)) as pa from dataset where path is not null and lower(trim(patient_id)) not in {_NONE}"
 _CLOSURE = """reach(node, seen) as (select a, a from sym union select r.node, l.b from reach r join sym l on r.seen = l.a)"""
 
+_BLOCKS = f"""with recursive recs as (select distinct path, 'g:' || nullif(trim(lower(group_id)), '') as g,
+    case when lower(trim(patient_id)) not in {_NONE} then 'p:' || lower(trim(patient_id)) end as p from dataset where path is not null),
+ent as (select path, g as e from recs where g is not null union select path, p from recs where p is not null),
+ties as (select path, e, min(e) over (partition by path) as m from ent),
+sym as (select e as a, m as b from ties where e <> m union select m, e from ties where e <> m), {_CLOSURE},
+comp as (select node, min(seen) as block from reach group by node),
+nodes as (select path, min(coalesce(g, p)) as node from recs group by path),
+blocks as (select n.path, coalesce(c.block, n.node, 'f:' || n.path) as block from nodes n left join comp c on c.node = n.node)"""
+_SPLITS = f"""{_BLOCKS}, dealt as (select path, block, (('0x' || substr(md5('42:' || block), 1, 8))::bigint % 4096)::int as cell from blocks),
+cells as (select cell, (sum(n) over (order by cell) - n / 2.0) / sum(n) over () as middle from (select cell, count(*) as n from dealt group by cell)),
+edges as (select split_name, sum(share) over (order by split_name) / sum(share) over () as edge from (select split_name, sum(target_share) as share from split_targets where split_name is not null and target_share > 0 group by 1)),
+chosen as (select cell, coalesce(min(split_name) filter (where middle <= edge), max(split_name)) as split_name from cells, edges group by cell),
+made as (select path, block, split_name from dealt join chosen using (cell))"""
+
 SQL = {
     "p1_found": f"""with recursive {_CUR}, named as (select distinct c.file_id, q.pa from cur c join ({_PATIENT}) q using (path)),
 pl as (select file_id as a, min(file_id) over (partition by pa) as b from named),
@@ -97,13 +111,11 @@ sh as (select s, min(first) as sha_id, sum(n)::bigint as sha_size, count(*) as n
 lk as (select x.s, x.unit, count(*) as linked from u x join near on near.a = x.unit join u y on y.s = x.s and y.unit = near.b group by 1, 2)
 select e.file_id, e.rep as class_id, e.n as class_size, e.deg as n_close_classes, sh.sha_id, sh.sha_size, coalesce(sh.n_units - 1 - coalesce(lk.linked, 0), 0) as n_sha_classes
 from every e left join sh using (s) left join lk on lk.s = e.s and lk.unit = e.unit""",
-    "p6_found": f"""with recursive recs as (select distinct path, 'g:' || nullif(trim(lower(group_id)), '') as g,
-    case when lower(trim(patient_id)) not in {_NONE} then 'p:' || lower(trim(patient_id)) end as p from dataset where path is not null),
-sym as (select distinct g as a, p as b from recs where g is not null and p is not null union select distinct p, g from recs where g is not null and p is not null), {_CLOSURE},
-comp as (select node, min(seen) as block from reach group by node),
-blocks as (select r.path, coalesce(c.block, r.g, r.p, 'f:' || r.path) as block from recs r left join comp c on c.node = coalesce(r.g, r.p)),
+    "p6_found": f"""{_BLOCKS},
 held as (select distinct s.path, coalesce(b.block, 'f:' || s.path) as block, s.outer_fold from splits_outer s left join blocks b on b.path = s.path where s.path is not null and s.outer_fold is not null)
 select distinct path from held where block in (select block from held group by block having min(outer_fold) <> max(outer_fold))""",
+    "p6_splits": f"{_SPLITS} select path, block, split_name from made",
+    "p6_shares": f"{_SPLITS} select split_name, count(*) as n_paths, count(distinct block) as n_blocks, round(count(*) / sum(count(*)) over (), 6) as share from made group by 1",
     "p3_found": _P3 + " select distinct eval_path, train_path from pairs",
     "p3_counts": _P3
     + """, one as (select eval_path, train_path, max(split) as split, max(source) as source, bool_or(exact) as exact from pairs group by 1, 2)

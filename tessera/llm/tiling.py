@@ -6,9 +6,9 @@ and again, found by running Karp-Rabin over the words left, until none of ``min_
 leaks where its longest tile, or the share of its words under tiles, reaches the threshold; the share catches
 passages whose pieces were reordered.
 
-The items' seeds travel to the documents while they stay under ``BROADCAST_SEEDS`` (a checked count): each
-document is then read once, whole, and nothing is shuffled. Beyond that the seeds of both sides are joined by a
-shuffle on their hash, and candidates are verified against the texts.
+The items' seeds travel to the documents, in blocks of ``BLOCK_SEEDS`` (a checked count): each document is read
+once per block, whole, and no text is shuffled. Held-out sets are small beside the corpus, so reading it again for
+each block costs far less than moving the seeds of every document.
 
 Defined results: NULL or wordless texts leak nothing; repeated rows are reported once per id; ties between
 equally long matches go to the earlier document position, then the earlier item position; an item shorter than
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from ..session import Staging
 
 WORD = re.compile(r"[^\W_]+")
-#: Seeds sent to every worker at most: 8 bytes each for the hash, 8 for the place.
-BROADCAST_SEEDS = 4_000_000
+#: Seeds of the items sent to every worker at once: 8 bytes each for the hash, 8 for the place.
+BLOCK_SEEDS = 4_000_000
 _BASE = np.uint64(1_000_003)
 _SCHEMA = "doc_id bigint, item_id bigint, longest int, covered int, item_words int"
 
@@ -61,6 +62,31 @@ def _free_windows(hashes: np.ndarray, taken: np.ndarray, width: int) -> np.ndarr
     return np.nonzero(run[width:] == run[: len(run) - width])[0][: len(hashes)]
 
 
+def _run(doc: np.ndarray, item: np.ndarray, taken_d: np.ndarray, taken_i: np.ndarray, d: int, i: int) -> int:
+    """Words from (d, i) on that are equal and free in both."""
+    n, step = 0, 64
+    while True:
+        m = min(step, len(doc) - d - n, len(item) - i - n)
+        x, y = d + n, i + n
+        bad = (doc[x : x + m] != item[y : y + m]) | taken_d[x : x + m] | taken_i[y : y + m]
+        stop = int(bad.argmax()) if m and bad.any() else m
+        n += stop
+        if stop < step:
+            return n
+        step *= 4
+
+
+def relevant(doc: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
+    """The runs of at least ``width`` words of the document that the item holds too, with a 0 between them.
+
+    No tile can leave such a run, and their order is kept, so the tiles are those of the whole document.
+    """
+    held = np.isin(doc, item)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], held.view(np.int8), [0]])))
+    parts = [np.append(doc[a:b], np.uint64(0)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= width]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
     """Non-overlapping matches (doc start, item start, length), longest first."""
     out: list[tuple[int, int, int]] = []
@@ -82,9 +108,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, i
             for i in places.get(int(hd[d]), ()):
                 if covered.get(d - i, -1) > d:
                     continue
-                n = 0
-                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and not taken_d[d + n] and not taken_i[i + n]:
-                    n += 1
+                n = _run(doc, item, taken_d, taken_i, d, i)
                 covered[d - i] = d + n
                 if n >= width:
                     found.append((d, i, n))
@@ -113,18 +137,19 @@ def _left_over(hd: np.ndarray, hi: np.ndarray, taken_d: np.ndarray, taken_i: np.
 
 
 class _Items:
-    """Items as word ids with the sorted hashes of their seeds; built once per worker."""
+    """Items as word ids with the sorted hashes of their seeds."""
 
     def __init__(self, rows: Sequence[tuple[int, str]], seed: int):
         self.vocabulary: dict[str, int] = {}
-        self.words: dict[int, np.ndarray] = {}
+        self.ids_of = [item for item, _ in rows]  # texts are told apart by their place: an id may have several
+        self.words: list[np.ndarray] = []
         hashes, owners = [], []
-        for item, text in rows:
+        for place, (_, text) in enumerate(rows):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint64)
-            self.words[item] = ids
+            self.words.append(ids)
             h = rolling(ids, seed)
             hashes.append(h)
-            owners.append(np.full(len(h), item, np.int64))
+            owners.append(np.full(len(h), place, np.int64))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners = h[order], (np.concatenate(owners)[order] if owners else np.empty(0, np.int64))
@@ -134,11 +159,40 @@ class _Items:
         return np.array([get(w, 0) for w in words_of(text)], np.uint64)
 
 
-def _tile_rows(doc_id: int, doc: np.ndarray, items: list[int], known: _Items, min_tile: int) -> Iterator[tuple]:
-    for item in items:
-        made = tiles(doc, known.words[item], min_tile)
+_known: dict[str, _Items] = {}
+
+
+def _items_of(token: str, rows: Sequence[tuple[int, str]], seed: int) -> _Items:
+    """The items of a block, built once per Python worker; the last block alone is kept."""
+    if token not in _known:
+        _known.clear()
+        _known[token] = _Items(rows, seed)
+    return _known[token]
+
+
+def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """Items of about ``limit`` seeds at a time; one that is larger comes alone."""
+    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    n_blocks = max(1, -(-items.agg(size).first()[0] // 2 // max(1, limit)))  # a seed needs two characters of text at least
+    for b in range(n_blocks):
+        rows, held = [], 0
+        for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id").toLocalIterator():
+            n = len(r["text"]) // 2
+            if rows and held + n > 2 * limit:
+                yield rows
+                rows, held = [], 0
+            rows.append((r["item_id"], r["text"]))
+            held += n
+        if rows:
+            yield rows
+
+
+def _tile_rows(doc_id: int, doc: np.ndarray, places: list[int], known: _Items, min_tile: int) -> Iterator[tuple]:
+    for place in places:
+        words = known.words[place]
+        made = tiles(relevant(doc, words, min_tile), words, min_tile)
         if made:
-            yield doc_id, item, made[0][2], sum(n for _, _, n in made), len(known.words[item])
+            yield doc_id, known.ids_of[place], max(n for _, _, n in made), sum(n for _, _, n in made), len(words)
 
 
 def _candidates(doc: np.ndarray, known: _Items, seed: int) -> list[int]:
@@ -151,7 +205,7 @@ def _candidates(doc: np.ndarray, known: _Items, seed: int) -> list[int]:
     return sorted({int(x) for a, b in zip(lo, hi, strict=True) if b > a for x in known.owners[a:b]})
 
 
-def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, min_tile: int = 12, min_longest: int = 12, min_coverage: float | None = None, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, min_tile: int = 12, min_longest: int = 12, min_coverage: float | None = None, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id, longest, covered, item_words, coverage) of every leak.
 
     A pair is reported where the longest tile has ``min_longest`` words or, if given, tiles cover
@@ -159,13 +213,13 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, min_tile: int
     """
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     its = items.where("item_id is not null and text is not null").select("item_id", "text")
-    n_seeds = its.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2  # a seed needs two characters of text at least
-    if n_seeds <= broadcast_seeds:
-        rows = [(r["item_id"], r["text"]) for r in its.orderBy("item_id").collect()]
-        sent = documents.sparkSession.sparkContext.broadcast(rows)
+    spark = documents.sparkSession
+
+    def scanned(rows: list[tuple[int, str]]) -> DataFrame:
+        sent, token = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = _Items(sent.value, seed)
+            known = _items_of(token, sent.value, seed)
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -173,9 +227,18 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, min_tile: int
                     out += _tile_rows(doc_id, ids, _candidates(ids, known, seed), known, min_tile)
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest", "covered", "item_words"])
 
-        found = docs.mapInPandas(scan, _SCHEMA)
-    else:
-        found = _by_shuffle(docs, its, seed, min_tile)
+        return docs.mapInPandas(scan, _SCHEMA)
+
+    found, staging = None, Staging(spark, "leaks")
+    blocks = _item_blocks(its, block_seeds)
+    rows = next(blocks, [])
+    while rows:
+        part, rows = scanned(rows), next(blocks, [])
+        if rows or found is not None:  # of several blocks, only one is in the workers' memory at a time
+            part = staging.keep(part)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], _SCHEMA)
     enough = F.col("longest") >= min_longest
     coverage = F.col("covered") / F.col("item_words")
     if min_coverage is not None:
@@ -183,35 +246,3 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, min_tile: int
     # an id listed more than once is reported once, with its best reading
     best = found.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("longest", "covered", "item_words")).alias("m")).select("doc_id", "item_id", "m.*")
     return best.withColumn("coverage", F.round(coverage, 6))
-
-
-def _word_hashes(batch: pd.Series, seed: int) -> list[np.ndarray]:
-    import xxhash
-
-    out = []
-    for text in batch:
-        ids = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], np.uint64)
-        out.append(np.unique(rolling(ids, seed)).view(np.int64))
-    return out
-
-
-def _by_shuffle(docs: DataFrame, items: DataFrame, seed: int, min_tile: int) -> DataFrame:
-    @F.pandas_udf("array<bigint>")
-    def seeds(text: pd.Series) -> pd.Series:
-        return pd.Series(_word_hashes(text, seed))
-
-    staging = Staging(docs.sparkSession, "seeds")
-    d = docs.select("doc_id", F.explode(seeds("text")).alias("h"))
-    i = items.select("item_id", F.explode(seeds("text")).alias("h"))
-    pairs = staging.keep(d.join(i, "h").select("doc_id", "item_id").distinct())
-    both = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                known = _Items([(row.item_id, row.item_text)], seed)
-                out += _tile_rows(row.doc_id, known.ids(row.text), [row.item_id], known, min_tile)
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest", "covered", "item_words"])
-
-    return both.mapInPandas(verify, _SCHEMA)

@@ -236,6 +236,15 @@ def test_blocks_and_splits(spark, dataset):
     assert entity_splits.assign_splits(dataset, targets.where("false")).count() == 0
 
 
+def test_every_entity_of_a_path_is_tied(spark):
+    rows = [("/a", None, None, "g1", "x"), ("/a", None, None, "g2", "x"), ("/a", "p9", None, "g3", "x"), ("/b", None, None, "G2 ", "x"), ("/c", "P9", None, None, "x"), ("/d", None, None, "g4", "x")]
+    got = dict(map(tuple, entity_splits.record_blocks(spark.createDataFrame(rows, DATASET), Staging(spark, "t")).collect()))
+    assert got["/a"] == got["/b"] == got["/c"] != got["/d"]
+    many = spark.createDataFrame([(f"s{i}", 1.0) for i in range(entity_splits.CELLS + 1)], "split_name string, target_share double")
+    with pytest.raises(ValueError, match="splits"):
+        entity_splits.assign_splits(spark.createDataFrame(rows, DATASET), many)
+
+
 def test_empty_tables(spark, files, dataset):
     f, d = files.where("false"), dataset.where("false")
     trust = spark.createDataFrame([], "source string, trust_rank int")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import encoding, mixing, tiling
 
@@ -25,7 +26,7 @@ def longest_run(a, b):
     return best
 
 
-@pytest.mark.parametrize("limit", [tiling.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("limit", [tiling.BLOCK_SEEDS, 60, 1])
 def test_leaks_equal_brute_force(spark, limit):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
@@ -42,7 +43,7 @@ def test_leaks_equal_brute_force(spark, limit):
         texts.append((i, text.upper() if i % 3 == 0 else text, "s"))
     texts += [(90, None, "s"), (91, "", "s"), (92, "ab " * 20_000, "s"), texts[1]]
     its = spark.createDataFrame([*items, (70, None), (71, "")], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): r.longest for r in tiling.leaks(docs(spark, texts), its, broadcast_seeds=limit).collect()}
+    got = {(r.doc_id, r.item_id): r.longest for r in tiling.leaks(docs(spark, texts), its, block_seeds=limit).collect()}
     want = {}
     for d, t, _ in texts:
         for i, x in items:
@@ -60,6 +61,15 @@ def test_tiles_find_reordered_pieces():
     assert tiling.tiles(np.empty(0, np.uint64), item, 5) == []
 
 
+def test_tiles_of_relevant_runs_are_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        item = rng.integers(1, 6, rng.integers(5, 30)).astype(np.uint64)
+        doc = np.where(rng.random(80) < 0.2, 0, rng.integers(1, 6, 80)).astype(np.uint64)
+        size = lambda made: (max((n for *_, n in made), default=0), sum(n for *_, n in made))
+        assert size(tiling.tiles(doc, item, 4)) == size(tiling.tiles(tiling.relevant(doc, item, 4), item, 4))
+
+
 def test_words_fold_case():
     assert tiling.words_of("Straße_İki ILIK-x2") == tiling.words_of("STRASSE iki ılık X2")
 
@@ -71,7 +81,7 @@ def test_flow_is_cheapest():
     assert mixing.plan_flow({}, {"a": (1.0, 1)}) == {}
 
 
-def test_mix_reaches_shares(spark):
+def test_mix_reaches_shares(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, f"text number {i} " + "word " * rng.randrange(1, 60), rng.choice(["A", " a", "b", "c", None])) for i in range(400)]
     rows += [(1000 + i, rows[i][1], "b") for i in range(50)] + [(2000, None, "a"), (2001, "", "b"), rows[0]]
@@ -85,6 +95,9 @@ def test_mix_reaches_shares(spark):
         assert abs(got[s]["actual_share"] - share) < 0.01
     assert mixing.mix(d.where("false"), targets).count() == 0
     assert mixing.mix(d, targets.where("false")).count() == 0
+    with pytest.raises(ValueError, match="sources"):
+        monkeypatch.setattr(mixing, "MOST", 2)
+        mixing.mix(d, targets)
 
 
 def test_undo_inverts_chains():
@@ -96,6 +109,35 @@ def test_undo_inverts_chains():
     assert encoding.undo_utf8("éà", "cp1252") is None
 
 
+def test_chains_of_any_length_are_undone():
+    text = "modèle été"
+    bad = text
+    for _ in range(4):
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert "è" in {r for _, r in encoding.candidates(encoding.RUN.findall(bad)[0])}
+    assert all(c in encoding.CHAINS for c, _ in encoding.candidates(encoding.RUN.findall(bad)[0]))
+
+
+def test_repairs_by_place_and_once_per_id(spark):
+    clean = ["Le modèle a été réévalué à Genève.", "Größe und Schärfe der Schichten", "El año pasado se añadió señal."]
+    rows = [(i, f"{clean[i % 3]} Row {i}.", "s1") for i in range(300)]
+    wanted = {}
+    for j in range(60):
+        text, steps = clean[j % 3], 1 + (j % 3 == 2) * 2
+        bad = text
+        for _ in range(steps):
+            bad = bad.encode("utf-8").decode("latin-1")
+        wanted[1000 + j] = text
+        rows.append((1000 + j, bad, "s1"))
+    rows += [rows[310], rows[310]]
+    got = encoding.repaired(docs(spark, rows)).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == len(wanted)
+    right = sum(r["text"] == wanted[r["doc_id"]] and r["n_left"] == 0 for r in got)
+    assert right / len(wanted) >= 0.95
+    both = docs(spark, rows).withColumn("lang", F.col("text"))
+    assert {r["field"] for r in encoding.repaired(both, fields=("text", "lang")).collect()} == {"text", "lang"}
+
+
 def test_garbled_documents(spark):
     clean = ["Le modèle a été réévalué à Genève.", "Größe und Schärfe der Schichten", "El año pasado se añadió señal.", "A façade of skill – naïve “so”."]
     rows = [(i, f"{clean[i % 4]} Row {i}.", f"s{i % 3}") for i in range(400)]
