@@ -7,10 +7,15 @@ very many files hold costs one row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming
+from ..session import Staging
 
 
 def hash_classes(files: DataFrame) -> DataFrame:
@@ -52,13 +57,84 @@ def within(queries: DataFrame, item: str, pool: DataFrame, t: int) -> DataFrame:
     return met.where(F.col("distance") <= t).distinct()
 
 
-def nearest(queries: DataFrame, item: str, pool: DataFrame, t: int) -> DataFrame:
-    """The nearest class of each item within t; ties go to the smallest id."""
-    return within(queries, item, pool, t).groupBy(item).agg(F.min(F.struct("distance", "match_id")).alias("m")).select(item, "m.match_id", "m.distance")
-
-
-def best_two(queries: DataFrame, item: str, pool: DataFrame, t: int) -> DataFrame:
-    """Best match, runner-up distance and the margin between them."""
-    ranked = within(queries, item, pool, t).withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy("distance", "match_id"))).where("r <= 2")
-    g = ranked.groupBy(item).agg(F.min(F.when(F.col("r") == 1, F.col("match_id"))).alias("best_id"), F.min(F.when(F.col("r") == 1, F.col("distance"))).alias("best_distance"), F.min(F.when(F.col("r") == 2, F.col("distance"))).alias("runner_up_distance"))
-    return g.withColumn("margin", F.col("runner_up_distance") - F.col("best_distance"))
+#: Queries sent to every task at once.
+QUERY_BLOCK = 20_000
+
+
+def scan_best(queries: DataFrame, item: str, pool: DataFrame, k: int, staging: Staging, both: bool = True) -> DataFrame:
+    """(item, match_id, distance): the ``k`` nearest pool classes of each item at any distance, ties to smaller ids.
+
+    The distance is the larger of both hashes', or that of p alone. Queries are a stated set: they are broadcast in
+    blocks of QUERY_BLOCK, and each task keeps the ``k`` best per query over all of its pool rows.
+    """
+    stated = staging.keep(queries.select(F.col(item).cast("string").alias("_q"), "p", "d").withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(4096))))
+    sizes = sorted((r["_b"], r["count"]) for r in stated.groupBy("_b").count().collect())  # 4096 rows at most
+    blocks, held = [[]], 0
+    for b, n in sizes:
+        if held + n > QUERY_BLOCK and blocks[-1]:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(b)
+        held += n
+    out = None
+    for cells in blocks:
+        rows = stated.where(F.col("_b").isin(cells)).collect() if cells else []
+        part = _scan_block(pool, [(r["_q"], r["p"], r["d"]) for r in rows], k, both)
+        part = staging.keep(part) if len(blocks) > 1 else part
+        out = part if out is None else out.unionByName(part)
+    ranked = out.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("distance", "match_id"))).where(F.col("_r") <= k)
+    return ranked.select(F.col("_q").cast(queries.schema[item].dataType).alias(item), "match_id", "distance")
+
+
+def _scan_block(pool: DataFrame, rows: list[tuple[str, int, int]], k: int, both: bool) -> DataFrame:
+    sent = pool.sparkSession.sparkContext.broadcast((np.array([r[1] for r in rows], np.int64).view(np.uint64), np.array([r[2] for r in rows], np.int64).view(np.uint64)))
+    names = pool.sparkSession.sparkContext.broadcast([r[0] for r in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qp, qd = sent.value
+        n = len(qp)
+        best_d, best_i = np.full((n, k), 255, np.int64), np.full((n, k), np.iinfo(np.int64).max)
+        for batch in batches:
+            batch = batch.sort_values("rep")  # of equal distances the first is the smallest id
+            p, d, rep = batch["p"].to_numpy().view(np.uint64), batch["d"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
+            for at in range(0, n, 256):
+                dist = np.bitwise_count(qp[at : at + 256, None] ^ p[None])
+                if both:
+                    dist = np.maximum(dist, np.bitwise_count(qd[at : at + 256, None] ^ d[None]))
+                for _ in range(min(k, len(rep))):
+                    j = dist.argmin(1)
+                    new = dist[np.arange(len(j)), j].astype(np.int64)
+                    dist[np.arange(len(j)), j] = 254
+                    cand_d, cand_i = np.column_stack([best_d[at : at + 256], new]), np.column_stack([best_i[at : at + 256], np.where(new < 254, rep[j], np.iinfo(np.int64).max)])
+                    order = np.lexsort((cand_i, cand_d), axis=1)[:, :k]
+                    best_d[at : at + 256], best_i[at : at + 256] = np.take_along_axis(cand_d, order, 1), np.take_along_axis(cand_i, order, 1)
+        ok = best_d < 254
+        q = np.repeat(np.arange(n), k).reshape(n, k)[ok]
+        yield pd.DataFrame({"_q": [names.value[i] for i in q], "match_id": best_i[ok], "distance": best_d[ok].astype(np.int32)})
+
+    return pool.select("rep", "p", "d").mapInPandas(run, "_q string, match_id bigint, distance int")
+
+
+def nearest(queries: DataFrame, item: str, pool: DataFrame, near: int = 4) -> DataFrame:
+    """(item, match_id, distance): the nearest class of each item at any distance; ties go to the smallest id.
+
+    Items with a class within ``near`` bits are answered by the banded join; only the others are compared with the
+    whole pool. An empty pool gives an empty table.
+    """
+    staging = Staging(queries.sparkSession, "nearest")
+    pool = staging.keep(pool.select("rep", "p", "d"))
+    close = staging.keep(within(queries, item, pool, near).groupBy(item).agg(F.min(F.struct("distance", "match_id")).alias("m")).select(item, "m.match_id", "m.distance"))
+    far = queries.select(item, "p", "d").join(close.select(item), item, "left_anti")
+    return close.unionByName(scan_best(far, item, pool, 1, staging))
+
+
+def best_two(queries: DataFrame, item: str, pool: DataFrame, both: bool = False) -> DataFrame:
+    """(item, best_id, best_distance, runner_up_distance, margin) at any distance, by p alone unless ``both``.
+
+    The runner-up is the next class in order of distance and id, also at the same distance.
+    """
+    staging = Staging(queries.sparkSession, "best_two")
+    two = scan_best(queries, item, pool, 2, staging, both)
+    g = two.groupBy(item).agg(F.min(F.struct("distance", "match_id")).alias("a"), F.max(F.struct("distance", "match_id")).alias("b"))
+    other = F.when(F.col("a.match_id") != F.col("b.match_id"), F.col("b.distance"))
+    return g.select(item, F.col("a.match_id").alias("best_id"), F.col("a.distance").alias("best_distance"), other.alias("runner_up_distance"), (other - F.col("a.distance")).alias("margin"))

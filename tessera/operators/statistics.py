@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,28 +50,63 @@ def group_sums(df: DataFrame, unit: str, sums: dict[str, Column], *by: str) -> D
     return df.groupBy(*by, unit).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
 
 
-def poisson_weights(stats: DataFrame, unit: str, draws: int, seed: int, *by: str) -> DataFrame:
-    """One row per (draw, unit) that is picked, with its weight: a Poisson(1) bootstrap.
+def poisson_cdf(top: int = 12) -> list[float]:
+    """P(X <= k) of a Poisson variable with mean 1, for k below ``top``; what lies above is less likely than 1e-10."""
+    return [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(top)]
 
-    The weight depends on the unit and the draw alone, so no draw needs to see all units, and the sums over a
-    draw are combined before the shuffle to one row per draw.
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit integer hash in 64-bit arithmetic, so that SQL can compute it too."""
+    low = np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & low
+    return (x >> np.uint64(16)) ^ x
+
+
+def bootstrap_sums(stats: DataFrame, unit: str, sums: Sequence[str], draws: int, seed: int, *by: str) -> DataFrame:
+    """(by, draw, sums): the sums of each draw of a Poisson(1) bootstrap over units.
+
+    A unit's weight in a draw depends on the two alone, so no draw needs to see all units. Weights are made for whole
+    batches as matrices of units and draws and multiplied with the units' sums, so a task gives one row per draw,
+    whatever the number of units.
     """
-    u = draw(F.lit(seed), "draw", unit, *by) / F.lit(4294967296.0)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    w = F.lit(0)
-    for c in cdf:
-        w = w + (F.col("_u") >= c).cast("int")
-    # every unit is about to become as many rows as there are draws, so the small table is spread first
-    spread = stats.repartition(stats.sparkSession.sparkContext.defaultParallelism)
-    drawn = spread.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", u)
-    return drawn.where(F.col("_u") >= cdf[0]).withColumn("w", w).drop("_u")
-
-
-def interval(draws: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean and 2.5 / 97.5 percentiles (linear interpolation) of a statistic over draws."""
+    cdf = np.array(poisson_cdf())
+    key = draw(F.lit(seed), unit, *by)
+    second = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (unit, *by)])), 9, 8), 16, 10).cast("bigint")
+    rows = stats.select(*by, key.alias("_a"), second.alias("_b"), *[F.col(c).cast("double").alias(c) for c in sums])
+    schema = ", ".join([*(f"{c} {stats.schema[c].dataType.simpleString()}" for c in by), "draw int", *(f"{c} double" for c in sums)])
+    steps = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.groupby(list(by), dropna=False, sort=False) if by else [((), batch)]
+            for name, part in groups:
+                name = name if isinstance(name, tuple) else (name,)
+                total = held.setdefault(name, np.zeros((draws, len(sums))))
+                for at in range(0, len(part), 2048):
+                    block = part.iloc[at : at + 2048]
+                    a, b = (block[c].to_numpy().astype(np.uint64)[:, None] for c in ("_a", "_b"))
+                    u = mix32(mix32((a + steps) & np.uint64(0xFFFFFFFF)) ^ b) / 4294967296.0
+                    w = np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape)
+                    total += w.T.astype(float) @ block[list(sums)].to_numpy(float)
+        for name, total in held.items():
+            made = pd.DataFrame(total, columns=list(sums))
+            made.insert(0, "draw", np.arange(1, draws + 1, dtype=np.int32))
+            for i, c in enumerate(by):
+                made.insert(i, c, [name[i]] * draws)
+            yield made
+
+    # units are few bytes and each costs as many steps as there are draws: the table is spread over all cores first
+    spread = rows.repartition(stats.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def interval(draws: DataFrame, value: str, *by: str, **more: Column) -> DataFrame:
+    """Mean and 2.5 / 97.5 percentiles (linear interpolation) of a statistic over draws; ``more`` are further aggregates."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     g = draws.groupBy(*by) if by else draws
-    return g.agg(F.round(F.avg(value), 6).alias("mean"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"), F.count(value).alias("n_draws"))
+    return g.agg(F.round(F.avg(value), 6).alias("mean"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"), F.count(value).alias("n_draws"), *[F.round(c, 6).alias(k) for k, c in more.items()])
 
 
 def two_sided_p(value: Column) -> Column:

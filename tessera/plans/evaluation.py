@@ -243,70 +243,134 @@ def comparison_signs(spark, sf):
     return c.select("run_id", F.least("model_a", "model_b").alias("model_a"), F.greatest("model_a", "model_b").alias("model_b"), F.when(fwd, F.col("acc_diff")).otherwise(-F.col("acc_diff")).alias("acc_diff"), F.when(fwd, lo).otherwise(-hi).alias("lo"), F.when(fwd, hi).otherwise(-lo).alias("hi"))
 
 
-_CDF = "(0.36787944117144233), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462), (0.9963401531726563), (0.9994058151824183), (0.9999167588507119)"
+#: Draws of intervals and differences over cross-validated predictions, and of external items.
+CV_DRAWS, EXTERNAL_DRAWS = 2000, 4000
 
 
-def _w(u: str) -> str:
-    return " + ".join(f"({u} >= {c.strip(' ()')}::double)::int" for c in _CDF.split(","))
+def _boot(stats: str, seed: int, draws: int, *keys: str) -> str:
+    """Common table expressions: the units with their weight ``w`` in each draw ``d``."""
+    text = " || ':' || ".join([f"'{seed}'", *(f"({k})::varchar" for k in keys)])
+    step = lambda x: f"((xor({x} >> 16, {x}) * 73244475) & 4294967295)"
+    cdf = " + ".join(f"(u >= {c!r}::double)::int" for c in st.poisson_cdf())
+    return f"""bk as (select *, ('0x' || substr(md5({text}), 1, 8))::bigint as ka, ('0x' || substr(md5({text}), 9, 8))::bigint as kb from {stats}),
+b1 as (select bk.*, d.d, (ka + d.d * 2654435761) & 4294967295 as x from bk, range(1, {draws + 1}) d(d)), b2 as (select * replace ({step("x")} as x) from b1), b3 as (select * replace ({step("x")} as x) from b2),
+b4 as (select * replace (xor(xor(x >> 16, x), kb) as x) from b3), b5 as (select * replace ({step("x")} as x) from b4), b6 as (select * replace ({step("x")} as x) from b5),
+b7 as (select *, xor(x >> 16, x) / 4294967296.0::double as u from b6), bw as (select *, {cdf} as w from b7)"""
 
 
-def _boot(seed: int, unit: str, *by: str) -> str:
-    u = f"({_u(str(seed), 'd.d', unit, *by)} / 4294967296.0::double)"
-    return f"({_w(u)})"
+_CI = "round(avg({v}), 6) as mean, round(quantile_cont({v}, 0.025), 6) as lo, round(quantile_cont({v}, 0.975), 6) as hi, count({v}) as n_draws"
 
 
-#: Draws of the SQL forms only; the queries take the reference's numbers and so differ from their SQL.
-DRAWS = 100
-#: Draws of intervals and differences over cross-validated predictions (train_eval.py).
-CV_DRAWS = 2000
-#: Draws of strata, recalls and paired means of external items (eval_external.py, leakage_paired.py).
-EXTERNAL_DRAWS = 4000
-
-
-@query(_AB + f""", g as (select grp, sum(a_ok) as ok, count(*) as n from ab group by grp), dr as (select d, sum(w * ok) / sum(w * n) as acc from (select d.d, g.*, {_boot(42, 'g.grp')} as w from g, range(1, {DRAWS + 1}) d(d)) group by d)
-select round(avg(acc), 6) as mean, round(quantile_cont(acc, 0.025), 6) as lo, round(quantile_cont(acc, 0.975), 6) as hi, count(acc) as n_draws from dr""")
+@query(_AB + f""", g as (select grp, sum(a_ok) as ok, count(*) as n from ab group by grp), {_boot("g", 42, CV_DRAWS, "grp")}, dr as (select d, sum(w * ok) / sum(w * n) as acc from bw group by d)
+select {_CI.format(v="acc")} from dr""")
 def bootstrap_accuracy_ci(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", CV_DRAWS, 42).groupBy("draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("acc"))
+    d = st.bootstrap_sums(g, "grp", ["ok", "n"], CV_DRAWS, 42).select(F.try_divide("ok", "n").alias("acc"))
     return st.interval(d, "acc")
 
 
-@query(_AB + f""", g as (select grp, sum(a_ok) as a, sum(b_ok) as b, count(*) as n from ab group by grp), dr as (select d, (sum(w * a) - sum(w * b)) / sum(w * n) as diff from (select d.d, g.*, {_boot(43, 'g.grp')} as w from g, range(1, {DRAWS + 1}) d(d)) group by d)
-select round(avg(diff), 6) as mean, round(quantile_cont(diff, 0.025), 6) as lo, round(quantile_cont(diff, 0.975), 6) as hi, count(diff) as n_draws, round(least(1.0, 2 * least(avg((diff <= 0)::int), avg((diff >= 0)::int))), 6) as p from dr""")
+@query(_AB + f""", g as (select grp, sum(a_ok) as a, sum(b_ok) as b, count(*) as n from ab group by grp), {_boot("g", 43, CV_DRAWS, "grp")}, dr as (select d, (sum(w * a) - sum(w * b)) / sum(w * n) as diff from bw group by d)
+select {_CI.format(v="diff")}, round(least(1.0, 2 * least(avg((diff <= 0)::int), avg((diff >= 0)::int))), 6) as p from dr""")
 def bootstrap_paired_diff(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"a": F.col("a_ok"), "b": F.col("b_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", CV_DRAWS, 43).groupBy("draw").agg(((F.sum(F.col("w") * F.col("a")) - F.sum(F.col("w") * F.col("b"))) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
-    return st.interval(d, "diff").join(d.agg(F.round(st.two_sided_p(F.col("diff")), 6).alias("p")))
+    d = st.bootstrap_sums(g, "grp", ["a", "b", "n"], CV_DRAWS, 43).select(F.try_divide(F.col("a") - F.col("b"), F.col("n")).alias("diff"))
+    return st.interval(d, "diff", p=st.two_sided_p(F.col("diff")))
 
 
-@query(_AB + f""", g as (select grp, y_true, sum(a_ok) as ok, count(*) as n from ab group by grp, y_true), dr as (select y_true, d, sum(w * ok) / sum(w * n) as recall from (select d.d, g.*, {_boot(44, 'g.grp', 'g.y_true')} as w from g, range(1, {DRAWS + 1}) d(d)) group by y_true, d having sum(w * n) > 0)
-select y_true, round(avg(recall), 6) as mean, round(quantile_cont(recall, 0.025), 6) as lo, round(quantile_cont(recall, 0.975), 6) as hi, count(recall) as n_draws from dr group by y_true""")
+@query(_AB + f""", g as (select grp, y_true, sum(a_ok) as ok, count(*) as n from ab group by grp, y_true), {_boot("g", 44, EXTERNAL_DRAWS, "grp", "y_true")}, dr as (select y_true, d, sum(w * ok) / sum(w * n) as recall from bw group by y_true, d having sum(w * n) > 0)
+select y_true, {_CI.format(v="recall")} from dr group by y_true""")
 def bootstrap_recall_ci(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)}, "y_true")
-    d = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 44, "y_true").groupBy("y_true", "draw").agg((F.sum(F.col("w") * F.col("ok")) / F.sum(F.col("w") * F.col("n"))).alias("recall"))
+    d = st.bootstrap_sums(g, "grp", ["ok", "n"], EXTERNAL_DRAWS, 44, "y_true").select("y_true", F.try_divide("ok", "n").alias("recall"))
     return st.interval(d, "recall", "y_true")
 
 
-@query(_AB + f""", s as (select grp, y_true, (grp % 2 = 0) as direct, sum(a_ok) as ok, count(*) as n from ab group by all), dr as (select d, y_true, sum(w * ok) filter (where direct) / sum(w * n) filter (where direct) - sum(w * ok) filter (where not direct) / sum(w * n) filter (where not direct) as delta from (select d.d, s.*, {_boot(45, 's.grp', 's.y_true')} as w from s, range(1, {DRAWS + 1}) d(d)) group by d, y_true),
-q as (select d, avg(delta) as delta from dr group by d) select round(avg(delta), 6) as mean, round(quantile_cont(delta, 0.025), 6) as lo, round(quantile_cont(delta, 0.975), 6) as hi, count(delta) as n_draws from q""")
+@query(_AB + f""", s as (select grp, y_true, sum(a_ok) filter (where grp % 2 = 0) as ok1, count_if(grp % 2 = 0) as n1, sum(a_ok) filter (where grp % 2 = 1) as ok0, count_if(grp % 2 = 1) as n0 from ab group by all), {_boot("s", 45, EXTERNAL_DRAWS, "grp", "y_true")},
+dr as (select d, y_true, sum(w * coalesce(ok1, 0)) / nullif(sum(w * n1), 0) - sum(w * coalesce(ok0, 0)) / nullif(sum(w * n0), 0) as delta from bw group by d, y_true), q as (select d, avg(delta) as delta from dr group by d)
+select {_CI.format(v="delta")} from q""")
 def bootstrap_stratified_delta(spark, sf):
-    g = st.group_sums(_pairs(spark, sf).withColumn("direct", F.col("grp") % 2 == 0), "grp", {"ok": F.col("a_ok"), "n": F.lit(1)}, "y_true", "direct")
-    w = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 45, "y_true")
-    part = lambda c, d: F.sum(F.when(d, F.col("w") * F.col(c)))
-    yes, no = F.col("direct"), ~F.col("direct")
-    per = w.groupBy("draw", "y_true").agg((F.try_divide(part("ok", yes), part("n", yes)) - F.try_divide(part("ok", no), part("n", no))).alias("delta"))
+    """Mean over classes of the difference in recall between two strata; a class missing from either is left out."""
+    pairs = _pairs(spark, sf)
+    yes = F.col("grp") % 2 == 0
+    g = st.group_sums(pairs, "grp", {"ok1": F.when(yes, F.col("a_ok")).otherwise(0), "n1": yes.cast("int"), "ok0": F.when(~yes, F.col("a_ok")).otherwise(0), "n0": (~yes).cast("int")}, "y_true")
+    d = st.bootstrap_sums(g, "grp", ["ok1", "n1", "ok0", "n0"], EXTERNAL_DRAWS, 45, "y_true")
+    per = d.select("draw", (F.try_divide("ok1", "n1") - F.try_divide("ok0", "n0")).alias("delta"))
     return st.interval(per.groupBy("draw").agg(F.avg("delta").alias("delta")), "delta")
 
 
-@query(_AB + f""", g as (select grp, sum(a_ok - b_ok) as d0, count(*) as n from ab group by grp), dr as (select d, sum(w * d0) / sum(w * n) as diff from (select d.d, g.*, {_boot(46, 'g.grp')} as w from g, range(1, {DRAWS + 1}) d(d)) group by d)
-select round(avg(diff), 6) as mean, count(diff) as n_draws, round(least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1)), 6) as p, case when least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1)) < 2.0 / {DRAWS + 1} then '<{2 / (DRAWS + 1):.4f}' else printf('%.4f', least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1))) end as p_text from dr""")
+@query(_AB + f""", g as (select grp, sum(a_ok - b_ok) as d0, count(*) as n from ab group by grp), {_boot("g", 46, EXTERNAL_DRAWS, "grp")}, dr as (select d, sum(w * d0) / sum(w * n) as diff from bw group by d),
+q as (select avg(diff) as mean, count(diff) as n_draws, least(1.0, 2 * (least(count_if(diff <= 0), count_if(diff >= 0)) + 1) / (count(diff) + 1)) as q from dr)
+select round(mean, 6) as mean, n_draws, round(q, 6) as p, case when q < 2.0 / {EXTERNAL_DRAWS + 1} then '<{2 / (EXTERNAL_DRAWS + 1):.4f}' else printf('%.4f', q) end as p_text from q""")
 def bootstrap_cluster(spark, sf):
     g = st.group_sums(_pairs(spark, sf), "grp", {"d0": F.col("a_ok") - F.col("b_ok"), "n": F.lit(1)})
-    d = st.poisson_weights(g, "grp", EXTERNAL_DRAWS, 46).groupBy("draw").agg((F.sum(F.col("w") * F.col("d0")) / F.sum(F.col("w") * F.col("n"))).alias("diff"))
+    d = st.bootstrap_sums(g, "grp", ["d0", "n"], EXTERNAL_DRAWS, 46).select(F.try_divide("d0", "n").alias("diff"))
     out = d.agg(F.round(F.avg("diff"), 6).alias("mean"), F.count("diff").alias("n_draws"), st.two_sided_p_plus(F.col("diff")).alias("q"))
     return out.select("mean", "n_draws", F.round("q", 6).alias("p"), st.format_p(F.col("q"), EXTERNAL_DRAWS, True).alias("p_text"))
 
 
+_CELLS = [(a, b) for a in ABC for b in ABC]
+_SUMS = [*(f"c_{a}{b}" for a, b in _CELLS), "sq", *(f"{k}{i}" for i in range(1, 16) for k in ("bn", "bc", "ba"))]
+_UNITS = f"""{DEC}, sq as (select item, sum(pow(prob - (y_true = label)::int, 2)) as sq from pr group by item), it as (select dc.*, sq.sq, ceil(round(conf * 15, 9))::int as bin from dc join sq using (item)),
+g as (select grp, {", ".join(f"count_if(y_true = '{a}' and pred = '{b}') as c_{a}{b}" for a, b in _CELLS)}, sum(sq) as sq, {", ".join(f"count_if(bin = {i}) as bn{i}, coalesce(sum(conf) filter (where bin = {i}), 0) as bc{i}, coalesce(sum(correct) filter (where bin = {i}), 0) as ba{i}" for i in range(1, 16))} from it group by grp)"""
+
+
+def _metric_exprs(div, add) -> dict[str, str]:
+    """Every metric as a SQL expression over the additive sums of a sample."""
+    total = add(f"c_{a}{b}" for a, b in _CELLS)
+    tp = {a: f"c_{a}{a}" for a in ABC}
+    true = {a: "(" + add(f"c_{a}{b}" for b in ABC) + ")" for a in ABC}
+    pred = {a: "(" + add(f"c_{b}{a}" for b in ABC) + ")" for a in ABC}
+    f1 = {a: f"coalesce({div(f'2 * {tp[a]}', f'({true[a]} + {pred[a]})')}, 0)" for a in ABC}
+    mean = lambda xs: "(" + add(xs) + f") / {len(ABC)}"
+    present = " + ".join(f"cast({true[a]} > 0 as int)" for a in ABC)
+    bins = range(1, 16)
+    return {
+        "accuracy": div("(" + add(tp.values()) + ")", f"({total})"),
+        "balanced_accuracy": div("(" + add(f"coalesce({div(tp[a], true[a])}, 0)" for a in ABC) + ")", f"({present})"),
+        "macro_precision": mean(f"coalesce({div(tp[a], pred[a])}, 0)" for a in ABC),
+        "macro_recall": mean(f"coalesce({div(tp[a], true[a])}, 0)" for a in ABC),
+        "macro_specificity": mean(f"coalesce({div(f'({total} - {true[a]} - {pred[a]} + {tp[a]})', f'({total} - {true[a]})')}, 0)" for a in ABC),
+        "macro_f1": mean(f1[a] for a in ABC),
+        "weighted_f1": div("(" + add(f"{true[a]} * {f1[a]}" for a in ABC) + ")", f"({total})"),
+        "brier": div("sq", f"({total})"),
+        "ece": div("(" + add(f"abs(ba{i} - bc{i})" for i in bins) + ")", "(" + add(f"bn{i}" for i in bins) + ")"),
+        "mean_confidence": div("(" + add(f"bc{i}" for i in bins) + ")", "(" + add(f"bn{i}" for i in bins) + ")"),
+    }
+
+
+_PLUS = " + ".join
+_DUCK = _metric_exprs(lambda a, b: f"({a} / nullif({b}, 0))", _PLUS)
+
+
+def _unit_sums(spark, sf):
+    """The additive sums of every metric per resampling unit."""
+    sq = v.predictions(spark, sf).groupBy("item").agg(F.sum(F.pow(F.col("prob") - (F.col("y_true") == F.col("label")).cast("double"), 2)).alias("sq"))
+    it = v.decisions(spark, sf).join(sq, "item").withColumn("bin", F.ceil(F.round(F.col("conf") * 15, 9)).cast("int"))
+    sums = {f"c_{a}{b}": ((F.col("y_true") == a) & (F.col("pred") == b)).cast("int") for a, b in _CELLS}
+    sums["sq"] = F.col("sq")
+    for i in range(1, 16):
+        here = F.col("bin") == i
+        sums |= {f"bn{i}": here.cast("int"), f"bc{i}": F.when(here, F.col("conf")).otherwise(0.0), f"ba{i}": F.when(here, F.col("correct")).otherwise(0)}
+    return st.group_sums(it, "grp", sums)
+
+
+@query("with " + _UNITS + ", t as (select " + ", ".join(f"sum({c})::double as {c}" for c in _SUMS) + " from g) " + " union all ".join(f"select '{m}' as metric, round({x}, 6) as value from t" for m, x in _DUCK.items()))
+def all_metrics(spark, sf):
+    """Every metric of a set of predictions: fixed labels, empty denominators 0, balanced accuracy over the labels present."""
+    t_ = _unit_sums(spark, sf).agg(*[F.sum(c).cast("double").alias(c) for c in _SUMS])
+    exprs = _metric_exprs(lambda a, b: f"try_divide({a}, {b})", _PLUS)
+    return t_.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.expr(x), 6).alias("value")) for m, x in exprs.items()])))
+
+
+@query("with " + _UNITS + f", {_boot('g', 47, CV_DRAWS, 'grp')}, dr as (select d, " + ", ".join(f"sum(w * {c})::double as {c}" for c in _SUMS) + " from bw group by d), mv as (" + " union all ".join(f"select d, '{m}' as metric, {x} as v from dr" for m, x in _DUCK.items()) + f") select metric, {_CI.format(v='v')} from mv group by metric")
+def bootstrap_metrics_ci(spark, sf):
+    """Intervals of every metric over one group bootstrap; a draw in which a metric is undefined is skipped for it."""
+    d = st.bootstrap_sums(_unit_sums(spark, sf), "grp", _SUMS, CV_DRAWS, 47)
+    exprs = _metric_exprs(lambda a, b: f"try_divide({a}, {b})", _PLUS)
+    long = d.select("draw", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(x).alias("v")) for m, x in exprs.items()])))
+    return st.interval(long, "v", "metric")
+
+
 @query(f"with {CURATED}, b as (select label, bytes, path, median(bytes) over (partition by label) as med from c where bytes > 0 and label is not null) select label, path, med from (select *, row_number() over (partition by label order by abs(bytes - med), path) as r from b) where r = 1")
 def median_representative(spark, sf):
     b = v.curated(spark, sf).where("bytes > 0 and label is not null").select("label", "bytes", "path")

@@ -34,7 +34,7 @@ _H = f"{FILES}, h as (select p, d, min(file_id) as rep from f where p is not nul
 
 @query(f"with recursive {_H}, r(node, seen) as (select a, a from e union select r.node, e.b from r join e on r.seen = e.a) select node as rep, min(seen) as cluster from r group by node")
 def dup_clusters(spark, sf):
-    return gr.components(ne.banded_pairs(ne.hash_classes(v.files(spark, sf)), 2)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    return gr.components(ne.banded_pairs(ne.hash_classes(v.files(spark, sf, "p", "d")), 2)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
 
 _BI = f"with recursive {LABELLED}, k as (select distinct 'g:' || grp as a, 'p:' || patient as b from l where grp is not null and patient is not null), e as (select a, b from k union select b, a from k), r(node, seen) as (select a, a from e union select r.node, e.b from r join e on r.seen = e.a)"
@@ -58,7 +58,7 @@ def constrained_groups(spark, sf):
     Nodes are the files of one patient with equal hashes; copies and near files are edges that can be refused. Where a
     path names several patients, its file stands in a node that holds them all.
     """
-    files = v.files(spark, sf)
+    files = v.files(spark, sf, "path", "p", "d")
     patients = v.curated(spark, sf).where("patient is not null").groupBy("path").agg(F.array_sort(F.collect_set("patient")).alias("patients"))
     held = files.select("file_id", "path", "p", "d").join(patients, "path", "left").where("(p is not null and d is not null) or patients is not null")
     hashed = F.col("p").isNotNull() & F.col("d").isNotNull()
@@ -90,11 +90,9 @@ _EX = _EX.replace("{P}", _P).replace("{D}", _D)
 @query(_EX + " select path, sum((nf > 1 or fmin <> k)::int)::bigint as n_exposed_folds, sum((nf = 1 and fmin = k)::int)::bigint as n_unexposed_folds, max(ng) as n_matched_groups from (select path, count(distinct fold) as nf, min(fold) as fmin, count(distinct grp) as ng from x group by path), range(5) r(k) group by path")
 def exposure_matrix(spark, sf):
     """Per external item: outer folds whose development part holds a near copy (any fold other than the held-out one)."""
-    from ..functions.hashing import parse_hash64
-
-    dev = v.labelled_folds(spark, sf).select("path", "fold", "grp").join(v.files(spark, sf).select("path", "p", "d"), "path")
+    dev = v.labelled_folds(spark, sf).select("path", "fold", "grp").join(v.files(spark, sf, "path", "p", "d"), "path")
     classes = dev.where("p is not null and d is not null").groupBy("p", "d").agg(F.min("path").alias("rep"))
-    ext = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path", parse_hash64("phash").alias("p"), parse_hash64("dhash").alias("d")).where("p is not null and d is not null").groupBy("path").agg(F.min("p").alias("p"), F.min("d").alias("d"))
+    ext = v.external(spark, sf)
     hit = ne.within(ext, "path", classes, 2).select("path", F.col("match_id").alias("rep"))
     members = dev.join(classes, ["p", "d"]).select("rep", "fold", "grp")
     per = hit.join(members, "rep").groupBy("path").agg(F.countDistinct("fold").alias("nf"), F.min("fold").alias("f0"), F.countDistinct("grp").alias("n_matched_groups"))

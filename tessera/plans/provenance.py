@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as px
+from ..functions.hashing import norm_digest
 from ..operators import curation as cu
 from ..operators import duplicates as du
 from ..operators import neighbours as ne
+from ..session import Staging
 from ..sources import views as v
 from ..sources.tables import table as t
 from .base_sql import CURATED, FILES, FOLDS
@@ -32,33 +35,33 @@ _GROUPS = f"""with {FILES}, g as (select sha, count(*) as n_files, array_to_stri
 
 @query(_GROUPS + " select * from g")
 def dup_exact_groups(spark, sf):
-    return du.exact_groups(v.files(spark, sf), "sha", "source", "class")
+    return du.exact_groups(v.files(spark, sf, "sha", "source", "class"), "sha", "source", "class")
 
 
 @query(_GROUPS + " select sources, count(*) as n_groups, sum(n_files)::bigint as n_files from g where n_sources > 1 group by 1")
 def dup_source_combos(spark, sf):
-    g = du.exact_groups(v.files(spark, sf), "sha", "source", "class").where("n_sources > 1")
+    g = du.exact_groups(v.files(spark, sf, "sha", "source", "class"), "sha", "source", "class").where("n_sources > 1")
     return g.groupBy("sources").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_files").alias("n_files"))
 
 
 @query(_GROUPS + " select * from g where class_conflict")
 def dup_label_conflicts(spark, sf):
-    return du.exact_groups(v.files(spark, sf), "sha", "source", "class").where("class_conflict")
+    return du.exact_groups(v.files(spark, sf, "sha", "source", "class"), "sha", "source", "class").where("class_conflict")
 
 
 @query(f"with {FILES} select source, n, n_unique, round(1 - n_unique / n, 6) as redundant_share from (select source, count(*) as n, count(distinct sha) + count_if(sha is null)::bigint as n_unique from f group by source)")
 def source_redundancy(spark, sf):
-    return du.redundancy(v.files(spark, sf), ["source"], "sha")
+    return du.redundancy(v.files(spark, sf, "source", "sha"), ["source"], "sha")
 
 
 @query(f"with {FILES}, k as (select distinct sha, source from f where sha is not null and source is not null) select a.source as source_a, b.source as source_b, count(*) as n_shared from k a join k b on a.sha = b.sha and a.source < b.source group by 1, 2")
 def source_overlap_exact(spark, sf):
-    return du.shared_between(v.files(spark, sf), "sha", "source")
+    return du.shared_between(v.files(spark, sf, "source", "sha"), "sha", "source")
 
 
 @query(f"with {FILES} select file_id, sha, coalesce(count(*) over (partition by sha) > 1 and sha is not null, false) as is_repeated from f")
 def dup_flags(spark, sf):
-    return du.flag_repeats(v.files(spark, sf).select("file_id", "sha"), ["sha"])
+    return du.flag_repeats(v.files(spark, sf, "sha"), ["sha"])
 
 
 @query(f"with {CURATED} select source, " + ", ".join(f"count_if(label = '{x}')::bigint as {x}" for x in LABELS) + " from c group by source")
@@ -73,20 +76,20 @@ def crosstab_margins(spark, sf):
 
 @query(f"with {FILES} select source, dims, n, rank from (select *, row_number() over (partition by source order by n desc, dims) as rank from (select source, width || 'x' || height as dims, count(*) as n from f where width is not null and height is not null group by 1, 2)) where rank <= 4")
 def top_sizes_per_source(spark, sf):
-    return du.top_sizes(v.files(spark, sf), "source")
+    return du.top_sizes(v.files(spark, sf, "source", "width", "height"), "source")
 
 
 @query(f"with {FILES} select case when source in ('slicebank', 'northset') then 'reference' when source like 'mirror%' then 'mirror' else 'other' end as pool, count(*) as n_files, count(distinct sha) as n_contents, sum(bytes)::bigint as total_bytes from f group by 1")
 def pool_sizes(spark, sf):
     pool = F.when(F.col("source").isin("slicebank", "northset"), "reference").when(F.col("source").startswith("mirror"), "mirror").otherwise("other")
-    return v.files(spark, sf).groupBy(pool.alias("pool")).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("sha").alias("n_contents"), F.sum("bytes").alias("total_bytes"))
+    return v.files(spark, sf, "source", "sha", "bytes").groupBy(pool.alias("pool")).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("sha").alias("n_contents"), F.sum("bytes").alias("total_bytes"))
 
 
 @query(f"""with {FILES}, r(src, cls) as (values ('slicebank', 'glioma'), ('slicebank', 'meningioma'), ('slicebank', 'pituitary'), ('northset', 'notumor'), ('brightset', 'notumor'))
 select f.source, f.class, (r.src is not null) as included, count(*) as n from f left join r on f.source = r.src and f.class = r.cls group by 1, 2, 3""")
 def curation_rules(spark, sf):
     rules = [("slicebank", "glioma"), ("slicebank", "meningioma"), ("slicebank", "pituitary"), ("northset", "notumor"), ("brightset", "notumor")]
-    return cu.apply_rules(v.files(spark, sf), rules).groupBy("source", "class", "included").agg(F.count(F.lit(1)).alias("n"))
+    return cu.apply_rules(v.files(spark, sf, "source", "class"), rules).groupBy("source", "class", "included").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -114,31 +117,25 @@ _HC = f"{FILES}, h as (select p, d, min(file_id) as rep, count(*) as n from f wh
 
 @query(f"with {_HC} select a.rep as a, b.rep as b, bit_count(xor(a.p, b.p))::int as dist_p, bit_count(xor(a.d, b.d))::int as dist_d from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2")
 def hamming_pairs_banded(spark, sf):
-    return ne.banded_pairs(ne.hash_classes(v.files(spark, sf)), 2)
+    return ne.banded_pairs(ne.hash_classes(v.files(spark, sf, "p", "d")), 2)
 
 
 @query(f"with {_HC} select greatest(bit_count(xor(a.p, b.p)), bit_count(xor(a.d, b.d)))::int as distance, count(*) as n from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 4 and bit_count(xor(a.d, b.d)) <= 4 group by 1")
 def match_histogram(spark, sf):
-    pairs = ne.banded_pairs(ne.hash_classes(v.files(spark, sf)), 4)
+    pairs = ne.banded_pairs(ne.hash_classes(v.files(spark, sf, "p", "d")), 4)
     return pairs.groupBy(F.greatest("dist_p", "dist_d").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _POOL = f"""{FILES}, q as (select distinct path, {{P}} as p, {{D}} as d from bdneuro_v7_manifest where path is not null), pool as (select p, d, min(file_id) as rep from f where p is not null and d is not null group by p, d),
-near as (select q.path, pool.rep, greatest(bit_count(xor(q.p, pool.p)), bit_count(xor(q.d, pool.d)))::int as dist from (select path, min(p) as p, min(d) as d from q where p is not null and d is not null group by path) q join pool on bit_count(xor(q.p, pool.p)) <= 4 and bit_count(xor(q.d, pool.d)) <= 4),
-rk as (select *, row_number() over (partition by path order by dist, rep) as r from near)"""
+qh as (select path, min(p) as p, min(d) as d from q where p is not null and d is not null group by path),
+near as (select qh.path, pool.rep, bit_count(xor(qh.p, pool.p))::int as dp, greatest(bit_count(xor(qh.p, pool.p)), bit_count(xor(qh.d, pool.d)))::int as dist from qh cross join pool),
+rk as (select *, row_number() over (partition by path order by dist, rep) as r, row_number() over (partition by path order by dp, rep) as rp from near)"""
 from .base_sql import D as _D  # noqa: E402
 from .base_sql import P as _P  # noqa: E402
 
 _POOL = _POOL.replace("{P}", _P).replace("{D}", _D)
 
 
-def _ext(spark, sf):
-    from ..functions.hashing import parse_hash64
-
-    m = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path", parse_hash64("phash").alias("p"), parse_hash64("dhash").alias("d"))
-    return m.where("p is not null and d is not null").groupBy("path").agg(F.min("p").alias("p"), F.min("d").alias("d"))
-
-
 def _members(files, classes, *cols):
     """(rep, *cols, n): what the files of each hash class have in these columns, and how many of them."""
     return files.join(classes.select("p", "d", "rep"), ["p", "d"]).groupBy("rep", *cols).agg(F.count(F.lit(1)).alias("n"))
@@ -146,40 +143,100 @@ def _members(files, classes, *cols):
 
 @query(f"with {_POOL} select path, rep as match_id, dist as distance from rk where r = 1")
 def nearest_neighbour(spark, sf):
-    return ne.nearest(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4).select("path", "match_id", "distance")
+    return ne.nearest(v.external(spark, sf), "path", ne.hash_classes(v.files(spark, sf, "p", "d"))).select("path", "match_id", "distance")
 
 
-@query(f"with {_POOL} select a.path, a.rep as best_id, a.dist as best_distance, b.dist as runner_up_distance, b.dist - a.dist as margin from rk a left join rk b on a.path = b.path and b.r = 2 where a.r = 1")
+@query(f"with {_POOL} select a.path, a.rep as best_id, a.dp as best_distance, b.dp as runner_up_distance, b.dp - a.dp as margin from rk a left join rk b on a.path = b.path and b.rp = 2 where a.rp = 1")
 def best_two_match(spark, sf):
-    return ne.best_two(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4)
+    """Best and second match by the first hash alone, at any distance."""
+    return ne.best_two(v.external(spark, sf), "path", ne.hash_classes(v.files(spark, sf, "p", "d")))
 
 
-@query(f"""with {_POOL} select scope, count(distinct q.path) as n_items, count(distinct n.path) as n_matched, min(n.dist) as min_distance from (values ('trained'), ('sources'), ('composite')) s(scope) cross join (select distinct path from q) q
-left join (select k.path, k.dist, unnest(case when f.source = 'slicebank' then ['trained', 'composite'] when f.source like 'mirror%' then ['sources', 'composite'] else ['composite'] end) as sc from near k join f on f.file_id = k.rep) n on n.path = q.path and n.sc = s.scope group by scope""")
-def scopes_overlap_report(spark, sf):
-    """Matches per scope; a match counts for every source that holds a copy with its hashes (the SQL takes its smallest file's only)."""
-    files = v.files(spark, sf)
-    classes = ne.hash_classes(files)
-    held = _members(files, classes, "source").select(F.col("rep").alias("match_id"), "source")
-    near = ne.within(_ext(spark, sf), "path", classes, 4).join(held, "match_id")
-    scopes = F.when(F.col("source") == "slicebank", F.array(F.lit("trained"), F.lit("composite"))).when(F.col("source").startswith("mirror"), F.array(F.lit("sources"), F.lit("composite"))).otherwise(F.array(F.lit("composite")))
-    n_items = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").agg(F.countDistinct("path").alias("n_items"))
-    hit = near.select("path", "distance", F.explode(scopes).alias("scope")).groupBy("scope").agg(F.countDistinct("path").alias("n_matched"), F.min("distance").alias("min_distance"))
-    names = n_items.select(F.explode(F.array(F.lit("trained"), F.lit("sources"), F.lit("composite"))).alias("scope"), "n_items")
-    return names.join(hit, "scope", "left").select("scope", "n_items", F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "min_distance")
+#: Scope of a pool file by its source: what was trained on, what stands in source repositories, and both together.
+_SCOPES = "case when f.source = 'slicebank' then ['trained', 'composite'] when f.source like 'mirror%' then ['sources', 'composite'] else ['composite'] end"
+
+
+def _scopes():
+    return F.when(F.col("source") == "slicebank", F.array(F.lit("trained"), F.lit("composite"))).when(F.col("source").startswith("mirror"), F.array(F.lit("sources"), F.lit("composite"))).otherwise(F.array(F.lit("composite")))
+
 
+_SC = f"""{_POOL}, held as (select distinct pool.rep, unnest({_SCOPES}) as scope from pool join f using (p, d)),
+sn as (select held.scope, near.path, min(near.dist) as dist from near join held using (rep) group by 1, 2)"""
 
-@query(f"""with {_POOL} select case when k.dist is null then 'clean' when k.dist = 0 then 'direct' else 'near' end as stratum, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from (select distinct path from q) q left join rk k on q.path = k.path and k.r = 1 group by 1""")
+
+def scope_distances(spark, sf):
+    """(path, scope, distance): the nearest pool class of each external item in each scope, at any distance.
+
+    A class counts for every source that holds a copy with its hashes.
+    """
+    files = v.files(spark, sf, "p", "d", "source")
+    classes = ne.hash_classes(files)
+    held = Staging(spark, "scopes").keep(_members(files, classes, "source").select("rep", F.explode(_scopes()).alias("scope")).distinct().join(classes.select("rep", "p", "d"), "rep"))
+    queries, out = v.external(spark, sf), None
+    for scope in ("trained", "sources", "composite"):
+        part = ne.nearest(queries, "path", held.where(F.col("scope") == scope)).select("path", F.lit(scope).alias("scope"), "distance")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""with {_SC}, m as (select distinct path, nullif(lower(trim(sha256)), '') as sha, nullif(lower(trim(group_id)), '') as grp from bdneuro_v7_manifest where path is not null), one as (select path, min(sha) as sha, min(grp) as grp from m group by path),
+fs as (select distinct sha, unnest({_SCOPES}) as scope from f where sha is not null),
+j as (select s.scope, one.path, one.grp, sn.dist, (fs.sha is not null) as same, coalesce(sn.dist <= 4, false) as hit from (values ('trained'), ('sources'), ('composite')) s(scope) cross join one left join sn on sn.path = one.path and sn.scope = s.scope left join fs on fs.sha = one.sha and fs.scope = s.scope),
+g as (select scope, grp, bool_or(hit) as hit from j where grp is not null group by 1, 2)
+select scope, count(*) as n_items, count_if(same)::bigint as byte_identical, count_if(hit)::bigint as n_matched, round(count_if(hit) / count(*), 6) as image_rate, min(gc) as groups_contaminated, round(min(gc) / min(gn), 6) as group_rate, min(dist) as min_distance
+from j join (select scope, count_if(hit)::bigint as gc, count(*) as gn from g group by 1) q using (scope) group by scope""")
+def scopes_overlap_report(spark, sf):
+    """Overlap of the external release with each scope: equal bytes, near images, groups with a near image, nearest distance."""
+    files = v.files(spark, sf, "sha", "source")
+    m = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path", norm_digest("sha256").alias("sha"), F.nullif(F.lower(F.trim("group_id")), F.lit("")).alias("grp"))
+    one = m.groupBy("path").agg(F.min("sha").alias("sha"), F.min("grp").alias("grp"))
+    fs = files.where("sha is not null").select("sha", F.explode(_scopes()).alias("scope")).distinct().withColumn("same", F.lit(True))
+    items = one.withColumn("scope", F.explode(F.array(F.lit("trained"), F.lit("sources"), F.lit("composite"))))
+    j = items.join(scope_distances(spark, sf), ["path", "scope"], "left").join(fs, ["sha", "scope"], "left").withColumn("hit", F.coalesce(F.col("distance") <= 4, F.lit(False)))
+    j = Staging(spark, "overlap_report").keep(j)
+    n = F.count(F.lit(1))
+    g = j.where("grp is not null").groupBy("scope", "grp").agg(F.bool_or("hit").alias("hit")).groupBy("scope").agg(F.count_if("hit").alias("groups_contaminated"), F.round(F.count_if("hit") / n, 6).alias("group_rate"))
+    r = j.groupBy("scope").agg(n.alias("n_items"), F.count_if(F.coalesce("same", F.lit(False))).alias("byte_identical"), F.count_if("hit").alias("n_matched"), F.round(F.count_if("hit") / n, 6).alias("image_rate"), F.min("distance").alias("min_distance"))
+    return r.join(g, "scope", "left").select("scope", "n_items", "byte_identical", "n_matched", "image_rate", "groups_contaminated", "group_rate", "min_distance")
+
+
+@query(f"""with {_SC}, w as (select q.path, max(dist) filter (where scope = 'trained') as t, max(dist) filter (where scope = 'sources') as s from (select distinct path from q) q left join sn using (path) group by 1),
+st as (select path, case when t <= 4 then 'direct' when s <= 4 then 'source_only' else 'clean' end as stratum, coalesce(not coalesce(s <= 4, false) and not coalesce(t <= 4, false) and least(t, s) >= 12, false) as strict_clean from w)
+select stratum, count(*) as n, count_if(strict_clean)::bigint as n_strict, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from st group by 1""")
 def strata(spark, sf):
-    near = ne.nearest(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4).select("path", "distance")
+    """Items close to trained files, close to source files only, or to neither; strictly clean where nothing is nearer than 12 bits."""
     every = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path").distinct()
-    named = every.join(near, "path", "left").select(F.when(F.col("distance").isNull(), "clean").when(F.col("distance") == 0, "direct").otherwise("near").alias("stratum"))
-    counts = named.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
+    w = scope_distances(spark, sf).where("scope <> 'composite'").groupBy("path").pivot("scope", ["trained", "sources"]).agg(F.max("distance"))
+    j = every.join(w, "path", "left")
+    near = lambda c: F.coalesce(F.col(c) <= 4, F.lit(False))
+    stratum = F.when(near("trained"), "direct").when(near("sources"), "source_only").otherwise("clean")
+    strict = F.coalesce(~near("trained") & ~near("sources") & (F.least("trained", "sources") >= 12), F.lit(False))
+    counts = j.select(stratum.alias("stratum"), strict.alias("strict")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("strict").alias("n_strict"))
     return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
+_BINS = "case when dist = 0 then '0' when dist between 1 and 2 then '1-2' when dist between 3 and 11 then '3-11' when dist between 12 and 15 then '12-15' else '16+' end"
+
+
+@query(f"with {_POOL}, b as (select dist, {_BINS} as bin from rk where r = 1) select bin, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct, min(dist) as lo, max(dist) as hi from b group by bin")
+def distance_bins(spark, sf):
+    """External items by distance to their nearest pool class, in closed bins."""
+    near = nearest_neighbour(spark, sf)
+    d = F.col("distance")
+    bin_ = F.when(d == 0, "0").when(d <= 2, "1-2").when(d <= 11, "3-11").when(d <= 15, "12-15").otherwise("16+")
+    g = near.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"))
+    return g.select("bin", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("pct"), "lo", "hi")
+
+
+@query(f"with {_SC} select scope, count(*) as n, quantile_cont(dist, 0.25) as q25, quantile_cont(dist, 0.5) as q50, quantile_cont(dist, 0.75) as q75, count_if(dist between 3 and 5)::bigint as n_3_5, count_if(dist between 6 and 11)::bigint as n_6_11, count_if(dist between 12 and 15)::bigint as n_12_15, count_if(dist >= 16)::bigint as n_16 from sn group by scope")
+def distance_quantiles(spark, sf):
+    """Quartiles (linear) of the nearest distance per scope, and counts of closed bins."""
+    d = F.col("distance")
+    q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # at most 65 distinct values
+    bins = {"n_3_5": d.between(3, 5), "n_6_11": d.between(6, 11), "n_12_15": d.between(12, 15), "n_16": d >= 16}
+    return scope_distances(spark, sf).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), *[F.count_if(c).alias(k) for k, c in bins.items()])
+
+
 _REP = f"""{CURATED}, rp as (select *, row_number() over (partition by dup_cluster order by case when source = 'slicebank' then 0 when source = 'northset' then 1 when source = 'brightset' then 2 else 9 end, (mask is null), coalesce(bytes, 0) desc, path) as r from c where dup_cluster is not null)"""
 
 
@@ -231,37 +288,50 @@ def sources_table(spark, sf):
 
 @query(f"""with {FILES}, {FOLDS} select f.source, count(*) as distributed, count(s.path) as retained, count(*) - count(s.path) as removed, round(100.0 * count(s.path) / count(*), 4) as retained_pct from f left join s using (path) group by f.source""")
 def retained_cohort(spark, sf):
-    j = v.files(spark, sf).select("source", "path").join(v.folds(spark, sf), "path", "left")
+    j = v.files(spark, sf, "source", "path").select("source", "path").join(v.folds(spark, sf), "path", "left")
     g = j.groupBy("source").agg(F.count(F.lit(1)).alias("distributed"), F.count("fold").alias("retained"))
     return g.select("source", "distributed", "retained", (F.col("distributed") - F.col("retained")).alias("removed"), F.round(100.0 * F.col("retained") / F.col("distributed"), 4).alias("retained_pct"))
 
 
-@query(f"""with {_POOL}, b as (select path, dist, case when dist = 0 then '0' when dist <= 2 then '1-2' else '3-4' end as band, ('0x' || substr(md5('42:' || path), 1, 8))::bigint as h from rk where r = 1)
+@query(f"""with {_POOL}, b as (select path, dist, case when dist = 0 then '0' when dist <= 2 then '1-2' else '3-99' end as band, ('0x' || substr(md5('42:' || path), 1, 8))::bigint as h from rk where r = 1)
 select band, path, dist as distance, pos::int as pos from (select *, row_number() over (partition by band order by h, path) as pos from b) where pos <= 10""")
 def band_sample(spark, sf):
     """Ten matches per distance band in a seeded order, for inspection."""
-    from pyspark.sql import Window
-
     from ..operators.statistics import draw
 
-    near = ne.nearest(_ext(spark, sf), "path", ne.hash_classes(v.files(spark, sf)), 4)
-    band = F.when(F.col("distance") == 0, "0").when(F.col("distance") <= 2, "1-2").otherwise("3-4")
+    near = nearest_neighbour(spark, sf)
+    band = F.when(F.col("distance") == 0, "0").when(F.col("distance") <= 2, "1-2").otherwise("3-99")
     w = Window.partitionBy("band").orderBy(draw(F.lit(42), "path"), "path")
     return near.select(band.alias("band"), "path", "distance").withColumn("pos", F.row_number().over(w)).where("pos <= 10")
 
 
-@query(f"with {_HC}, pairs as (select a.rep as a, b.rep as b from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2) select x.source as source_a, y.source as source_b, count(*) as n, round(avg((x.class = y.class)::int), 6) as agreement from pairs join f x on x.file_id = a join f y on y.file_id = b where x.class is not null and y.class is not null group by 1, 2")
+@query(f"""with {_HC}, pairs as (select a.rep as a, b.rep as b from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2),
+m as (select h.rep, f.source, f.class, count(*) as n from f join h using (p, d) where f.class is not null group by all)
+select x.source as source_a, y.source as source_b, sum(x.n * y.n)::bigint as n, round(sum(case when x.class = y.class then x.n * y.n else 0 end) / sum(x.n * y.n), 6) as agreement from pairs join m x on x.rep = a join m y on y.rep = b group by 1, 2""")
 def match_agreement(spark, sf):
     """Share of near pairs of files whose classes agree, per pair of sources.
 
-    All files of two near hash classes are pairs (the SQL takes the smallest file of each only); source_a is on the
-    side of the class with the smaller file_id. Files with equal hashes are no near pair.
+    All files of two near hash classes are pairs; source_a is on the side of the class with the smaller file_id.
+    Files with equal hashes are no near pair.
     """
-    files = v.files(spark, sf)
-    classes = ne.hash_classes(files)
+    j = _matched_labels(spark, sf)
+    n, same = F.col("na") * F.col("nb"), F.col("ca") == F.col("cb")
+    return j.groupBy("source_a", "source_b").agg(F.sum(n).alias("n"), F.round(F.sum(F.when(same, n).otherwise(0)) / F.sum(n), 6).alias("agreement"))
+
+
+def _matched_labels(spark, sf):
+    files = v.files(spark, sf, "source", "class", "p", "d")
+    classes = Staging(spark, "agreement").keep(ne.hash_classes(files))
     pairs = ne.banded_pairs(classes, 2).select("a", "b")
     held = _members(files.where("class is not null"), classes, "source", "class")
     side = lambda k, s, c, n: held.select(F.col("rep").alias(k), F.col("source").alias(s), F.col("class").alias(c), F.col("n").alias(n))
-    j = pairs.join(side("a", "source_a", "ca", "na"), "a").join(side("b", "source_b", "cb", "nb"), "b")
-    n, same = F.col("na") * F.col("nb"), F.col("ca") == F.col("cb")
-    return j.groupBy("source_a", "source_b").agg(F.sum(n).alias("n"), F.round(F.sum(F.when(same, n).otherwise(0)) / F.sum(n), 6).alias("agreement"))
+    return pairs.join(side("a", "source_a", "ca", "na"), "a").join(side("b", "source_b", "cb", "nb"), "b")
+
+
+@query(f"""with {_HC}, pairs as (select a.rep as a, b.rep as b from h a join h b on a.rep < b.rep and bit_count(xor(a.p, b.p)) <= 2 and bit_count(xor(a.d, b.d)) <= 2),
+m as (select h.rep, f.class, count(*) as n from f join h using (p, d) where f.class is not null group by all)
+select x.class as class_a, y.class as class_b, sum(x.n * y.n)::bigint as n from pairs join m x on x.rep = a join m y on y.rep = b where x.class <> y.class group by 1, 2""")
+def disagreement_crosstab(spark, sf):
+    """Near pairs of files whose classes differ, by both classes."""
+    j = _matched_labels(spark, sf).where("ca <> cb")
+    return j.groupBy(F.col("ca").alias("class_a"), F.col("cb").alias("class_b")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))

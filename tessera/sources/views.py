@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import norm_digest, parse_hash64
 from ..functions.missing import usable
+from .current import latest_rows
 from .tables import table
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """The current row of each file, with uniform spelling: file_id, path, source, class, split, width, height, mode, bytes, sha, p, d."""
-    row = F.struct(
-        "indexed_at", "loaded_at",
-        F.struct("path", F.lower(F.trim("source")).alias("source"), "class", F.lower(F.trim("orig_split")).alias("split"), "width", "height", "mode", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).alias("bytes"), norm_digest("sha256").alias("sha"), parse_hash64("phash").alias("p"), parse_hash64("dhash").alias("d")).alias("v"),
-    )
-    raw = table(spark, sf, "files_index").where("file_id is not null")
-    return raw.groupBy("file_id").agg(F.max(row).alias("r")).select("file_id", "r.v.*")
+def files(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """The current row of each file with uniform spelling: file_id and of path, source, class, split, width, height,
+    mode, bytes, sha, p, d those named (all by default), so that scan and shuffle hold nothing else."""
+    known = {
+        "path": F.col("path"), "source": F.lower(F.trim("source")), "class": F.col("class"), "split": F.lower(F.trim("orig_split")), "width": F.col("width"), "height": F.col("height"), "mode": F.col("mode"),
+        "bytes": F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)), "sha": norm_digest("sha256"), "p": parse_hash64("phash"), "d": parse_hash64("dhash"),
+    }
+    return latest_rows(table(spark, sf, "files_index"), "file_id", ("indexed_at", "loaded_at"), {c: known[c] for c in cols or known})
+
+
+def external(spark: SparkSession, sf: str) -> DataFrame:
+    """path, p, d of the external release's files that have both hashes; of differing rows of a path the smallest."""
+    m = table(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path", parse_hash64("phash").alias("p"), parse_hash64("dhash").alias("d"))
+    return m.where("p is not null and d is not null").groupBy("path").agg(F.min("p").alias("p"), F.min("d").alias("d"))
 
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
