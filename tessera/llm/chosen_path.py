@@ -7,7 +7,7 @@ hold the same token at the selected position, so two records that differ in ``2
 through ``m`` levels with probability ``(1 - 2 k / 128) ** m``. (A position selected again further down separates
 nothing and costs nothing.)
 
-The depth is the logarithm of the number of records, so a node holds about ``leaf / 16`` unrelated ones at any scale,
+The depth is the logarithm of the number of records, so a node holds about ``leaf / 64`` unrelated ones at any scale,
 and as many independent trees are grown as it takes to lose a pair at the very limit with a probability of ``miss``
 at most; closer pairs are lost more rarely still. Nodes of up to ``leaf`` records are compared exhaustively. The
 records of larger ones are branched again, into ``BRANCHES`` subtrees each so that recall is kept; what is still
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import Staging
 
 #: Records a node may hold to be compared exhaustively.
-LEAF = 1024
+LEAF = 4096
 #: Probability of losing a pair that differs in as many bits as allowed.
 MISS = 1e-5
 #: Levels added, subtrees grown and rounds made where a node is too large.
@@ -42,6 +42,7 @@ GROUP = 5
 _SCHEMA = "node bigint, a bigint, b bigint, p bigint, d bigint"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("node", "a", "b", "p", "d")])
 _ROWS = 200_000  # rows looked at together
+_SHORT = 128  # rows of a node compared step by step with those of other nodes; longer ones are compared as matrices
 _U = np.uint64
 
 
@@ -66,7 +67,7 @@ def descend(node: np.ndarray, p: np.ndarray, d: np.ndarray, levels: int) -> np.n
 
 def plan(n: int, k: int, leaf: int, miss: float) -> tuple[int, int]:
     """(levels, trees) for ``n`` records and at most ``k`` differing bits in each hash."""
-    levels = max(0, int(math.log2(max(n, 1) / max(1, leaf / 16))))
+    levels = max(0, int(math.log2(max(n, 1) / max(1, leaf / 64))))
     if n <= leaf or levels == 0:
         return 0, 1
     stay = 1 - 2 * k / 128
@@ -105,21 +106,34 @@ def _regrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _table(descend(mix(node + _U(t + 1)), p, d, LEVELS), rep, None, p, d)
 
 
-def _close(rep, p, d, end, k: int) -> Iterator[pa.RecordBatch]:
-    """Close pairs of rows that share a node; ``end`` is where the node of a row ends."""
-    at = np.nonzero(np.arange(len(rep)) + 1 < end)[0]
-    step = 1
-    while len(at):
-        other = at + step
-        near = np.bitwise_count(d[at] ^ d[other]) <= k
-        i, j = at[near], other[near]
-        dp, dd = np.bitwise_count(p[i] ^ p[j]), np.bitwise_count(d[i] ^ d[j])
+def _close(rep, p, d, starts, sizes, k: int) -> Iterator[pa.RecordBatch]:
+    """Close pairs of rows of one node; nodes are given by where they start and their sizes."""
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        dp = np.bitwise_count(p[i] ^ p[j])
         ok = dp <= k
         if ok.any():
-            x, y = rep[i[ok]].view(np.int64), rep[j[ok]].view(np.int64)
-            yield _table(None, np.minimum(x, y), np.maximum(x, y), dp[ok].astype(np.int64), dd[ok].astype(np.int64))
+            i, j, dp = i[ok], j[ok], dp[ok]
+            x, y = rep[i].view(np.int64), rep[j].view(np.int64)
+            yield _table(None, np.minimum(x, y), np.maximum(x, y), dp.astype(np.int64), np.bitwise_count(d[i] ^ d[j]).astype(np.int64))
+
+    short = sizes <= _SHORT
+    end = np.zeros(len(rep), np.int64)
+    at = np.repeat(starts[short] - np.cumsum(sizes[short]) + sizes[short], sizes[short]) + np.arange(sizes[short].sum())
+    end[at] = np.repeat((starts + sizes)[short], sizes[short])
+    step = 1
+    at = at[at + 1 < end[at]]
+    while len(at):
+        near = np.bitwise_count(d[at] ^ d[at + step]) <= k
+        yield from pairs(at[near], at[near] + step)
         step += 1
         at = at[at + step < end[at]]
+    for a, n in zip(starts[~short], sizes[~short], strict=True):
+        for i in range(a, a + n, 256):
+            rows = d[i : min(i + 256, a + n)]
+            x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ d[None, i : a + n]) <= k)
+            after = x < y
+            yield from pairs(x[after] + i, y[after] + i)
 
 
 def _compare(k: int, leaf: int | None):
@@ -139,16 +153,13 @@ def _compare(k: int, leaf: int | None):
             sizes = np.diff(np.concatenate([starts, [len(node)]]))
             big = sizes > leaf if leaf is not None else np.zeros(len(sizes), bool)
             big[0] |= large is not None and node[0] == large
-            keep = len(node)
-            if not last and not big[-1]:  # the last node may go on in the next batch
-                keep = starts[-1]
-                held, n_held = [[c[keep:] for c in (node, rep, p, d)]], len(node) - keep
             large = node[-1] if big[-1] else None
-            rows_big = np.repeat(big, sizes)[:keep]
-            if rows_big.any():
-                yield _table(node[:keep][rows_big], rep[:keep][rows_big], None, p[:keep][rows_big], d[:keep][rows_big])
-            end = np.repeat(starts + sizes, sizes)[:keep]
-            yield from _close(rep[:keep], p[:keep], d[:keep], np.where(rows_big, 0, end), k)
+            if not last and not big[-1]:  # the last node may go on in the next batch
+                held, n_held = [[c[starts[-1] :] for c in (node, rep, p, d)]], sizes[-1]
+                starts, sizes, big = starts[:-1], sizes[:-1], big[:-1]
+            for a, n in zip(starts[big], sizes[big], strict=True):
+                yield _table(node[a : a + n], rep[a : a + n], None, p[a : a + n], d[a : a + n])
+            yield from _close(rep, p, d, starts[~big], sizes[~big], k)
 
         for batch in batches:
             held.append(_columns(batch, "node", "a", "p", "d"))
