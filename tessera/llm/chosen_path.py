@@ -37,7 +37,7 @@ MISS = 1e-5
 #: Levels added, subtrees grown and rounds made where a node is too large.
 LEVELS, BRANCHES, ROUNDS = 5, 3, 3
 #: Trees grown at once; bounds the disk that moved records take.
-GROUP = 5
+GROUP = 3
 
 _SCHEMA = "node bigint, a bigint, b bigint, p bigint, d bigint"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("node", "a", "b", "p", "d")])
