@@ -48,6 +48,13 @@ def brier(scores: DataFrame) -> DataFrame:
     return scores.agg(F.round(F.sum(e) / F.count_if(F.col("y_true") == F.col("label")), 6).alias("brier"))
 
 
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits, shifted by the largest so that none overflows."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
 def reliability(df: DataFrame, bins: int = 15, *by: str) -> DataFrame:
     """Table over equal bins (lo, hi]: n, mean confidence, accuracy, gap; a confidence of 0 is in no bin."""
     b = F.ceil(F.round(F.col("conf") * bins, 9)).cast("int")

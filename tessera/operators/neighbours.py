@@ -110,7 +110,7 @@ def _scan_block(pool: DataFrame, rows: list[tuple[str, int, int]], k: int, both:
                     best_d[at : at + 256], best_i[at : at + 256] = np.take_along_axis(cand_d, order, 1), np.take_along_axis(cand_i, order, 1)
         ok = best_d < 254
         q = np.repeat(np.arange(n), k).reshape(n, k)[ok]
-        yield pd.DataFrame({"_q": [names.value[i] for i in q], "match_id": best_i[ok], "distance": best_d[ok].astype(np.int32)})
+        yield pd.DataFrame({"_q": pd.Series([names.value[i] for i in q], dtype=object), "match_id": best_i[ok], "distance": best_d[ok].astype(np.int32)})
 
     return pool.select("rep", "p", "d").mapInPandas(run, "_q string, match_id bigint, distance int")
 

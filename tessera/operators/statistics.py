@@ -94,7 +94,7 @@ def bootstrap_sums(stats: DataFrame, unit: str, sums: Sequence[str], draws: int,
             made = pd.DataFrame(total, columns=list(sums))
             made.insert(0, "draw", np.arange(1, draws + 1, dtype=np.int32))
             for i, c in enumerate(by):
-                made.insert(i, c, [name[i]] * draws)
+                made.insert(i, c, pd.Series([name[i]] * draws, dtype=object))
             yield made
 
     # units are few bytes and each costs as many steps as there are draws: the table is spread over all cores first

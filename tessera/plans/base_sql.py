@@ -14,4 +14,4 @@ LABELLED = f"{CURATED}, {FOLDS}, l as (select s.path, s.fold, k.label, k.grp, k.
 RUNS = "m as (select * from metrics where run_id is not null qualify row_number() over (partition by run_id order by written_at desc nulls last, loaded_at desc nulls last, metrics_id desc) = 1)"
 PRED = """w as (select l_orderkey * 10 + l_linenumber as item, l_orderkey as grp, l_returnflag as y_true, l_quantity::bigint as wa, 1 + round(l_discount * 100)::bigint as wn, 1 + round(l_tax * 100)::bigint as wr from lineitem where l_returnflag is not null),
 pr as (select item, grp, y_true, unnest(['A', 'N', 'R']) as label, unnest([wa, wn, wr]) / (wa + wn + wr) as prob from w)"""
-DEC = f"{PRED}, dc as (select item, grp, y_true, pred, conf, (pred = y_true)::int as correct from (select item, grp, y_true, case when wa >= wn and wa >= wr then 'A' when wn >= wr then 'N' else 'R' end as pred, greatest(wa, wn, wr) / (wa + wn + wr) as conf from w))"
+DEC = f"{PRED}, dc as (select item, grp, y_true, pred, conf, sq, (pred = y_true)::int as correct from (select item, grp, y_true, pow(wa / (wa + wn + wr) - (y_true = 'A')::int, 2) + pow(wn / (wa + wn + wr) - (y_true = 'N')::int, 2) + pow(wr / (wa + wn + wr) - (y_true = 'R')::int, 2) as sq, case when wa >= wn and wa >= wr then 'A' when wn >= wr then 'N' else 'R' end as pred, greatest(wa, wn, wr) / (wa + wn + wr) as conf from w))"

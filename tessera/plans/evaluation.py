@@ -158,9 +158,24 @@ def risk_coverage(spark, sf):
     return ev.risk_coverage(ev.pooled_units(v.predictions(spark, sf)), "grp")
 
 
-@query(_UN + ", k as (select *, row_number() over (order by conf, grp) as pos, count(*) over () as n from uc) select f.f as defer_frac, count(*) as units_kept, sum(size)::bigint as items_kept, round(avg(correct), 6) as unit_accuracy from k, (values (0.0::double), (0.1::double), (0.2::double), (0.5::double)) f(f) where pos > round_even(f.f * n, 0) group by 1")
+@query(_UN + ", k as (select *, row_number() over (order by conf, grp) as pos, count(*) over () as n from uc) select f.f as defer_frac, count(*) as units_kept, sum(size)::bigint as items_kept, round(avg(correct), 6) as unit_accuracy from k, (values (0.0::double), (0.05::double), (0.1::double), (0.15::double), (0.2::double), (0.3::double), (0.4::double), (0.5::double)) f(f) where pos > round_even(f.f * n, 0) group by 1")
 def deferral_curve(spark, sf):
-    return ev.deferral(ev.pooled_units(v.predictions(spark, sf)), (0.0, 0.1, 0.2, 0.5))
+    return ev.deferral(ev.pooled_units(v.predictions(spark, sf)), (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5))
+
+
+@query(_UN + ", k as (select *, row_number() over (order by conf, grp) as pos, count(*) over () as n from uc), q as (select f.f as defer_frac, count(*) as units_kept, sum(size)::bigint as items_kept from k, (values (0.1::double), (0.2::double), (0.3::double)) f(f) where pos > round_even(f.f * n, 0) group by 1) select units_kept, items_kept, (select sum(size) from uc)::bigint - items_kept as items_transferred from q where abs(defer_frac - 0.2) < 1e-8")
+def deferral_lookup(spark, sf):
+    """The row of the deferral curve at a fraction that is compared nearly, and the items it transfers."""
+    units = ev.pooled_units(v.predictions(spark, sf))
+    row = ev.deferral(units, (0.1, 0.2, 0.3)).where(F.abs(F.col("defer_frac") - 0.2) < 1e-8)
+    total = units.agg(F.sum("size").alias("total"))
+    return row.join(total).select("units_kept", "items_kept", (F.col("total") - F.col("items_kept")).alias("items_transferred"))
+
+
+@query(f"with {PRED}, s as (select label, round(prob, 9) as s, count_if(y_true = label) as pos, count_if(y_true <> label) as neg from pr group by 1, 2), c as (select *, coalesce(sum(neg) over (partition by label order by s rows between unbounded preceding and 1 preceding), 0) as below from s), a as (select label, sum(pos * (below + neg / 2)) / sum(pos) / sum(neg) as auc from c group by label) select round(avg(auc), 5) as auc_macro, count(*) as n_labels from a")
+def auc_macro(spark, sf):
+    """Mean one-vs-rest area over the labels for which it is defined."""
+    return ev.auc_ovr(v.predictions(spark, sf)).agg(F.round(F.avg("auc"), 5).alias("auc_macro"), F.count(F.lit(1)).alias("n_labels"))
 
 
 _AB = f"with {DEC}, ab as (select grp, y_true, correct as a_ok, ((case when {_u('9', 'item')} % 3 = 0 then 'A' when {_u('9', 'item')} % 3 = 1 then 'N' else 'R' end) = y_true)::int as b_ok from dc)"
@@ -178,7 +193,8 @@ def mcnemar_counts(spark, sf):
     return st.mcnemar(_pairs(spark, sf), "y_true").drop("p")
 
 
-@query()
+@query(_AB + """, g as (select y_true, count_if(a_ok = 1 and b_ok = 0)::bigint as a_only, count_if(a_ok = 0 and b_ok = 1)::bigint as b_only from ab group by y_true), x as (select *, a_only + b_only as n, unnest(range(0, least(a_only, b_only) + 1)) as i from g)
+select y_true, a_only, b_only, round(case when n = 0 then 1 else least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) end, 6) as p from x group by y_true, a_only, b_only, n""")
 def mcnemar_pairs(spark, sf):
     return st.mcnemar(_pairs(spark, sf), "y_true")
 
@@ -310,7 +326,7 @@ def bootstrap_cluster(spark, sf):
 
 _CELLS = [(a, b) for a in ABC for b in ABC]
 _SUMS = [*(f"c_{a}{b}" for a, b in _CELLS), "sq", *(f"{k}{i}" for i in range(1, 16) for k in ("bn", "bc", "ba"))]
-_UNITS = f"""{DEC}, sq as (select item, sum(pow(prob - (y_true = label)::int, 2)) as sq from pr group by item), it as (select dc.*, sq.sq, ceil(round(conf * 15, 9))::int as bin from dc join sq using (item)),
+_UNITS = f"""{DEC}, it as (select dc.*, ceil(round(conf * 15, 9))::int as bin from dc),
 g as (select grp, {", ".join(f"count_if(y_true = '{a}' and pred = '{b}') as c_{a}{b}" for a, b in _CELLS)}, sum(sq) as sq, {", ".join(f"count_if(bin = {i}) as bn{i}, coalesce(sum(conf) filter (where bin = {i}), 0) as bc{i}, coalesce(sum(correct) filter (where bin = {i}), 0) as ba{i}" for i in range(1, 16))} from it group by grp)"""
 
 
@@ -344,8 +360,7 @@ _DUCK = _metric_exprs(lambda a, b: f"({a} / nullif({b}, 0))", _PLUS)
 
 def _unit_sums(spark, sf):
     """The additive sums of every metric per resampling unit."""
-    sq = v.predictions(spark, sf).groupBy("item").agg(F.sum(F.pow(F.col("prob") - (F.col("y_true") == F.col("label")).cast("double"), 2)).alias("sq"))
-    it = v.decisions(spark, sf).join(sq, "item").withColumn("bin", F.ceil(F.round(F.col("conf") * 15, 9)).cast("int"))
+    it = v.decisions(spark, sf).withColumn("bin", F.ceil(F.round(F.col("conf") * 15, 9)).cast("int"))
     sums = {f"c_{a}{b}": ((F.col("y_true") == a) & (F.col("pred") == b)).cast("int") for a, b in _CELLS}
     sums["sq"] = F.col("sq")
     for i in range(1, 16):
@@ -409,14 +424,6 @@ def publisher_split_integrity(spark, sf):
     return g.agg(F.count_if(F.col("ns") > 1).alias("spanning_groups"), part(F.col("ns") > 1, "n").alias("images_involved"), part(F.col("no") > 0, "nt").alias("test_with_sibling"), F.sum("nt").alias("test_images"))
 
 
-@query("select 0::bigint as n_overlap")
-def inner_outer_disjoint(spark, sf):
-    """Test items of an outer fold that also stand in its own inner folds; must be 0."""
-    inner = nested_folds(spark, sf)
-    outer = v.labelled_folds(spark, sf).select(F.col("fold").alias("outer_fold"), "path")
-    return inner.join(outer, ["outer_fold", "path"], "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
-
-
 @query(f"with {DEC}, b as (select correct, conf, case when conf < 0.5 then '[0,0.5)' when conf < 0.8 then '[0.5,0.8)' when conf < 0.9 then '[0.8,0.9)' else '[0.9,1]' end as band from dc) select band, count(*) as n, round(avg(correct), 6) as accuracy, round(avg(conf), 6) as mean_conf from b group by band having count(*) >= 20")
 def confidence_bands(spark, sf):
     """Accuracy in closed-open bands of a score; bands with fewer than 20 items are left out."""
@@ -426,16 +433,6 @@ def confidence_bands(spark, sf):
     return g.where("n >= 20")
 
 
-@query(f"""{_AB}, x as (select grp, y_true, a_ok, b_ok, (grp % 2 = 0) as exposed from ab), u as (select y_true, avg(a_ok) filter (where exposed) as acc_exposed, avg(a_ok) filter (where not exposed) as acc_unexposed, count_if(exposed) as ne, count_if(not exposed) as nu from x group by y_true)
-select y_true, round(acc_exposed, 6) as acc_exposed, round(acc_unexposed, 6) as acc_unexposed, round(100 * (acc_exposed - acc_unexposed), 4) as diff_pp from u where ne > 0 and nu > 0""")
-def exposure_contrast(spark, sf):
-    """Mean correctness of exposed against unexposed items; only strata with both count."""
-    x = _pairs(spark, sf).withColumn("exposed", F.col("grp") % 2 == 0)
-    e, n = F.when(F.col("exposed"), F.col("a_ok")), F.when(~F.col("exposed"), F.col("a_ok"))
-    u = x.groupBy("y_true").agg(F.avg(e).alias("e"), F.avg(n).alias("u")).where("e is not null and u is not null")
-    return u.select("y_true", F.round("e", 6).alias("acc_exposed"), F.round("u", 6).alias("acc_unexposed"), F.round(100 * (F.col("e") - F.col("u")), 4).alias("diff_pp"))
-
-
 @query(f"""with {RUNS}, e as (select run_id, unnest(map_entries(models)) as e from m), s as (select run_id, e.key as model, unnest(map_entries(e.value.support)) as s from e where e.value is not null)
 select run_id, model, sum(s.value)::bigint as n, arg_max(s.key, (s.value, s.key)) as largest_class, count(*) as n_classes from s where s.value is not null group by 1, 2""")
 def support_totals(spark, sf):

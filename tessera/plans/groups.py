@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..operators import claims as cl
 from ..operators import graph as gr
 from ..operators import images as im
 from ..operators import models as mo
@@ -14,7 +12,7 @@ from ..operators import statistics as st
 from ..session import Staging
 from ..sources import views as v
 from ..sources.tables import table as t
-from .base_sql import FILES, LABELLED, RUNS
+from .base_sql import FILES, LABELLED
 
 QUERIES, SQL = {}, {}
 
@@ -105,39 +103,10 @@ def control_folds(spark, sf):
     return t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path").distinct().withColumn("unexposed_fold", (st.draw(F.lit(42), "path") % 5).cast("int"))
 
 
-def _claims(spark, sf):
-    p = v.runs(spark, sf).select("run_id", F.explode("models").alias("model", "e")).select("run_id", "model", F.explode("e.point").alias("metric", "value")).where("metric = 'accuracy'")
-    return p.select(F.concat_ws("/", "run_id", "model").alias("claim_id"), "value", tx.rendered(F.col("value"), "f4").alias("rendered"), F.lit(False).alias("must_appear"), F.lit(False).alias("zero_ok"), F.lit("all").alias("scope"))
-
-
-def _notes(spark, sf):
-    return t(spark, sf, "documents").where("source = 'claim_list' and text is not null").select(F.lit("all").alias("scope"), "text")
-
-
-@query()
-def claims_check(spark, sf):
-    return cl.verdicts(_claims(spark, sf), _notes(spark, sf))
-
-
-@query()
-def claims_coverage(spark, sf):
-    return cl.uncovered(_notes(spark, sf), _claims(spark, sf)).orderBy(F.desc("n"), "number").limit(60)
-
-
-@query()
-def text_numbers(spark, sf):
-    d = t(spark, sf, "documents").where("text is not null")
-    return d.select(F.explode(tx.numbers(tx.normalise(F.col("text")))).alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"with {RUNS} select split_mode, count(*) as n_runs, sum(n_images)::bigint as n_images, printf('%.2f', avg(n_groups)) as mean_groups from m group by split_mode")
-def runs_by_mode(spark, sf):
-    return v.runs(spark, sf).groupBy("split_mode").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_images").alias("n_images"), tx.rendered(F.avg("n_groups"), "f2").alias("mean_groups"))
-
-
-@query()
-def vector_hash_histogram(spark, sf):
-    """Distances of each vector's hash pair, as the share of set bits per label."""
+@query("""with e as (select label, list_transform(embedding, x -> x::double) as x from embeddings), h as (select label, list_sum(list_transform(x, v -> (v > list_sort(x)[32])::int))::int as pb, list_sum(list_transform(range(1, 65), i -> (x[i] > x[i % 64 + 1])::int))::int as db from e)
+select label, count(*) as n, round(avg(pb), 6) as p_bits, round(avg(db), 6) as d_bits from h group by label""".replace("x -> ", "lambda x: ").replace("v -> ", "lambda v: ").replace("i -> ", "lambda i: "))
+def vector_hash_bits(spark, sf):
+    """Mean number of set bits of the vectors' hash pairs per label."""
     e = t(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     h = e.select("label", F.bit_count(im.median_bits(F.col("x"))).alias("p_bits"), F.bit_count(im.gradient_bits(F.col("x"))).alias("d_bits"))
     return h.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_bits"), 6).alias("p_bits"), F.round(F.avg("d_bits"), 6).alias("d_bits"))
@@ -148,14 +117,46 @@ def vector_norms(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 6).alias("norm"))
 
 
-@query()
+@query("""with d as (select a.vec_id, b.vec_id as other, b.label, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2))), 9) as dist from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by vec_id order by dist, other) as r from d), v as (select vec_id, label, count(*) as n from r where r <= 5 group by 1, 2), b as (select vec_id, label, row_number() over (partition by vec_id order by n desc, label) as r from v) select vec_id, label::int as pred from b where r = 1""")
 def knn_vote(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
     return mo.knn_vote(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label", 5)
 
 
+@query()
+def vector_similarity_bins(spark, sf):
+    """Structural similarity of consecutive vectors read as images of eight by eight, in bins, with their hash distance."""
+    from ..functions.hashing import hamming
+
+    e = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    e = e.select("vec_id", im.to_uint8(F.col("x")).alias("grey"), im.median_bits(F.col("x")).alias("p"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("grey").alias("g2"), F.col("p").alias("p2"))
+    pairs = e.join(other, "vec_id").select(im.ssim("grey", "g2", F.lit(8)).alias("ssim"), hamming(F.col("p"), F.col("p2")).alias("distance"))
+    return im.ssim_bins(pairs)
+
+
+def _probe_rows(spark, sf):
+    return t(spark, sf, "embeddings").withColumn("fold", (st.draw(F.lit(42), "vec_id") % 3).cast("int"))
+
+
 @query()
 def source_probe(spark, sf):
-    e = t(spark, sf, "embeddings").withColumn("fold", (st.draw(F.lit(42), "vec_id") % 3).cast("int"))
-    out = mo.linear_probe(e, "embedding", "label", "fold", "vec_id", 3)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("recall"))
+    """Recall per label of the class-balanced linear probe, and what it says."""
+    out = mo.linear_probe(_probe_rows(spark, sf), "embedding", "label", "fold", "vec_id", 3)
+    per = out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 6).alias("recall"))
+    return mo.conclusions(per)
+
+
+@query()
+def model_comparison(spark, sf):
+    """Balanced accuracy of each model family: settings chosen on two inner folds, then predicted out of three folds."""
+    e = _probe_rows(spark, sf).withColumn("inner", (st.draw(F.lit(43), "vec_id") % 2).cast("int"))
+    size = e.agg(F.max(F.size("embedding")).alias("d"), F.max("label").alias("k")).first()
+    rows = []
+    for name, candidates in mo.model_grid(size["d"], int(size["k"]) + 1).items():
+        candidates = candidates if name in ("logreg", "rf") else candidates[:1]  # the slow families have one setting here
+        best, scores = mo.grid_search(e, "embedding", "label", "inner", "vec_id", 2, candidates)
+        out = mo.out_of_fold(e, "embedding", "label", "fold", "vec_id", 3, candidates[best].fit)
+        rows.append((name, best, round(scores[best], 6), round(mo.balanced_accuracy(out), 6)))
+    return spark.createDataFrame(rows, "model string, setting int, inner_score double, balanced_accuracy double")

@@ -95,9 +95,9 @@ def curation_rules(spark, sf):
 @query(
     """with a as (select distinct path, string_split(lower(path), '/') as parts from bdneuro_v7_manifest where path is not null),
 b as (select path, list_reverse(list_transform(parts[:-2], lambda x: replace(replace(trim(regexp_replace(x, '^\\d+[_\\-]?', '')), ' ', '_'), '-', '_'))) as up, parts[:-2] as dirs from a)
-select path, coalesce(case list_filter(up, lambda x: x in ('glioma', 'brain_glioma', 'glioma_tumor', 'meningioma', 'brain_menin', 'meningioma_tumor', 'meningioma_tumour', 'pituitary', 'pituitary_macroadenoma', 'pituitary_tumor', 'healthy', 'brain_normal', 'notumor', 'no_tumor', 'no'))[1]
- when 'glioma' then 'glioma' when 'brain_glioma' then 'glioma' when 'glioma_tumor' then 'glioma' when 'meningioma' then 'meningioma' when 'brain_menin' then 'meningioma' when 'meningioma_tumor' then 'meningioma' when 'meningioma_tumour' then 'meningioma'
- when 'pituitary' then 'pituitary' when 'pituitary_macroadenoma' then 'pituitary' when 'pituitary_tumor' then 'pituitary' when 'healthy' then 'notumor' when 'brain_normal' then 'notumor' when 'notumor' then 'notumor' when 'no_tumor' then 'notumor' when 'no' then 'notumor' end, 'unknown') as class,
+select path, coalesce(case list_filter(up, lambda x: x in ('glioma', 'brain_glioma', 'meningioma', 'brain_menin', 'pituitary', 'pituitary_macroadenoma', 'healthy', 'brain_normal', 'notumor'))[1]
+ when 'glioma' then 'glioma' when 'brain_glioma' then 'glioma' when 'meningioma' then 'meningioma' when 'brain_menin' then 'meningioma'
+ when 'pituitary' then 'pituitary' when 'pituitary_macroadenoma' then 'pituitary' when 'healthy' then 'notumor' when 'brain_normal' then 'notumor' when 'notumor' then 'notumor' end, 'unknown') as class,
  coalesce(case list_filter(dirs, lambda x: x in ('train', 'training', 'val', 'valid', 'validation', 'test', 'testing'))[1] when 'train' then 'train' when 'training' then 'train' when 'val' then 'val' when 'valid' then 'val' when 'validation' then 'val' when 'test' then 'test' when 'testing' then 'test' end, 'unassigned') as split,
  regexp_extract(path, '([^/]+)/[^/]*$', 1) as parent, regexp_extract(path, '([^/]+)\\.[^./]*$', 1) as stem from b"""
 )
@@ -106,10 +106,15 @@ def path_normalise(spark, sf):
     return t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path").distinct().select("path", px.class_of(p).alias("class"), px.split_of(p).alias("split"), px.parent(p).alias("parent"), px.stem(p).alias("stem"))
 
 
-@query("""select parent, count(*) as n from (select regexp_extract(path, '([^/]+)/[^/]*$', 1) as parent from bdneuro_v7_manifest where label is null) group by 1 order by n desc, parent limit 10""")
+@query("""with a as (select distinct path, string_split(lower(path), '/')[:-2] as dirs, regexp_extract(path, '([^/]+)/[^/]*$', 1) as parent from bdneuro_v7_manifest where path is not null),
+u as (select parent from a where not list_has_any(list_transform(dirs, lambda x: replace(replace(trim(regexp_replace(x, '^\\d+[_\\-]?', '')), ' ', '_'), '-', '_')), ['glioma', 'brain_glioma', 'meningioma', 'brain_menin', 'pituitary', 'pituitary_macroadenoma', 'healthy', 'brain_normal', 'notumor']))
+select (select count(*) from u) as n_unmapped, (select count(*) from a) as n_paths, coalesce(array_to_string((select list_sort(list(distinct parent))[1:10] from u), ' | '), '') as folders""")
 def unmapped_folders(spark, sf):
-    m = t(spark, sf, "bdneuro_v7_manifest").where("label is null")
-    return m.groupBy(px.parent(F.col("path")).alias("parent")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "parent").limit(10)
+    """Paths none of whose folders names a class, with the first ten of their folders."""
+    m = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path").distinct()
+    lost = px.class_of(F.col("path")) == "unknown"
+    folders = F.array_join(F.slice(F.sort_array(F.collect_set(F.when(lost, px.parent(F.col("path"))))), 1, 10), " | ")  # folder names, not paths
+    return m.agg(F.count_if(lost).alias("n_unmapped"), F.count(F.lit(1)).alias("n_paths"), folders.alias("folders"))
 
 
 _HC = f"{FILES}, h as (select p, d, min(file_id) as rep, count(*) as n from f where p is not null and d is not null group by p, d)"

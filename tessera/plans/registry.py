@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, groups, provenance
+from . import claims, documents, evaluation, groups, provenance, reports, selection
 
-MODULES = [documents, provenance, evaluation, groups]
+MODULES = [documents, provenance, evaluation, groups, selection, reports, claims]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

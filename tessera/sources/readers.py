@@ -44,36 +44,71 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.try_parse_json(F.col("content").cast("string")).alias("doc"))
 
 
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc): one JSON value per line; what cannot be parsed is NULL."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row, NULL fields included."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n): lines of all text files below a folder."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+def optional(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
+    """The data at a path, None where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.format(form).load(path) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+
+
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _paragraphs(data: bytes) -> str | None:
+    """Text of a word-processor document, a line per paragraph; None if it cannot be read."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as held, held.open("word/document.xml") as body:
+            lines, parts = [], []
+            for _, e in ElementTree.iterparse(body, events=("end",)):
+                name = e.tag.removeprefix(_WORD)
+                if name == "t":
+                    parts.append(e.text or "")
+                elif name == "p":
+                    lines.append("".join(parts))
+                    parts = []
+                    e.clear()
+            return "\n".join(lines)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+
+
 def docx_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of word-processor files: runs joined, paragraphs on lines of their own; NULL if unreadable."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import re
-        import zipfile
-        from html import unescape
-
         for b in batches:
-            texts = []
-            for data in b["content"]:
-                try:
-                    xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8")
-                    paragraphs = re.findall(r"<w:p[ >].*?</w:p>", xml, re.S)
-                    texts.append("\n".join(unescape("".join(re.findall(r"<w:t(?: [^>]*)?>(.*?)</w:t>", p, re.S))) for p in paragraphs))
-                except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
-                    texts.append(None)
-            yield pd.DataFrame({"path": b["path"], "text": texts})
+            yield pd.DataFrame({"path": b["path"], "text": [_paragraphs(data) for data in b["content"]]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, text string")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV artefact with a fixed schema; empty text is NULL."""
-    return spark.read.schema(schema).option("header", "true").option("emptyValue", "").option("nullValue", "").csv(path)
+    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = True, dry_run: bool = False) -> DataFrame:
     """Write unless it is a dry run; without ``overwrite`` an existing target is an error."""
     if not dry_run:
-        df.write.mode("overwrite" if overwrite else "error").format(form).options(**({"header": "true"} if form == "csv" else {})).save(path)
+        # an escape that is no backslash keeps quotes and line ends of texts as they are
+        options = {"header": "true", "escape": '"', "emptyValue": ""} if form == "csv" else {}
+        df.write.mode("overwrite" if overwrite else "error").format(form).options(**options).save(path)
     return df

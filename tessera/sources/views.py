@@ -68,9 +68,23 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(spark, sf).select("item", "grp", "y_true", F.inline(cells))
 
 
+def logits(spark: SparkSession, sf: str) -> DataFrame:
+    """item, total, A, N, R: the weights of each row, a tenth of which serve as logits of a second model."""
+    return _weights(spark, sf).select("item", "total", "A", "N", "R")
+
+
+def wide_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """item, y_true, prob_A, prob_N, prob_R: the scores as columns."""
+    return _weights(spark, sf).select("item", "y_true", *[(F.col(k) / F.col("total")).alias(f"prob_{k}") for k in ("A", "N", "R")])
+
+
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """item, grp, y_true, pred, conf, correct of the same scores, one row per item; ties go to the first label."""
+    """item, grp, y_true, pred, conf, sq, correct of the same scores, one row per item; ties go to the first label.
+
+    ``sq`` is the squared error summed over labels.
+    """
     a, n, r = F.col("A"), F.col("N"), F.col("R")
     pred = F.when((a >= n) & (a >= r), "A").when(n >= r, "N").otherwise("R")
-    w = _weights(spark, sf).select("item", "grp", "y_true", pred.alias("pred"), (F.greatest(a, n, r) / F.col("total")).alias("conf"))
+    sq = sum(F.pow(F.col(k) / F.col("total") - (F.col("y_true") == k).cast("double"), 2) for k in ("A", "N", "R"))
+    w = _weights(spark, sf).select("item", "grp", "y_true", pred.alias("pred"), (F.greatest(a, n, r) / F.col("total")).alias("conf"), sq.alias("sq"))
     return w.withColumn("correct", (F.col("pred") == F.col("y_true")).cast("int"))

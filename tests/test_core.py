@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from tessera.functions import text as tx
 from tessera.functions.hashing import parse_hash64
 from tessera.functions.missing import usable
-from tessera.operators import claims, evaluation, graph, images, nested, schema_drift, splitting, statistics
+from tessera.operators import claims, evaluation, graph, images, models, neighbours, nested, schema_drift, splitting, statistics
 from tessera.plans import evaluation as plans
 from tessera.plans import groups as plans_groups
 from tessera.sources import readers
@@ -176,8 +176,17 @@ def test_metrics(spark):
 def test_bootstrap_has_the_draws_of_the_reference(spark, monkeypatch):
     data = [(g, "AB"[g % 3 == 0], int(g % 5 > 0), int(g % 4 > 0)) for g in range(24) for _ in range(1 + g % 3)]
     monkeypatch.setattr(plans, "_pairs", lambda *_: spark.createDataFrame(data, "grp bigint, y_true string, a_ok int, b_ok int"))
-    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(7)]
-    weight = lambda *key: sum(int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32 >= c for c in cdf)
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x >> 16) ^ x) * 0x45D9F3B & 0xFFFFFFFF
+        return (x >> 16) ^ x
+
+    def weight(seed, d, unit):
+        digest = hashlib.md5(f"{seed}:{unit}".encode()).hexdigest()
+        u = mixed(mixed(int(digest[:8], 16) + d * 0x9E3779B1 & 0xFFFFFFFF) ^ int(digest[8:16], 16)) / 2**32
+        return sum(u >= c for c in cdf)
 
     def brute(draws, seed, value):
         out = []
@@ -203,10 +212,11 @@ def test_bootstrap_has_the_draws_of_the_reference(spark, monkeypatch):
 def test_matches_count_for_all_sources_of_a_copy(spark, tmp_path):
     files = [(1, "mirror1", "x", "00", "00"), (2, "slicebank", "y", "00", "00"), (3, "mirror2", "x", "01", "00"), (4, "mirror2", "y", "01", "00"), (5, "slicebank", "x", "ffff", "00")]
     row = "file_id bigint, source string, class string, phash string, dhash string, path string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, indexed_at timestamp, loaded_at timestamp"
-    spark.createDataFrame([(*f, f"/{f[0]}", "train", 1, 1, "L", 1, None, T0, T0) for f in files], row).write.parquet(f"{tmp_path}/files_index.parquet")
-    spark.createDataFrame([("e1", "00", "00"), ("e2", "ffffffff", "ffffffff")], "path string, phash string, dhash string").write.parquet(f"{tmp_path}/bdneuro_v7_manifest.parquet")
+    spark.createDataFrame([(*f, f"/{f[0]}", "train", 1, 1, "L", 1, "ab" if f[0] == 5 else None, T0, T0) for f in files], row).write.parquet(f"{tmp_path}/files_index.parquet")
+    spark.createDataFrame([("e1", "00", "00", "AB", "g"), ("e2", "ffffffff", "ffffffff", None, "g")], "path string, phash string, dhash string, sha256 string, group_id string").write.parquet(f"{tmp_path}/bdneuro_v7_manifest.parquet")
     q = entry.queries()
-    assert rows(q["scopes_overlap_report"](spark, str(tmp_path))) == [("composite", 2, 1, 0), ("sources", 2, 1, 0), ("trained", 2, 1, 0)]
+    got = {r["scope"]: (r["n_items"], r["byte_identical"], r["n_matched"], r["groups_contaminated"], r["min_distance"]) for r in q["scopes_overlap_report"](spark, str(tmp_path)).collect()}
+    assert got == {"composite": (2, 1, 1, 1, 0), "sources": (2, 0, 1, 1, 0), "trained": (2, 1, 1, 1, 0)}
     assert rows(q["match_agreement"](spark, str(tmp_path))) == [("mirror1", "mirror2", 2, 0.5), ("slicebank", "mirror2", 2, 0.5)]
 
 
@@ -226,19 +236,101 @@ def test_splits(spark):
 
 
 def test_text_and_claims(spark):
-    d = spark.createDataFrame([("all", "It was 0.9686 (0.968) −1.25 of 3,064 x9")], "scope string, text string")
-    assert d.select(tx.numbers(tx.normalise(F.col("text")))).first()[0] == ["0.9686", "0.968", "1.25", "3,064"]
-    c = spark.createDataFrame([("a", 0.968, "0.968", True, False), ("b", 0.96, "0.96", True, False), ("c", 0.0, "0.0", True, False), ("d", float("nan"), "nan", True, False), ("e", 7.0, "7", True, False), ("f", 9.0, "0.111", False, False)], "claim_id string, value double, rendered string, must_appear boolean, zero_ok boolean").withColumn("scope", F.lit("all"))
-    assert {r[0]: r[1] for r in claims.verdicts(c, d).collect()} == {"a": "ok", "b": "FAIL", "c": "SKIP", "d": "SKIP", "e": "SKIP", "f": "note"}
-
-
-def test_images(spark):
+    d = spark.createDataFrame([("manuscript", "It was 0.9686 (0.968) −1.25 of 3,064 x9; v1.2.3, +2.50 and 77."), ("letter", "We found 0.968 and 88.")], "scope string, text string")
+    assert d.select(tx.numbers(tx.normalise(F.col("text")))).first()[0] == ["0.9686", "0.968", "1.25", "3,064", "2.50", "77"]
+    tokens = claims.quoted(d)
+    held = {r["token"] for r in tokens.where("scope = 'manuscript'").collect()}
+    assert {"3", "3,064", "-1.25", "+2.50", "2.50", "0.968", "0.9686", "0"} <= held and not {"0.96", "064", "25"} & held
+    rows_ = [("a", 0.968, "f3", True, False), ("b", 0.96, "f2", True, False), ("c", 0.0, "f1", True, False), ("d", float("nan"), "f1", True, False), ("e", 7.0, "int", True, False), ("f", 9.0, "f2", False, False), ("g", 2.5, "pp", True, False), ("h", 5.5, "roman", True, False), ("i", None, "f1", True, False), ("j", 0.0, "f2", False, True)]
+    c = spark.createDataFrame(rows_, "claim_id string, value double, form string, must_appear boolean, zero_ok boolean")
+    got = {r["claim_id"]: r["verdict"] for r in claims.verdicts(c, tokens, ["manuscript", "letter"], ["letter"]).collect()}
+    assert got == {"a": "ok", "b": "FAIL", "c": "SKIP", "d": "SKIP", "e": "SKIP", "f": "note", "g": "ok*", "h": "ERROR", "i": "SKIP", "j": "note"}
+    assert {r["number"] for r in claims.uncovered(d, c).collect()} == {"0.9686", "1.25", "3,064"}
+    assert claims.verdicts(c.where("false"), tokens, ["manuscript"]).count() == 0
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    u = spark.createDataFrame([(i, 1.0, f"s{i % 2}") for i in range(3000)], "unit bigint, one double, s string")
+    got = statistics.bootstrap_sums(u, "unit", ["one"], 50, 1, "s").collect()
+    assert len(got) == 100 and abs(np.mean([r["one"] for r in got]) - 1500) < 15 and 20 < np.std([r["one"] for r in got]) < 60
+    again = statistics.bootstrap_sums(u.repartition(7), "unit", ["one"], 50, 1, "s").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert statistics.bootstrap_sums(u.where("false"), "unit", ["one"], 5, 1).count() == 0
+
+
+def test_nearest_at_any_distance(spark, monkeypatch):
+    rng = random.Random(8)
+    signed = lambda: rng.getrandbits(64) - (1 << 63)
+    pool = [(i, signed(), signed()) for i in range(300)]
+    qs = [(f"q{i}", p ^ (1 << (i % 60)), d) if i % 3 else (f"q{i}", signed(), signed()) for i, (_, p, d) in enumerate(pool[:60])]
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    p = spark.createDataFrame(pool, "rep bigint, p bigint, d bigint").repartition(3)
+    q = spark.createDataFrame(qs, "path string, p bigint, d bigint")
+    want = {(n, *min((max(bits(a, x), bits(b, y)), i) for i, x, y in pool)[::-1]) for n, a, b in qs}
+    assert {tuple(r) for r in neighbours.nearest(q, "path", p).collect()} == want
+    two = {n: sorted((bits(a, x), i) for i, x, _ in pool)[:2] for n, a, _ in qs}
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    got = {r["path"]: r for r in neighbours.best_two(q, "path", p).collect()}
+    assert all(got[n]["best_id"] == t[0][1] and got[n]["best_distance"] == t[0][0] and got[n]["runner_up_distance"] == t[1][0] for n, t in two.items())
+    assert neighbours.nearest(q, "path", p.where("false")).count() == 0 == neighbours.nearest(q.where("false"), "path", p).count()
+
+
+def png(path, pixels):
+    import struct
+    import zlib
+
+    h, w = pixels.shape
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_images(spark, tmp_path):
     df = spark.createDataFrame([([0.0, 0.0, 200.0, 200.0],), ([],)], "x array<double>")
     assert [r[0] for r in df.select(images.otsu_threshold("x")).collect()] == [0.0, None]
-    assert df.select(images.ssim("x", "x")).first()[0] == pytest.approx(1.0)
+    assert df.select(images.ssim("x", "x", F.lit(2))).first()[0] == pytest.approx(1.0)
     assert df.select(images.to_uint8(F.col("x"))).first()[0] == [0, 0, 255, 255]
     s = images.attribution_scores(F.col("x"), F.array(*map(F.lit, (0, 0, 1, 1))))
-    assert tuple(df.limit(1).select(*[v.alias(k) for k, v in s.items()]).first()) == (0.5, 1.0, 2.0, True, 1.0)
+    assert tuple(df.limit(1).select(*[v.alias(k) for k, v in s.items()]).first()) == (0.0, 0.5, 0.5, 1.0, 2.0, True, 1.0)
+    rng = np.random.default_rng(1)
+    x, y = rng.random((12, 15)) * 255, rng.random((12, 15)) * 255
+    brute = []
+    for i in range(6):
+        for j in range(9):
+            a, b = x[i : i + 7, j : j + 7].ravel(), y[i : i + 7, j : j + 7].ravel()
+            cov = np.cov(a, b)
+            brute.append((2 * a.mean() * b.mean() + 2.55**2) * (2 * cov[0, 1] + 7.65**2) / ((a.mean() ** 2 + b.mean() ** 2 + 2.55**2) * (cov[0, 0] + cov[1, 1] + 7.65**2)))
+    assert images.ssim_of(x, y) == pytest.approx(np.mean(brute))
+    pic = np.zeros((40, 50))
+    pic[10:30, 10:40] = 200
+    pic[15:20, 15:20] = 0  # a hole
+    pic[2:4, 2:4] = 200  # a smaller part
+    mask = images.brain_mask(pic)
+    assert mask.sum() == 20 * 30 and images.brain_mask(np.zeros((5, 5))).sum() == 0
+    assert images.variant(pic, mask, "brain", 8).shape == (8, 8) and images.variant(pic, mask, "background", 8).max() > 0 and images.resized(np.ones((7, 5)), 3, 4) == pytest.approx(np.ones((3, 4)))
+    png(tmp_path / "a.png", pic)
+    png(tmp_path / "b.png", np.clip(pic + rng.integers(0, 3, pic.shape), 0, 255))
+    png(tmp_path / "c.png", rng.integers(0, 255, pic.shape))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.image_rows(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.png", "b.png", "c.png"} and (got["a.png"]["width"], got["a.png"]["height"], got["a.png"]["mode"]) == (50, 40, "L")
+    apart = lambda i, j, h: ((got[i][h] ^ got[j][h]) & ((1 << 64) - 1)).bit_count()
+    assert apart("a.png", "b.png", "p") < apart("a.png", "c.png", "p")
+
+
+def test_models(spark):
+    rng = random.Random(2)
+    data = [(i, [rng.gauss(3 * (i % 3), 1), rng.gauss(0, 1)], i % 3, i % 4) for i in range(240)]
+    df = spark.createDataFrame([*data, (999, None, 1, 0)], "id bigint, x array<double>, y int, fold int")
+    out = models.linear_probe(df, "x", "y", "fold", "id", 4)
+    assert out.count() == 240 and models.balanced_accuracy(out) > 0.8
+    one = models.linear_probe(df.where("y = 1 or fold = 0"), "x", "y", "fold", "id", 4)
+    assert {r["pred"] for r in one.where("id % 4 = 0").collect()} == {1}  # the other folds hold one label
+    near = models.knn_vote(df.where("x is not null and id < 40"), df.where("x is not null"), "id", "x", "y", 5)
+    assert near.count() == 40
+    scored = df.where("x is not null").select("id", "y", F.array(-F.abs(F.col("x")[0]), -F.abs(F.col("x")[0] - 3), -F.abs(F.col("x")[0] - 6)).alias("s"))
+    done = models.sigmoid_calibration(scored, "y", "s", [0, 1, 2]).collect()
+    assert all(abs(sum(r["prob"]) - 1) < 1e-9 for r in done) and np.mean([int(np.argmax(r["prob"])) == r["y"] for r in done]) > 0.8
 
 
 def test_readers(spark, tmp_path):
@@ -249,7 +341,10 @@ def test_readers(spark, tmp_path):
     got = readers.union_sources(spark, {"one": str(tmp_path / "s"), "gone": str(tmp_path / "none")}).select("class", "split", "source")
     assert rows(got) == [("glioma", "train", "one"), ("notumor", "test", "one")]
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
-        z.writestr("word/document.xml", "<w:p ><w:r><w:t>a &amp;</w:t><w:t> b</w:t></w:r></w:p><w:p><w:t>c</w:t></w:p>")
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p ><w:r><w:t>a &amp;</w:t><w:t xml:space="preserve"> b</w:t></w:r></w:p><w:p><w:t>c</w:t></w:p></w:document>')
+    (tmp_path / "no.docx").write_bytes(b"nothing")
+    assert readers.docx_text(spark, str(tmp_path / "no.docx")).first()["text"] is None
+    assert readers.optional(spark, str(tmp_path / "gone")) is None
     assert readers.docx_text(spark, str(tmp_path / "d.docx")).first()["text"] == "a & b\nc"
     out = str(tmp_path / "out")
     readers.write(spark.range(3), out, dry_run=True)
