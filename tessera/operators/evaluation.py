@@ -99,15 +99,24 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) ->
 
 
 def risk_coverage(df: DataFrame, unit: str) -> DataFrame:
-    """(aurc, oracle_aurc, excess_aurc, n_units): area under the error-coverage curve, most confident first."""
+    """(aurc, oracle_aurc, excess_aurc, n_units): area under the error-coverage curve, most confident first.
+
+    The oracle puts all errors last, so its area follows from the counts of units and errors alone.
+    """
+    spark = df.sparkSession
+    df = Staging(spark, "risk").keep(df)
     wrong = 1 - F.col("correct")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("e")).first()
+    n, e = row["n"], row["e"] or 0
+    tail = spark.range(n - e + 1, n + 1).agg(F.sum((F.col("id") - (n - e)) / F.col("id"))).first()[0] or 0.0
     r = running(df, [F.desc("conf"), F.col(unit)], {"errors": wrong}).agg(F.avg(F.col("errors") / F.col("pos")).alias("aurc"), F.count(F.lit(1)).alias("n_units"))
-    o = running(df, [wrong.asc(), F.col(unit)], {"errors": wrong}).agg(F.avg(F.col("errors") / F.col("pos")).alias("oracle_aurc"))
-    return r.join(o).select(F.round("aurc", 6).alias("aurc"), F.round("oracle_aurc", 6).alias("oracle_aurc"), F.round(F.col("aurc") - F.col("oracle_aurc"), 6).alias("excess_aurc"), "n_units")
+    oracle = F.lit(tail / n if n else None).cast("double")
+    return r.select(F.round("aurc", 6).alias("aurc"), F.round(oracle, 6).alias("oracle_aurc"), F.round(F.col("aurc") - oracle, 6).alias("excess_aurc"), "n_units")
 
 
 def deferral(units: DataFrame, fractions: Sequence[float]) -> DataFrame:
     """Accuracy of what is kept when the least confident share of whole units is withheld."""
+    units = Staging(units.sparkSession, "deferral").keep(units)
     pos = running(units, [F.col("conf"), F.col("grp")], {})
     n = units.count()
     cuts = F.array(*[F.struct(F.lit(f).alias("defer_frac"), F.lit(_half_even(f * n)).alias("cut")) for f in fractions])

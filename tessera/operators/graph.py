@@ -34,44 +34,62 @@ def components(edges: DataFrame, staging: Staging | None = None, max_rounds: int
 def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: str) -> DataFrame:
     """(item, grp): items merged along edges in (a, b) order, entities first, refusing to join two known entities.
 
-    Items of one entity are merged unconditionally. A similarity edge is refused if both sides carry entities and
-    share none; an item with several rows carries the entities of all. Merges never leave a component of all edges together, so each is settled on its own, in the order
-    of its edges; the group is named by its smallest item. Items without edges are groups of their own.
+    Items of one entity are merged unconditionally, an item with several rows carries the entities of all. After that
+    an edge between two groups with entities is always refused, so only edges of items without entity matter: such an
+    item joins the first group with entities that an accepted edge leads to. Items without entity that hang together
+    are settled on their own; where they touch no such group or a single one, all their edges are accepted and
+    nothing has to be ordered, and only the others are walked edge by edge. The group is named by its smallest item;
+    items without edges are groups of their own.
     """
-    nodes = items.select(F.col(item).alias("node"), F.col(entity).alias("entity"))
-    named = nodes.where("entity is not null")
-    root = named.groupBy("entity").agg(F.min("node").alias("b"))
-    ties = named.join(root, "entity").where("node <> b").select(F.col("node").alias("a"), "b", F.lit(0).alias("kind"))
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(1).alias("kind")).unionByName(ties)
     staging = Staging(items.sparkSession, "constrained")
-    comp = staging.keep(components(links.select("a", "b"), staging))
-    entity_of = F.collect_set("entity").alias("entity")
-    rows = comp.join(nodes.groupBy("node").agg(entity_of), "node", "left").select("component", F.lit(-1).alias("kind"), F.col("node").alias("b"), F.col("node").alias("a"), "entity")
-    placed = links.join(comp, links["a"] == comp["node"]).select("component", "kind", "b", "a", F.lit(None).cast(f"array<{items.schema[entity].dataType.simpleString()}>").alias("entity"))
     kind = items.schema[item].dataType.simpleString()
+    nodes = items.where(F.col(item).isNotNull()).select(F.col(item).alias("node"), F.col(entity).alias("entity"))
+    named = staging.keep(nodes.where("entity is not null").distinct())
+    root = named.groupBy("entity").agg(F.min("node").alias("b"))
+    ties = components(named.join(root, "entity").where("node <> b").select(F.col("node").alias("a"), "b"), staging)
+    known = staging.keep(named.select("node").distinct().join(ties, "node", "left").select("node", F.coalesce("component", "node").alias("k")))
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    of = lambda n: known.select(F.col("node").alias(n), F.col("k").alias(f"k_{n}"))
+    ends = staging.keep(ends.join(of("lo"), "lo", "left").join(of("hi"), "hi", "left").where("k_lo is null or k_hi is null"))
+    free = ends.where("k_lo is null and k_hi is null")
+    comp = components(free.select(F.col("hi").alias("a"), F.col("lo").alias("b")), staging)
+    loose = staging.keep(nodes.select("node").distinct().join(known, "node", "left_anti").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    touching = ends.where("k_lo is not null or k_hi is not null").select(F.when(F.col("k_lo").isNull(), F.col("lo")).otherwise(F.col("hi")).alias("node"), F.coalesce("k_lo", "k_hi").alias("k"), "lo", "hi")
+    touching = staging.keep(touching.join(loose, "node"))
+    reach = staging.keep(touching.groupBy("c").agg(F.min("k").alias("k"), (F.min("k") != F.max("k")).alias("several")))
+    easy = loose.join(reach, "c", "left").where("several is null or not several").select("node", "k", F.when(F.col("k").isNull(), F.col("c")).alias("u"))
+    hard = reach.where("several").select("c")
+    rows = touching.join(hard, "c", "left_semi").select("c", "lo", "hi", "node", "k")
+    inner = free.join(loose.select(F.col("node").alias("lo"), "c"), "lo").join(hard, "c", "left_semi").select("c", "lo", "hi", F.col("lo").alias("node"), F.lit(None).cast(kind).alias("k"))
 
     def settle(pdf):
         import pandas as pd
 
         parent: dict = {}
         held: dict = {}
-        for r in pdf[pdf["kind"] == -1].itertuples():
-            parent[r.a] = r.a
-            held[r.a] = set() if r.entity is None else set(r.entity)
 
         def find(x):
+            parent.setdefault(x, x)
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for r in pdf[pdf["kind"] >= 0].sort_values(["kind", "b", "a"]).itertuples():
-            x, y = find(r.a), find(r.b)
-            if x != y and (r.kind == 0 or not held[x] or not held[y] or held[x] & held[y]):
+        for r in pdf.sort_values(["lo", "hi"]).itertuples():
+            if pd.notna(r.k):
+                held.setdefault(find(r.node), r.k)  # a group that has an entity keeps it
+                continue
+            x, y = find(r.lo), find(r.hi)
+            if x != y and (x not in held or y not in held or held[x] == held[y]):
                 lo, hi = min(x, y), max(x, y)
                 parent[hi] = lo
-                held[lo] |= held.pop(hi)
-        return pd.DataFrame({"node": list(parent), "grp": [find(x) for x in parent]})
+                if hi in held:
+                    held[lo] = held.pop(hi)
+        found = [(x, held.get(find(x)), find(x)) for x in parent]
+        return pd.DataFrame({"node": [x for x, _, _ in found], "k": pd.Series([k for _, k, _ in found], dtype=object), "u": pd.Series([None if k is not None else u for _, k, u in found], dtype=object)})
 
-    done = rows.unionByName(placed).groupBy("component").applyInPandas(settle, f"node {kind}, grp {kind}")
-    return nodes.select("node").distinct().join(done, "node", "left").select(F.col("node").alias(item), F.coalesce("grp", "node").alias("grp"))
+    walked = rows.unionByName(inner).groupBy("c").applyInPandas(settle, f"node {kind}, k {kind}, u {kind}")
+    every = staging.keep(known.select("node", "k", F.lit(None).cast(kind).alias("u")).unionByName(easy).unionByName(walked))
+    name = every.groupBy("k", "u").agg(F.min("node").alias("grp"))
+    met = (every["k"].eqNullSafe(name["k"])) & (every["u"].eqNullSafe(name["u"]))
+    return every.join(name, met).select(every["node"].alias(item), name["grp"].alias("grp"))

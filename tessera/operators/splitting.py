@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Staging
 from .statistics import draw
 
 
@@ -29,17 +30,20 @@ def grouped_folds(df: DataFrame, unit: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("fold", (draw(F.lit(seed), unit) % k).cast("int"))
 
 
-def stratified_group_folds(df: DataFrame, unit: str, label: str, k: int, seed: int, cells: int = 64) -> DataFrame:
+#: Units dealt together by :func:`stratified_group_folds`.
+CELL_UNITS = 5000
+
+
+def stratified_group_folds(df: DataFrame, unit: str, label: str, k: int, seed: int, cell_units: int = CELL_UNITS) -> DataFrame:
     """(unit, fold): whole units dealt so that labels spread evenly over folds.
 
     Within a hash cell of units, units are placed one by one, those with the most uneven labels first, each where
-    the spread of label shares over folds then is least. Cells are independent, so the work of one task is bounded
-    by units / cells, and evenness of every cell makes the whole even.
+    the spread of label shares over folds then is least. Cells are independent and hold about ``cell_units`` units
+    each, so there are more of them the more units there are, and evenness of every cell makes the whole even.
     """
-    counts = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias("c")) if "n" in df.columns else None
-    if counts is None:
-        per = df.where(F.col(unit).isNotNull() & F.col(label).isNotNull()).groupBy(unit, label).agg(F.count(F.lit(1)).alias("n"))
-        counts = per.groupBy(unit).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias("c"))
+    per = df.where(F.col(unit).isNotNull() & F.col(label).isNotNull()).groupBy(unit, label).agg(F.count(F.lit(1)).alias("n"))
+    counts = Staging(df.sparkSession, "deal").keep(per.groupBy(unit).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias("c")))  # one entry per label
+    cells = max(1, -(-counts.count() // cell_units))
     placed = counts.withColumn("cell", (draw(F.lit(seed), unit) % cells).cast("int"))
 
     def deal(pdf):
@@ -53,7 +57,11 @@ def stratified_group_folds(df: DataFrame, unit: str, label: str, k: int, seed: i
         order = sorted(range(len(m)), key=lambda i: (-m[i].std(), str(pdf[unit].iloc[i])))
         held, fold = np.zeros((k, len(labels))), np.zeros(len(m), int)
         for i in order:
-            best = min(range(k), key=lambda f: (np.mean(((held + m[i] * (np.arange(k) == f)[:, None]) / total).std(0)), held[f].sum(), f))
+            # adding the unit to fold f changes the share of that fold alone: all k outcomes at once
+            tried = np.repeat(held[None], k, 0)
+            tried[np.arange(k), np.arange(k)] += m[i]
+            spread = (tried / total).std(1).mean(1)
+            best = np.lexsort((np.arange(k), held.sum(1), spread))[0]
             held[best] += m[i]
             fold[i] = best
         return pd.DataFrame({unit: pdf[unit], "fold": fold.astype("int32")})

@@ -65,14 +65,16 @@ def constrained_groups(spark, sf):
     nodes = keyed.groupBy("p", "d", "patients", "alone").agg(F.min("file_id").alias("node"), F.collect_list("file_id").alias("members"))
     nodes = Staging(spark, "constrained_nodes").keep(nodes)
     classes = nodes.where("p is not null").groupBy("p", "d").agg(F.min("node").alias("rep"))
-    of_class = nodes.where("p is not null").join(classes, ["p", "d"]).select("rep", "node")
+    of_class = nodes.where("p is not null").join(classes, ["p", "d"]).select("rep", "node", "patients")
     near = ne.banded_pairs(classes, 4).select("a", "b")
-    side = lambda k, n: of_class.select(F.col("rep").alias(k), F.col("node").alias(n))
-    # every node of a class with every other one, and with those of near classes
-    within = side("rep", "a").join(side("rep", "b"), "rep").where("a < b").select("a", "b")
-    across = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # edges between nodes that both have patients would be refused, so each edge has an end without; a class has one such at most
+    side = lambda rows, k, n: rows.select(F.col("rep").alias(k), F.col("node").alias(n))
+    bare, known = of_class.where("patients is null"), of_class.where("patients is not null")
+    within = side(bare, "rep", "a").join(side(known, "rep", "b"), "rep").select("a", "b")
+    across = lambda x, y: near.join(side(x, "a", "x"), "a").join(side(y, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = within.unionByName(across(bare, of_class)).unionByName(across(known, bare))
     items = nodes.select("node", F.explode_outer("patients").alias("patient"))
-    done = gr.constrained_groups(items, within.unionByName(across), "node", "patient")
+    done = gr.constrained_groups(items, links, "node", "patient")
     return nodes.select("node", F.explode("members").alias("file_id")).join(done, "node").select("file_id", F.col("grp").alias("group_rep"))
 
 

@@ -127,6 +127,38 @@ def test_components_and_constraint(spark):
     assert rows(graph.constrained_groups(items, links, "id", "ent")) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
 
 
+def test_constrained_groups_equal_the_walk_in_order(spark):
+    rng = random.Random(12)
+    for trial in range(3):
+        n = 60
+        ents = {i: {rng.choice("abcdefgh") for _ in range(rng.choice([1, 1, 2]))} if rng.random() < 0.3 else set() for i in range(n)}
+        links = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(70)})
+        parent, held = list(range(n)), {i: set(e) for i, e in ents.items()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def join(x, y):
+            lo, hi = min(x, y), max(x, y)
+            parent[hi] = lo
+            held[lo] |= held[hi]
+
+        for e in "abcdefgh":
+            own = [i for i in range(n) if e in ents[i]]
+            for i in own[1:]:
+                if find(i) != find(own[0]):
+                    join(find(i), find(own[0]))
+        for a, b in links:
+            x, y = find(a), find(b)
+            if x != y and (not held[x] or not held[y] or held[x] & held[y]):
+                join(x, y)
+        items = spark.createDataFrame([(i, e) for i in range(n) for e in (sorted(ents[i]) or [None])], "id bigint, ent string")
+        got = graph.constrained_groups(items, spark.createDataFrame(links, "a bigint, b bigint"), "id", "ent")
+        assert rows(got) == sorted(((i, find(i)) for i in range(n)), key=str), trial
+
+
 def test_constrained_groups_keep_patients_apart(spark, monkeypatch):
     # 1 and 2 are copies of different patients, 3 is a copy of none; 4 is the other file of patient b, 5 one without hashes
     files = [(1, "/1", 0, 0), (2, "/2", 0, 0), (3, "/3", 0, 0), (4, "/4", -1, -1), (5, "/5", None, None), (6, "/6", None, 3), (7, "/7", 77777, 0), (8, "/8", 77776, 0)]
@@ -225,7 +257,7 @@ def test_splits(spark):
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
     f = splitting.stratified_folds(df, "item", "label", 5, 1)
     assert {r["c"] for r in f.groupBy("label", "fold").agg(F.count("*").alias("c")).groupBy("label").agg((F.max("c") - F.min("c")).alias("c")).collect()} <= {0, 1}
-    g = splitting.stratified_group_folds(df, "unit", "label", 5, 1, cells=2)
+    g = splitting.stratified_group_folds(df, "unit", "label", 5, 1, cell_units=60)
     sizes = [r["c"] for r in df.join(g, "unit").groupBy("fold").agg(F.count("*").alias("c")).collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 16 and g.count() == 100
     leaky = df.withColumn("fold", (F.col("item") % 3).cast("int"))
