@@ -13,9 +13,12 @@ def parse_hash64(col: Column | str) -> Column:
 
     Case, outer blanks, a 0x prefix and missing or surplus leading zeros do not matter.
     """
-    text = F.lower(F.col(col) if isinstance(col, str) else col)
-    digits = F.regexp_extract(text, _HEX, 1)
-    return F.when(digits != "", F.conv(digits, 16, -10).cast("bigint"))
+    col = F.col(col) if isinstance(col, str) else col
+    digits = F.regexp_extract(F.lower(col), _HEX, 1)
+    number = lambda x: F.conv(x, 16, -10).cast("bigint")
+    # sixteen digits as they should be are told by a table of bytes; all else goes through the pattern
+    plain = (F.length(col) == 16) & F.unhex(col).isNotNull()
+    return F.when(plain, number(col)).when(digits != "", number(digits))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -32,4 +35,4 @@ def norm_digest(col: Column | str) -> Column:
 def compact_digest(col: Column | str) -> Column:
     """The digest as bytes: half the width of its hexadecimal text, the text itself where it is none."""
     text = norm_digest(col)
-    return F.when(text.rlike(r"^(?:[0-9a-f]{2})+$"), F.unhex(text)).otherwise(F.encode(text, "UTF-8"))
+    return F.coalesce(F.when(F.length(text) % 2 == 0, F.unhex(text)), F.encode(text, "UTF-8"))

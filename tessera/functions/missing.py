@@ -11,5 +11,5 @@ NO_VALUE = ("", "-", "--", "n/a", "na", "nan", "nil", "none", "null", "unknown",
 
 def usable(col: Column | str, lower: bool = True) -> Column:
     """The text without outer blanks, in lower case unless told otherwise; NULL where it names nothing."""
-    text = F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^\s+|\s+$", "")
+    text = F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(" \t\n\x0b\f\r"))
     return F.when(~F.lower(text).isin(*NO_VALUE), F.lower(text) if lower else text)
