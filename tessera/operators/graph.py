@@ -6,29 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Staging
+from .skew import HOT_ROWS, spread_join
 
 
-def components(edges: DataFrame, staging: Staging | None = None, max_rounds: int = 200) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), by label spreading with jumps.
+def components(edges: DataFrame, staging: Staging | None = None, max_rounds: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, component): the smallest node reachable over edges (a, b), by contraction.
 
-    Each round a node takes the smallest label of its neighbours, and then the label of that label, so paths are
-    halved. State is written to the shared folder between rounds.
+    Each node points to the smallest of itself and its neighbours; pointers are followed to their ends, which leaves
+    the local minima, and edges between these go into the next round. At least half of the nodes that have edges
+    vanish in each, so the state shrinks to nothing in a logarithm of rounds. A node of very many edges is dealt over
+    tasks. NULL ends and loops are left out; the tables of a round are written to the shared folder.
     """
     staging = staging or Staging(edges.sparkSession, "components")
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = staging.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = staging.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"))
+    cur = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cur, levels = staging.keep(cur), []
     for _ in range(max_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("l").alias("m"))
-        one = labels.join(near, labels["node"] == near["a"]).select("node", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("changed"))
-        one = staging.keep(one)
-        if one.where("changed").limit(1).count() == 0:
-            return one.select("node", F.col("l").alias("component"))
-        up = one.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        nxt = staging.keep(one.join(up, "l", "left").select("node", F.coalesce("ll", "l").alias("l")))
-        staging.drop(labels, one)
-        labels = nxt
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if cur.limit(1).count() == 0:
+            break
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooked = staging.keep(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("node"), F.least("a", "m").alias("l"), "n"))
+        ends = hooked.select("node", "l")
+        while True:  # paths to the local minima are halved each time
+            up = ends.select(F.col("node").alias("l"), F.col("l").alias("ll"))
+            nxt = staging.keep(ends.join(up, "l").select("node", F.col("ll").alias("l"), (F.col("ll") != F.col("l")).alias("moved")))
+            ends = nxt.select("node", "l")
+            if nxt.where("moved").limit(1).count() == 0:
+                break
+        levels.append(ends)
+        of = lambda c: ends.select(F.col("node").alias(c), F.col("l").alias(f"l{c}"))
+        size = lambda c: hooked.select(F.col("node").alias(c), "n")
+        half = spread_join(cur, of("a"), ["a"], size("a"), ["b"], hot_rows=hot_rows).select("b", "la")
+        whole = spread_join(half, of("b"), ["b"], size("b"), ["la"], hot_rows=hot_rows)
+        cur = staging.keep(whole.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not levels:
+        return cur.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    out = levels[-1]
+    for level in reversed(levels[:-1]):
+        out = level.join(out.select(F.col("node").alias("l"), F.col("l").alias("ll")), "l", "left").select("node", F.coalesce("ll", "l").alias("l"))
+    return out.select("node", F.col("l").alias("component"))
 
 
 def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: str) -> DataFrame:

@@ -88,13 +88,16 @@ SSIM_BINS = ((0.0, 0.5), (0.5, 0.8), (0.8, 0.9), (0.9, 0.95), (0.95, 1.01))
 
 
 def ssim_bins(pairs: DataFrame, value: str = "ssim", distance: str = "distance") -> DataFrame:
-    """(bin, n, mean_distance, share_095): matched pairs by similarity, and the share of all at 0.95 and above."""
+    """(bin, n, mean_distance, share_095): matched pairs by similarity, and the share of these at 0.95 and above.
+
+    Pairs without a similarity and those below 0 are in no bin.
+    """
     v = F.col(value)
     name = F.lit(None).cast("string")
     for lo, hi in SSIM_BINS:
         name = F.when((v >= lo) & (v < hi), f"[{lo:g},{hi:g})").otherwise(name)
     all_ = Window.partitionBy()  # one row per bin
-    g = pairs.where(v.isNotNull()).groupBy(name.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(distance), 6).alias("mean_distance"), F.count_if(v >= 0.95).alias("_hi"))
+    g = pairs.where(v >= SSIM_BINS[0][0]).groupBy(name.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(distance), 6).alias("mean_distance"), F.count_if(v >= 0.95).alias("_hi"))
     return g.select("bin", "n", "mean_distance", F.round(F.sum("_hi").over(all_) / F.sum("n").over(all_), 6).alias("share_095"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nested, schema_drift
 from ..sources.tables import table as _t
+from .drift_sql import CHANGES
 
 
 def p4_found(spark, sf):
@@ -45,6 +46,8 @@ cm as (select metrics_id, label, unnest(v.confusion_matrix) as e, generate_subsc
 cp as (select metrics_id, unnest(comparisons) as e, generate_subscripts(comparisons, 1) - 1 as i from r)"""
 
 SQL = {
+    "p4_found": CHANGES,
+    "p4_change_counts": f"select field_name, change_kind, count(*) as n_files from ({CHANGES}) group by 1, 2",
     "p7_nodes": f"""with {_NODES} select metrics_id, '0.' || i as label, null::varchar as parent_label, 'labels[]' as schema_path, i::varchar as key from (select metrics_id, generate_subscripts(labels, 1) - 1 as i from r)
 union all select metrics_id, label, null, 'models{{}}', model from m
 union all select metrics_id, label || '.0.' || j, label, 'models{{}}.point{{}}', e.key from pt

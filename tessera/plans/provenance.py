@@ -272,10 +272,11 @@ def group_size_summary(spark, sf):
     return sizes.agg(F.count(F.lit(1)).alias("n_groups"), F.min("n").alias("min_size"), F.median("n").alias("median_size"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"))
 
 
-@query(f"with {CURATED} select label, min(source) as source, count(*) as n from c group by label having count(distinct source) = 1 and label is not null")
+@query(f"with {CURATED} select label, count(distinct source) as n_sources, count(*) as n, case when count(distinct source) = 1 then min(source) end as only_source from c where label is not null group by label")
 def single_source_classes(spark, sf):
-    g = v.curated(spark, sf).where("label is not null").groupBy("label").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("k"))
-    return g.where("k = 1").drop("k")
+    """Classes and how many sources they come from; the source is named where it is the only one."""
+    k = F.countDistinct("source")
+    return v.curated(spark, sf).where("label is not null").groupBy("label").agg(k.alias("n_sources"), F.count(F.lit(1)).alias("n"), F.when(k == 1, F.min("source")).alias("only_source"))
 
 
 @query(f"""with {CURATED}, g as (select source, count(*) as images, count(distinct patient) as patients, count(distinct grp) as groups_, count(distinct width || 'x' || height) as sizes, array_to_string(list_sort(list_distinct(list(label) filter (label is not null))), ', ') as labels from c group by source)

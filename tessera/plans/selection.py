@@ -135,13 +135,13 @@ def model_pairs(spark, sf):
     return v.runs(spark, sf).select("run_id", F.map_keys("models").alias("names")).select("run_id", F.inline(pairs))
 
 
-@query(f"with {CURATED} select s.source, l.label from (select distinct source from c) s cross join (select distinct label from c where label is not null) l except select source, label from c")
+@query(f"{_LF} select a.fold, a.source, b.label from (select distinct fold, source from l) a cross join (select distinct label from l where label is not null) b except select fold, source, label from l")
 def absent_classes(spark, sf):
-    """Classes a source has no rows of."""
-    c = v.curated(spark, sf).select("source", "label")
-    # a few dozen sources and the classes: both sides are distinct values of small domains
-    grid = c.select("source").distinct().join(c.select("label").where("label is not null").distinct())
-    return grid.exceptAll(c.distinct())
+    """Classes of which a source has no file in a fold."""
+    c = v.labelled_folds(spark, sf).select("fold", "source", "label").distinct()
+    # folds, a few dozen sources and the classes: both sides are distinct values of small domains
+    grid = c.select("fold", "source").distinct().join(c.select("label").where("label is not null").distinct())
+    return grid.exceptAll(c)
 
 
 @query(f"with {RUNS}, b as (select coalesce(base_config, replace(config, '_imagelevel', '')) as base, list_sort(list(distinct split_mode) filter (split_mode is not null)) as modes from m where config is not null group by 1) select base, array_to_string(modes, ' + ') as modes, (list_contains(modes, 'grouped') and list_contains(modes, 'image')) as complete from b")

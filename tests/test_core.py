@@ -122,6 +122,17 @@ def test_nested(spark):
 def test_components_and_constraint(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 91), (None, 1), (4, 4)], "a bigint, b bigint")
     assert dict(rows(graph.components(e))) == {**{i: 0 for i in range(51)}, 90: 90, 91: 90}
+    star = spark.createDataFrame([(5, i) for i in range(6, 90)] + [(i, i + 100) for i in range(50)] + [(i + 100, i) for i in range(20)], "a bigint, b bigint")
+    assert rows(graph.components(star, hot_rows=10)) == rows(graph.components(star))
+    rng = random.Random(5)
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    seen = {i: i for e in some for i in e if e[0] != e[1]}
+    while any(seen[a] != seen[b] for a, b in some if a != b):
+        for a, b in some:
+            if a != b:
+                seen[a] = seen[b] = min(seen[a], seen[b])
+    assert dict(rows(graph.components(spark.createDataFrame(some, "a bigint, b bigint")))) == seen
+    assert graph.components(e.where("false")).count() == 0
     items = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (4, "x"), (5, None)], "id bigint, ent string")
     links = spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint")
     assert rows(graph.constrained_groups(items, links, "id", "ent")) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
