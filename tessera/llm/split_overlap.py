@@ -66,14 +66,22 @@ def binary_text(col: Column) -> Column:
     return F.lpad(F.bin(col), BITS, "0")
 
 
+#: Keys of the evaluation side a task may hold in memory.
+HELD_KEYS = 1_000_000
+
+
 def segment_join(evaluation: DataFrame, training: DataFrame, k: int) -> DataFrame:
     """Distinct (pe, de, pt, dt) of hash pairs within edit distance ``k`` in both hashes.
 
-    Both inputs hold (p, d), distinct and without NULLs.
+    Both inputs hold (p, d), distinct and without NULLs; the evaluation side is a stored table. While its keys, which
+    are counted, fit the tasks' memory the join holds them there and leaves the training side unsorted.
     """
     ev = _keys(evaluation.select("p", "d"), [(i, s, n) for i, (s, n) in enumerate(segments(k))]).select("key", F.col("p").alias("pe"), F.col("d").alias("de"))
     tr = _keys(training.select("p", "d"), positions(k)).select("key", F.col("p").alias("pt"), F.col("d").alias("dt"))
     within = lambda a, b: F.levenshtein(binary_text(F.col(a)), binary_text(F.col(b)), k) >= 0
+    tasks = int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if evaluation.count() * (k + 1) ** 2 <= HELD_KEYS * tasks:
+        ev = ev.hint("shuffle_hash")
     return tr.join(ev, "key").select("pe", "de", "pt", "dt").where(within("pe", "pt") & within("de", "dt")).distinct()
 
 
