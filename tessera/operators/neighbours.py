@@ -76,6 +76,7 @@ def scan_best(queries: DataFrame, item: str, pool: DataFrame, k: int, staging: S
             held = 0
         blocks[-1].append(b)
         held += n
+    pool = _spread(pool)
     out = None
     for cells in blocks:
         rows = stated.where(F.col("_b").isin(cells)).collect() if cells else []
@@ -86,6 +87,11 @@ def scan_best(queries: DataFrame, item: str, pool: DataFrame, k: int, staging: S
     return ranked.select(F.col("_q").cast(queries.schema[item].dataType).alias(item), "match_id", "distance")
 
 
+def _spread(pool: DataFrame, few: int = 5_000_000) -> DataFrame:
+    """A pool of so few rows that it may lie in one file is dealt over all cores."""
+    return pool.repartition(pool.sparkSession.sparkContext.defaultParallelism) if pool.count() <= few else pool
+
+
 def _scan_block(pool: DataFrame, rows: list[tuple[str, int, int]], k: int, both: bool) -> DataFrame:
     sent = pool.sparkSession.sparkContext.broadcast((np.array([r[1] for r in rows], np.int64).view(np.uint64), np.array([r[2] for r in rows], np.int64).view(np.uint64)))
     names = pool.sparkSession.sparkContext.broadcast([r[0] for r in rows])
