@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as ev
 from ..operators import splitting as sp
 from ..operators import statistics as st
+from ..session import Staging
 from ..sources import views as v
 from ..sources.tables import table as t
 from .base_sql import CURATED, DEC, LABELLED, PRED, RUNS
@@ -56,6 +57,17 @@ def kfold_stratified_grouped(spark, sf):
     return sp.stratified_group_folds(v.labelled_folds(spark, sf), "unit", "label", 5, 42)
 
 
+@query(f"{_LF} select count(distinct unit) as n_units, 0::bigint as n_torn, 5::bigint as n_folds, true as even from l where label is not null")
+def kfold_group_checks(spark, sf):
+    """What must hold of folds of whole units: each unit once, all folds used, shares of rows within a tenth of even."""
+    rows = v.labelled_folds(spark, sf).where("label is not null")
+    f = Staging(spark, "fold_checks").keep(sp.stratified_group_folds(rows, "unit", "label", 5, 42))
+    once = f.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("n") > 1).alias("n_torn"))
+    n = rows.join(f.withColumnRenamed("fold", "dealt"), "unit").groupBy("dealt").agg(F.count(F.lit(1)).alias("n"))
+    shares = n.agg(F.count(F.lit(1)).alias("n_folds"), ((F.max("n") - F.min("n")) <= 0.1 * F.avg("n")).alias("even"))
+    return once.join(shares).select("n_units", "n_torn", "n_folds", "even")  # one row each
+
+
 @query(f"{_LF}, g as (select unit, min(fold) <> max(fold) as spans from l group by unit) select fold, count(*) as n, count_if(spans)::bigint as n_sibling, round(100.0 * count_if(spans) / count(*), 4) as sibling_pct from l join g using (unit) group by fold")
 def sibling_contamination(spark, sf):
     return sp.siblings(v.labelled_folds(spark, sf), "unit", "fold")
@@ -390,7 +402,7 @@ def bootstrap_metrics_ci(spark, sf):
 def median_representative(spark, sf):
     b = v.curated(spark, sf).where("bytes > 0 and label is not null").select("label", "bytes", "path")
     med = b.groupBy("label").agg(F.median("bytes").alias("med"))
-    near = b.join(F.broadcast(med), "label")
+    near = b.join(med, "label")
     return near.groupBy("label", "med").agg(F.min(F.struct(F.abs(F.col("bytes") - F.col("med")).alias("a"), "path")).alias("m")).select("label", F.col("m.path").alias("path"), "med")
 
 

@@ -12,7 +12,7 @@ from ..operators import statistics as st
 from ..session import Staging
 from ..sources import views as v
 from ..sources.tables import table as t
-from .base_sql import FILES, LABELLED
+from .base_sql import CURATED, FILES, LABELLED
 
 QUERIES, SQL = {}, {}
 
@@ -78,6 +78,18 @@ def constrained_groups(spark, sf):
     return nodes.select("node", F.explode("members").alias("file_id")).join(done, "node").select("file_id", F.col("grp").alias("group_rep"))
 
 
+@query(f"""with {FILES}, {CURATED}, pt as (select distinct path, patient from c where patient is not null), h as (select f.file_id from f where (f.p is not null and f.d is not null) or f.path in (select path from pt))
+select count(*) as n_files, 0::bigint as n_torn_patients, 0::bigint as n_repeated, count(distinct pt.patient) as n_patients from h left join f using (file_id) left join pt using (path)""".replace("select count(*) as n_files", "select count(distinct h.file_id) as n_files"))
+def constrained_group_checks(spark, sf):
+    """What must hold of the groups: every file once, and the files of a patient together."""
+    g = Staging(spark, "constrained_checks").keep(constrained_groups(spark, sf))
+    pt = v.curated(spark, sf).where("patient is not null").select("path", "patient").distinct()
+    named = v.files(spark, sf, "path").join(pt, "path").join(g, "file_id").groupBy("patient").agg((F.min("group_rep") != F.max("group_rep")).alias("torn"))
+    files = g.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("n") > 1).alias("n_repeated"))
+    people = named.agg(F.count(F.lit(1)).alias("n_patients"), F.count_if("torn").alias("n_torn_patients"))
+    return files.join(people).select("n_files", "n_torn_patients", "n_repeated", "n_patients")  # one row each
+
+
 _EX = f"""with {LABELLED}, {FILES.replace("f as", "fl as")}, dev as (select fl.p, fl.d, l.fold, l.grp from l join fl using (path) where fl.p is not null and fl.d is not null),
 ext as (select path, min(p) as p, min(d) as d from (select path, {{P}} as p, {{D}} as d from bdneuro_v7_manifest where path is not null) where p is not null and d is not null group by path),
 x as (select ext.path, dev.fold, dev.grp from ext join dev on bit_count(xor(ext.p, dev.p)) <= 2 and bit_count(xor(ext.d, dev.d)) <= 2)"""
@@ -126,6 +138,18 @@ def knn_vote(spark, sf):
     return mo.knn_vote(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label", 5)
 
 
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double - list_min(embedding)::double) as h from embeddings), k as (select vec_id, h, range(1, 65) as ix, list_sort(h, 'DESC')[32] as top, list_sum(h) as total, list_max(h) as peak from e),
+a as (select vec_id, list_sum(list_transform(list_filter(ix, lambda i: i % 2 = 1), lambda i: h[i])) / total as energy, list_position(h, peak) % 2 = 1 as pointing_hit, len(list_filter(ix, lambda i: h[i] >= top and i % 2 = 1)) as n_both, len(list_filter(ix, lambda i: h[i] >= top or i % 2 = 1)) as n_either from k)
+select vec_id, 0.5::double as mask_area, round(energy, 6) as mask_energy, round(energy / 0.5, 6) as concentration, round(energy - 0.5, 6) as excess, pointing_hit, round(n_both / n_either, 6) as iou from a""")
+def attribution_table(spark, sf):
+    """Attribution scores of each vector as a heat map, against the mask of its odd columns."""
+    e = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    heat = e.select("vec_id", F.transform("x", lambda x: x - F.array_min("x")).alias("heat"), F.transform("x", lambda x, i: (i % 2 == 0).cast("int")).alias("mask"))
+    s = im.attribution_scores(F.col("heat"), F.col("mask"))
+    rounded = [F.round(s[k], 6).alias(k) for k in ("mask_energy", "concentration", "excess", "iou")]
+    return heat.select("vec_id", s["mask_area"].alias("mask_area"), *rounded, s["pointing_hit"].alias("pointing_hit"))
+
+
 @query()
 def vector_similarity_bins(spark, sf):
     """Structural similarity of consecutive vectors read as images of eight by eight, in bins, with their hash distance."""
