@@ -42,12 +42,18 @@ def p10_repaired(spark, sf):
     return encoding.repaired(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_coverage, p9_mix, p9_shares, p9_share_checks, p10_found, p10_repaired)}
+def p10_lost(spark, sf):
+    """Affected documents in which characters were lost for good, and how many."""
+    return encoding.repaired(_t(spark, sf, "documents")).where("n_lost > 0").select("doc_id", "n_lost")
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_coverage, p9_mix, p9_shares, p9_share_checks, p10_found, p10_repaired, p10_lost)}
 
 _WORDS = "list_filter(regexp_extract_all(replace(replace(lower(text), 'i̇', 'i'), 'ı', 'i'), '[\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _GRAMS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from (select {id}, {w} as w from {t} where text is not null) where len(w) >= 12"
 
 SQL = {
+    "p10_lost": "select doc_id, max(length(text) - length(replace(text, chr(65533), '')))::bigint as n_lost from documents where doc_id is not null and contains(text, chr(65533)) group by doc_id",
     "p9_share_checks": "select lower(trim(source)) as source, true as share_met, true as copies_kept from mix_targets where target_share > 0 and lower(trim(source)) in (select lower(trim(source)) from documents where text is not null and text <> '')",
     "p8_found": f"with d as ({_GRAMS.format(id='doc_id', w=_WORDS, t='documents')}), i as ({_GRAMS.format(id='item_id', w=_WORDS, t='benchmark_items')}) select distinct doc_id, item_id from d join i using (g)",
 }
