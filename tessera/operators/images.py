@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -185,6 +185,37 @@ def grey(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return x[:, :, 0] if channels == 1 else np.floor(x[:, :, 2] * 0.299 + x[:, :, 1] * 0.587 + x[:, :, 0] * 0.114)
 
 
+def occlusion_heat(image: np.ndarray, score: Callable[[np.ndarray], np.ndarray], patch: int = 32, stride: int = 16, fill: float = 0.0) -> np.ndarray:
+    """How much the score of an image falls where a patch is covered, averaged over the patches that cover a pixel.
+
+    ``score`` takes a stack of images. Patches start every ``stride`` pixels; the last ones end at the border.
+    """
+    h, w = image.shape
+    patch = min(patch, h, w)
+    at = lambda n: sorted({*range(0, n - patch + 1, stride), n - patch})
+    places = [(y, x) for y in at(h) for x in at(w)]
+    copies = np.repeat(image[None], len(places), 0)
+    for i, (y, x) in enumerate(places):
+        copies[i, y : y + patch, x : x + patch] = fill
+    drops = score(image[None])[0] - score(copies)
+    heat, seen = np.zeros((h, w)), np.zeros((h, w))
+    for (y, x), d in zip(places, drops, strict=True):
+        heat[y : y + patch, x : x + patch] += d
+        seen[y : y + patch, x : x + patch] += 1
+    return heat / np.maximum(seen, 1)
+
+
+def occlusion_maps(df: DataFrame, item: str, image: str, width: int, score: Callable[[np.ndarray], np.ndarray], **options) -> DataFrame:
+    """(item, heat): occlusion heat maps of images given as arrays in rows of ``width``; others than that have NULL."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            heats = [None if x is None or len(x) == 0 or len(x) % width else occlusion_heat(np.asarray(x, float).reshape(-1, width), score, **options).ravel() for x in b[image]]
+            yield pd.DataFrame({item: b[item], "heat": pd.Series(heats, dtype=object)})
+
+    return df.select(item, image).mapInPandas(run, f"{item} {df.schema[item].dataType.simpleString()}, heat array<double>")
+
+
 def attribution_scores(heat: Column, mask: Column) -> dict[str, Column]:
     """Scores of a heat map against a 0/1 mask of equal length: the share of energy outside and in the mask, its excess
     over the mask's area and ratio to it, whether the peak hits, and the overlap with as many hottest pixels."""

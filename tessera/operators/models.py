@@ -164,3 +164,13 @@ BANDS = ((0.97, "separable"), (0.85, "largely separable"))
 def conclusions(per_class: DataFrame) -> DataFrame:
     """(label, recall, finding): what a probe's recall says; below 0.80 a class is flagged."""
     return per_class.withColumn("finding", F.when(F.col("recall") >= BANDS[0][0], BANDS[0][1]).when(F.col("recall") >= BANDS[1][0], BANDS[1][1]).when(F.col("recall") < 0.80, "flag: recall below 0.80").otherwise("partly separable"))
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model as a checkpoint that replaces an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    """A stored model of the given class."""
+    return kind.load(path)

@@ -65,6 +65,33 @@ def optional(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame
     return spark.read.format(form).load(path) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
 
 
+class Missing(LookupError):
+    """An artefact that is not there."""
+
+
+class Artefacts:
+    """Artefacts by name, each read once; asking for one that is not there raises :class:`Missing`."""
+
+    def __init__(self, spark: SparkSession, root: str, form: str = "parquet"):
+        self._spark, self._root, self._form = spark, root.rstrip("/"), form
+        self._held: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._held:
+            found = optional(self._spark, f"{self._root}/{name}", self._form)
+            if found is None:
+                raise Missing(name)
+            self._held[name] = found
+        return self._held[name]
+
+
+def verified(files: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """(name, md5, ok): files (path, content) against the MD5 each name should have; unknown names have NULL."""
+    name = F.substring_index("path", "/", -1)
+    known = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]) if expected else F.create_map().cast("map<string,string>")
+    return files.select(name.alias("name"), F.md5("content").alias("md5")).withColumn("ok", F.col("md5") == F.lower(F.try_element_at(known, F.col("name"))))
+
+
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 

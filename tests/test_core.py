@@ -335,6 +335,10 @@ def test_images(spark, tmp_path):
     assert df.select(images.to_uint8(F.col("x"))).first()[0] == [0, 0, 255, 255]
     s = images.attribution_scores(F.col("x"), F.array(*map(F.lit, (0, 0, 1, 1))))
     assert tuple(df.limit(1).select(*[v.alias(k) for k, v in s.items()]).first()) == (0.0, 0.5, 0.5, 1.0, 2.0, True, 1.0)
+    bright = lambda stack: stack[:, :2, :2].sum((1, 2))
+    heat = images.occlusion_heat(np.ones((6, 6)), bright, patch=2, stride=2)
+    assert heat[:2, :2] == pytest.approx(np.full((2, 2), 4.0)) and heat[2:].sum() == 0
+    assert images.occlusion_maps(spark.createDataFrame([(1, [1.0] * 36), (2, [1.0]), (3, None)], "id int, x array<double>"), "id", "x", 6, bright, patch=2, stride=2).where("heat is null").count() == 2
     rng = np.random.default_rng(1)
     x, y = rng.random((12, 15)) * 255, rng.random((12, 15)) * 255
     brute = []
@@ -361,6 +365,17 @@ def test_images(spark, tmp_path):
     assert apart("a.png", "b.png", "p") < apart("a.png", "c.png", "p")
 
 
+def test_models_are_stored(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(float(i % 2), Vectors.dense([i % 2 + 0.1 * i])) for i in range(20)], ["label", "features"])
+    model = LogisticRegression().fit(df)
+    for _ in range(2):
+        models.save_model(model, str(tmp_path / "m"))
+    assert models.load_model(LogisticRegressionModel, str(tmp_path / "m")).coefficients == model.coefficients
+
+
 def test_models(spark):
     rng = random.Random(2)
     data = [(i, [rng.gauss(3 * (i % 3), 1), rng.gauss(0, 1)], i % 3, i % 4) for i in range(240)]
@@ -389,9 +404,16 @@ def test_readers(spark, tmp_path):
     assert readers.docx_text(spark, str(tmp_path / "no.docx")).first()["text"] is None
     assert readers.optional(spark, str(tmp_path / "gone")) is None
     assert readers.docx_text(spark, str(tmp_path / "d.docx")).first()["text"] == "a & b\nc"
+    raw = spark.read.format("binaryFile").load(str(tmp_path / "s" / "notes.txt"))
+    good = hashlib.md5(b"s/notes.txt").hexdigest()
+    assert [r["ok"] for r in readers.verified(raw, {"notes.txt": good.upper()}).collect()] == [True] and readers.verified(raw, {}).first()["ok"] is None
     out = str(tmp_path / "out")
+    held = readers.Artefacts(spark, str(tmp_path))
+    with pytest.raises(readers.Missing):
+        held["out"]
     readers.write(spark.range(3), out, dry_run=True)
     readers.write(spark.range(3), out)
+    assert held["out"].count() == 3 and held["out"] is held["out"]
     with pytest.raises(Exception, match="exists"):
         readers.write(spark.range(3), out, overwrite=False)
 
