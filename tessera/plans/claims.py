@@ -87,8 +87,10 @@ FAMILIES = (
     Family("paired.diff", "paired_contrast_summary", "diff_pp", "pp", must_appear=False),
     Family("lost.category", "lost_category", "n", "int"),
 )
-#: Documents of each scope by their source; the letter quotes a part of the manuscript's numbers by design.
-SCOPES = {"manuscript": ("methods_text", "claim_list", "dataset_card", "readme", "audit_note", "run_log", "radiology_note"), "letter": ("review_letter",)}
+#: The two scopes of documents: letters are those of one source, everything else is the manuscript. A letter quotes a
+#: part of the manuscript's numbers by design.
+SCOPES = ("manuscript", "letter")
+LETTERS = "review_letter"
 
 
 def registry_claims(spark, sf):
@@ -110,7 +112,7 @@ def _family_sql(f: Family) -> str:
 
 _DIGITS = {"f4": "printf('%.4f', round(value, 4))", "f3": "printf('%.3f', round(value, 3))", "f2": "printf('%.2f', round(value, 2))", "f1": "printf('%.1f', round(value, 1))", "thousands": "format('{:,}', round(value)::bigint)", "int": "round(value)::bigint::varchar", "pp": "printf('%+.2f', round(value, 2))", "pct": "printf('%.1f', round(value, 1))"}
 _RENDER = "case form " + " ".join(f"when '{k}' then {x}" for k, x in _DIGITS.items()) + " end"
-_CLAIMS = "with recursive " + ", ".join(f"r_{name} as ({_TEXTS[name]})" for name in dict.fromkeys(f.result for f in FAMILIES)) + ", cl as (" + " union all ".join(map(_family_sql, FAMILIES)) + f"), cr as (select *, {_RENDER} as rendered from cl where value is null or not isnan(value) or true)"
+_CLAIMS = "with recursive " + ", ".join(f"r_{name} as ({_TEXTS[name]})" for name in dict.fromkeys(f.result for f in FAMILIES)) + ", cl as (" + " union all ".join(map(_family_sql, FAMILIES)) + f"), cr as (select *, {_RENDER} as rendered from cl)"
 _PLAIN = "trim(regexp_replace(translate(text, '−–—‑   ', '----   '), '\\s+', ' ', 'g'))"
 _RUNS_OF = "regexp_extract_all(' ' || {x}, '[^0-9.,]([+-]?[0-9][0-9.,]*)', 1)"
 
@@ -123,14 +125,12 @@ ne as (select {key}, run, body, unnest(ends) as i from np), nt as (select {key},
 tk as (select distinct {key}, token from nt union select {key}, run[1:1] || token from nt where regexp_matches(run, '^[+-]'))"""
 
 
-_DOCS = "docs as (select case when source = 'review_letter' then 'letter' else 'manuscript' end as scope, text from documents where text is not null and source in (" + ", ".join(f"'{s}'" for ss in SCOPES.values() for s in ss) + "))"
+_DOCS = f"docs as (select case when source = '{LETTERS}' then 'letter' else 'manuscript' end as scope, text from documents where text is not null)"
 
 
 def documents_by_scope(spark, sf):
-    scope = F.lit(None).cast("string")
-    for name, sources in SCOPES.items():
-        scope = F.when(F.col("source").isin(*sources), name).otherwise(scope)
-    return t(spark, sf, "documents").where("text is not null").select(scope.alias("scope"), "text").where("scope is not null")
+    scope = F.when(F.col("source") == LETTERS, "letter").otherwise("manuscript")
+    return t(spark, sf, "documents").where("text is not null").select(scope.alias("scope"), "text")
 
 
 @query(_CLAIMS + f""", {_DOCS}, {_tokens_sql("docs", "scope")},
