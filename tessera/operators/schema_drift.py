@@ -13,7 +13,7 @@ A rescue-column reader; one pass over each document gives its typed columns, wha
   lo/hi objects, bracketed or dashed intervals).
 
 Every departure is reported as removed, renamed, retyped or added. A document is walked by plain Python in Arrow
-batches: its keys are not known beforehand, and the same rules in nested column expressions took three to five times
+batches: its keys are not known beforehand, and the same rules in nested column expressions took two to six times
 the CPU. Rows are independent, so nothing is moved but the rows of files loaded more than once.
 
 Defined results: a payload that is NULL or no JSON object has NULL in all columns, keeps the payload in ``_rescued``
