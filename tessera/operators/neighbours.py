@@ -7,7 +7,7 @@ very many files hold costs one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -134,6 +134,133 @@ def nearest(queries: DataFrame, item: str, pool: DataFrame, near: int = 4) -> Da
     return close.unionByName(scan_best(far, item, pool, 1, staging))
 
 
+#: Distinct hash pairs asked for at once in ``nearest_by_set``, 16 bytes each, and pool rows compared at once.
+SET_QUERIES, SET_ROWS = 1_000_000, 1_000_000
+#: Comparisons from which pool rows are looked up by bands instead of one after the other.
+INDEX_FROM = 40_000_000_000
+
+
+def nearest_by_set(queries: DataFrame, item: str, pool: DataFrame, sets: Sequence[str]) -> DataFrame:
+    """(item, set, distance): the distance of each item to the nearest row of each set of pool rows, at any distance.
+
+    ``pool`` is (p, d, held): a row belongs to ``sets[i]`` where bit i of held is set, so one pass serves all of them.
+    Items of equal hashes are asked for once, in blocks that every task receives; the pool is dealt over all cores. A
+    set without rows gives no row.
+    """
+    spark, staging = queries.sparkSession, Staging(queries.sparkSession, "nearest_by_set")
+    asked = staging.keep(queries.select("p", "d").distinct())
+    pool = staging.keep(pool.select("p", "d", "held").repartition(spark.sparkContext.defaultParallelism))
+    blocks = max(1, -(-asked.count() // SET_QUERIES))
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("p", "d"), F.lit(blocks)) == b).toArrow()
+        part = _scan_sets(pool, rows["p"].to_numpy(), rows["d"].to_numpy(), len(sets))
+        part = staging.keep(part) if blocks > 1 else part
+        out = part if out is None else out.unionByName(part)
+    found = out.groupBy("p", "d", "held").agg(F.min("distance").alias("distance"))
+    named = found.select("p", "d", F.element_at(F.array(*map(F.lit, sets)), F.col("held") + 1).alias("set"), "distance")
+    return queries.select(item, "p", "d").join(named, ["p", "d"]).select(item, "set", "distance")
+
+
+def _scan_sets(pool: DataFrame, p: np.ndarray, d: np.ndarray, n_sets: int) -> DataFrame:
+    sent = pool.sparkSession.sparkContext.broadcast((p, d))
+    index_from, set_rows = INDEX_FROM, SET_ROWS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qp, qd = (x.view(np.uint64) for x in sent.value)
+        best = np.full((n_sets, len(qp)), 255, np.uint8)
+
+        def compare(held):
+            rows = pd.concat(held)
+            for mask, part in sorted(rows.groupby("held"), key=lambda x: -int(x[0]).bit_count()):
+                of = [i for i in range(n_sets) if mask >> i & 1]
+                if of:
+                    limit = best[of].max(0)  # a row counts for all of its sets
+                    _nearer(qp, qd, part["p"].to_numpy().view(np.uint64), part["d"].to_numpy().view(np.uint64), limit, best, of, index_from)
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= set_rows:
+                compare(held)
+                held, n = [], 0
+        if held:
+            compare(held)
+        for i in range(n_sets):
+            for at in range(0, len(qp), 100_000):
+                ok = np.flatnonzero(best[i, at : at + 100_000] < 255) + at
+                yield pd.DataFrame({"p": qp[ok].view(np.int64), "d": qd[ok].view(np.int64), "held": np.full(len(ok), i, np.int32), "distance": best[i, ok].astype(np.int32)})
+
+    return pool.mapInPandas(run, "p bigint, d bigint, held int, distance int")
+
+
+def _nearer(qp: np.ndarray, qd: np.ndarray, p: np.ndarray, d: np.ndarray, limit: np.ndarray, best: np.ndarray, of: list[int], index_from: int) -> None:
+    """Lowers ``best`` of the sets ``of`` where a pool row is nearer than the query's ``limit``.
+
+    Where that is much to compare, p is cut into five bands, and the rows whose band differs from the query's by 0, 1,
+    2 ... bits are compared first, band after band. By the pigeonhole principle a row not yet met after s such steps
+    differs in s bits of p at least, so a query is settled as soon as its limit is s or less.
+    """
+    scratch = np.empty(131_072, np.uint64), np.empty(131_072, np.uint8), np.empty(131_072, bool)
+    if len(qp) * len(p) < index_from:
+        for part in (slice(64), slice(64, None)):  # the first rows alone bring limits down
+            _compare(qp, qd, p[part], d[part], np.arange(len(qp)), limit, best, of, scratch)
+        return
+    cuts = [i * 64 // 5 for i in range(6)]
+    bands = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        cell = lambda x, a=a, b=b: ((x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+        order = np.argsort(cell(p), kind="stable")
+        near = [np.array([m for m in range(1 << (b - a)) if m.bit_count() == t], np.int64) for t in range(b - a + 1)]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(cell(p), minlength=1 << (b - a)))])
+        bands.append((cell(qp), p[order], d[order], starts, near))
+    met = 0
+    for t in range(14):
+        for key, sp, sd, starts, near in bands:
+            if t >= len(near):
+                continue
+            open_ = np.flatnonzero(limit > met)
+            if not len(open_):
+                return
+            open_ = open_[np.argsort(key[open_], kind="stable")]
+            for group in np.split(open_, np.flatnonzero(np.diff(key[open_])) + 1):
+                cells = np.sort(key[group[0]] ^ near[t])
+                size = starts[cells + 1] - starts[cells]
+                rows = np.repeat(starts[cells] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                _compare(qp, qd, sp[rows], sd[rows], group, limit, best, of, scratch)
+            met += 1
+
+
+def _compare(qp: np.ndarray, qd: np.ndarray, p: np.ndarray, d: np.ndarray, who: np.ndarray, limit: np.ndarray, best: np.ndarray, of: list[int], scratch: tuple[np.ndarray, ...]) -> None:
+    """Compares the queries ``who`` with all rows in tiles of the size of ``scratch``; d only where p is near enough."""
+    xor, count, flag = scratch
+    tile = len(xor)
+    for s in range(0, len(p), 4096):
+        tp, td = p[s : s + 4096], d[s : s + 4096]
+        if len(tp) % 8:  # whole words of eight flags; a row met twice changes nothing
+            tp, td = (np.concatenate([x, np.repeat(x[-1:], -len(x) % 8)]) for x in (tp, td))
+        n = len(tp)
+        for at in range(0, len(who), tile // n):
+            w = who[at : at + tile // n]
+            k = len(w) * n
+            np.bitwise_xor(qp[w][:, None], tp, out=xor[:k].reshape(len(w), n))
+            np.bitwise_count(xor[:k], out=count[:k])
+            np.less(count[:k].reshape(len(w), n), limit[w][:, None], out=flag[:k].reshape(len(w), n))
+            words = np.flatnonzero(flag[:k].view(np.uint64))
+            if not len(words):
+                continue
+            x, y = np.nonzero(flag[:k].reshape(-1, 8)[words])
+            cells = words[x] * 8 + y
+            q, r = w[cells // n], cells % n
+            near = np.maximum(count[cells], np.bitwise_count(qd[q] ^ td[r]))
+            ok = np.flatnonzero(near < limit[q])
+            if len(ok):
+                for i in of:
+                    np.minimum.at(best[i], q[ok], near[ok])
+                limit[w] = best[of][:, w].max(0)
+
+
 def best_two(queries: DataFrame, item: str, pool: DataFrame, both: bool = False) -> DataFrame:
     """(item, best_id, best_distance, runner_up_distance, margin) at any distance, by p alone unless ``both``.
 

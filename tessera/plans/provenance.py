@@ -174,14 +174,10 @@ def scope_distances(spark, sf):
 
     A class counts for every source that holds a copy with its hashes.
     """
-    files = v.files(spark, sf, "p", "d", "source")
-    classes = ne.hash_classes(files)
-    held = Staging(spark, "scopes").keep(_members(files, classes, "source").select("rep", F.explode(_scopes()).alias("scope")).distinct().join(classes.select("rep", "p", "d"), "rep"))
-    queries, out = v.external(spark, sf), None
-    for scope in ("trained", "sources", "composite"):
-        part = ne.nearest(queries, "path", held.where(F.col("scope") == scope)).select("path", F.lit(scope).alias("scope"), "distance")
-        out = part if out is None else out.unionByName(part)
-    return out
+    scopes = ("trained", "sources", "composite")
+    held = [F.bool_or(F.array_contains(_scopes(), s)).cast("int") * (1 << i) for i, s in enumerate(scopes)]
+    classes = v.files(spark, sf, "p", "d", "source").where("p is not null and d is not null").groupBy("p", "d").agg(sum(held, F.lit(0)).alias("held"))
+    return ne.nearest_by_set(v.external(spark, sf), "path", classes, scopes).withColumnRenamed("set", "scope")
 
 
 @query(f"""with {_SC}, m as (select distinct path, nullif(lower(trim(sha256)), '') as sha, nullif(lower(trim(group_id)), '') as grp from bdneuro_v7_manifest where path is not null), one as (select path, min(sha) as sha, min(grp) as grp from m group by path),

@@ -263,6 +263,25 @@ def test_matches_count_for_all_sources_of_a_copy(spark, tmp_path):
     assert rows(q["match_agreement"](spark, str(tmp_path))) == [("mirror1", "mirror2", 2, 0.5), ("slicebank", "mirror2", 2, 0.5)]
 
 
+def test_nearest_by_set_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: rng.getrandbits(64) - (1 << 63)
+    pool = [(word(), word(), rng.choice([4, 4, 5, 6, 7])) for _ in range(301)]
+    asked = [(f"q{i}", word(), word()) for i in range(20)] + [("copy", *pool[0][:2]), ("close", pool[1][0] ^ 3, pool[1][1] ^ 1)]
+    asked += [("again", *asked[0][1:])]
+    far = lambda a, b: max(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    names = ("x", "y", "z", "none")
+    want = sorted((n, names[i], min(far((p, d), r) for r in pool if r[2] >> i & 1)) for n, p, d in asked for i in range(3))
+    q, r = spark.createDataFrame(asked, "item string, p bigint, d bigint"), spark.createDataFrame(pool, "p bigint, d bigint, held int")
+    assert rows(neighbours.nearest_by_set(q, "item", r, names)) == want
+    monkeypatch.setattr(neighbours, "INDEX_FROM", 0)  # by bands
+    monkeypatch.setattr(neighbours, "SET_QUERIES", 9)
+    monkeypatch.setattr(neighbours, "SET_ROWS", 40)
+    assert rows(neighbours.nearest_by_set(q, "item", r, names)) == want
+    assert rows(neighbours.nearest_by_set(q, "item", r.limit(0), names)) == []
+    assert rows(neighbours.nearest_by_set(q.limit(0), "item", r, names)) == []
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
