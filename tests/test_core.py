@@ -282,6 +282,25 @@ def test_nearest_by_set_equals_brute_force(spark, monkeypatch):
     assert rows(neighbours.nearest_by_set(q.limit(0), "item", r, names)) == []
 
 
+def _scope_tables(spark, path):
+    row = "file_id bigint, source string, class string, phash string, dhash string, path string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, indexed_at timestamp, loaded_at timestamp"
+    files = [(1, "mirror1", "00", "00"), (2, " Slicebank", "00", "00"), (3, "mirror2", "ff", "00"), (4, None, "ffffffffffffffff", "00")]
+    spark.createDataFrame([(i, s, "x", p, d, f"/{i}", "train", 1, 1, "L", 1, None, T0, T0) for i, s, p, d in files], row).write.parquet(f"{path}/files_index.parquet")
+    items = [("e1", "01", "00", None, "g"), ("e2", "ff", "00", None, "g"), ("e3", "ffffffff", "ffffffff", None, "h"), ("e4", None, "00", None, "h")]
+    spark.createDataFrame(items, "path string, phash string, dhash string, sha256 string, group_id string").write.parquet(f"{path}/bdneuro_v7_manifest.parquet")
+
+
+def _one_scan(monkeypatch):
+    monkeypatch.setattr(neighbours, "nearest", lambda *_, **__: pytest.fail("a scan for one scope"))
+
+
+def test_strata_take_one_scan(spark, tmp_path, monkeypatch):
+    _scope_tables(spark, tmp_path)
+    _one_scan(monkeypatch)
+    got = rows(entry.queries()["strata"](spark, str(tmp_path)))
+    assert got == [("clean", 2, 1, 50.0), ("direct", 1, 0, 25.0), ("source_only", 1, 0, 25.0)]
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
