@@ -301,6 +301,13 @@ def test_strata_take_one_scan(spark, tmp_path, monkeypatch):
     assert got == [("clean", 2, 1, 50.0), ("direct", 1, 0, 25.0), ("source_only", 1, 0, 25.0)]
 
 
+def test_overlap_report_takes_one_scan(spark, tmp_path, monkeypatch):
+    _scope_tables(spark, tmp_path)
+    _one_scan(monkeypatch)
+    got = {r["scope"]: (r["n_items"], r["n_matched"], r["groups_contaminated"], r["min_distance"]) for r in entry.queries()["scopes_overlap_report"](spark, str(tmp_path)).collect()}
+    assert got == {"trained": (4, 1, 1, 1), "sources": (4, 2, 1, 0), "composite": (4, 2, 1, 0)}
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
