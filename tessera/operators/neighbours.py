@@ -30,7 +30,11 @@ def _bands(t: int) -> list[int]:
 
 
 def _keyed(df: DataFrame, t: int) -> DataFrame:
-    """One row per combination of a band of p and a band of d."""
+    """One row per combination of a band of p and a band of d.
+
+    The planner takes the exploded rows for as small as the table they come from, so joins on the key ask for a merge:
+    else one side, 25 rows a class, is sent through the driver.
+    """
     m = _bands(t)
     keys = [F.xxhash64(F.lit(i), F.lit(j), F.col("p").bitwiseAND(F.lit(a).cast("bigint")), F.col("d").bitwiseAND(F.lit(b).cast("bigint"))) for i, a in enumerate(m) for j, b in enumerate(m)]
     return df.select("*", F.explode(F.array(*keys)).alias("key"))
@@ -45,7 +49,7 @@ def banded_pairs(classes: DataFrame, t: int) -> DataFrame:
     k = _keyed(classes.select("rep", "p", "d"), t)
     left = k.select("key", F.col("rep").alias("a"), F.col("p").alias("pa"), F.col("d").alias("da"))
     right = k.select("key", F.col("rep").alias("b"), F.col("p").alias("pb"), F.col("d").alias("db"))
-    met = left.join(right, "key").where("a < b").select("a", "b", _dist("pa", "pb").alias("dist_p"), _dist("da", "db").alias("dist_d"))
+    met = left.hint("merge").join(right, "key").where("a < b").select("a", "b", _dist("pa", "pb").alias("dist_p"), _dist("da", "db").alias("dist_d"))
     return met.where(f"dist_p <= {t} and dist_d <= {t}").distinct()
 
 
@@ -53,7 +57,7 @@ def within(queries: DataFrame, item: str, pool: DataFrame, t: int) -> DataFrame:
     """(item, match_id, distance) of all pool classes with both distances at most t; distance is the larger."""
     q = _keyed(queries.select(item, "p", "d"), t).select("key", item, F.col("p").alias("pa"), F.col("d").alias("da"))
     r = _keyed(pool.select("rep", "p", "d"), t).select("key", F.col("rep").alias("match_id"), F.col("p").alias("pb"), F.col("d").alias("db"))
-    met = q.join(r, "key").select(item, "match_id", F.greatest(_dist("pa", "pb"), _dist("da", "db")).alias("distance"))
+    met = q.hint("merge").join(r, "key").select(item, "match_id", F.greatest(_dist("pa", "pb"), _dist("da", "db")).alias("distance"))
     return met.where(F.col("distance") <= t).distinct()
 
 

@@ -71,11 +71,11 @@ def constrained_groups(spark, sf):
     side = lambda rows, k, n: rows.select(F.col("rep").alias(k), F.col("node").alias(n))
     bare, known = of_class.where("patients is null"), of_class.where("patients is not null")
     within = side(bare, "rep", "a").join(side(known, "rep", "b"), "rep").select("a", "b")
-    across = lambda x, y: near.join(side(x, "a", "x"), "a").join(side(y, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    across = lambda x, y: near.hint("merge").join(side(x, "a", "x"), "a").hint("merge").join(side(y, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = within.unionByName(across(bare, of_class)).unionByName(across(known, bare))
     items = nodes.select("node", F.explode_outer("patients").alias("patient"))
     done = gr.constrained_groups(items, links, "node", "patient")
-    return nodes.select("node", F.explode("members").alias("file_id")).join(done, "node").select("file_id", F.col("grp").alias("group_rep"))
+    return nodes.select("node", F.explode("members").alias("file_id")).hint("merge").join(done, "node").select("file_id", F.col("grp").alias("group_rep"))
 
 
 @query(f"""with {FILES}, {CURATED}, pt as (select distinct path, patient from c where patient is not null), h as (select f.file_id from f where (f.p is not null and f.d is not null) or f.path in (select path from pt))

@@ -308,6 +308,13 @@ def test_overlap_report_takes_one_scan(spark, tmp_path, monkeypatch):
     assert got == {"trained": (4, 1, 1, 1), "sources": (4, 2, 1, 0), "composite": (4, 2, 1, 0)}
 
 
+def test_band_keys_are_not_sent_through_the_driver(spark):
+    classes = spark.range(9).select(F.col("id").alias("rep"), F.col("id").alias("p"), (F.col("id") * 7).alias("d"))
+    items = classes.select(F.col("rep").alias("item"), "p", "d")
+    for df in (neighbours.banded_pairs(classes, 4), neighbours.within(items, "item", classes, 4)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
