@@ -140,16 +140,18 @@ def nearest(queries: DataFrame, item: str, pool: DataFrame, near: int = 4) -> Da
 
 #: Distinct hash pairs asked for at once in ``nearest_by_set``, 16 bytes each, and pool rows compared at once.
 SET_QUERIES, SET_ROWS = 1_000_000, 1_000_000
-#: Comparisons from which pool rows are looked up by bands instead of one after the other.
-INDEX_FROM = 40_000_000_000
+#: Comparisons from which pool rows are looked up by bands instead of one after the other, at any distance and where
+#: only distances below a limit are told apart.
+INDEX_FROM, INDEX_BELOW = 40_000_000_000, 4_000_000_000
 
 
-def nearest_by_set(queries: DataFrame, item: str, pool: DataFrame, sets: Sequence[str]) -> DataFrame:
+def nearest_by_set(queries: DataFrame, item: str, pool: DataFrame, sets: Sequence[str], far: int | None = None) -> DataFrame:
     """(item, set, distance): the distance of each item to the nearest row of each set of pool rows, at any distance.
 
     ``pool`` is (p, d, held): a row belongs to ``sets[i]`` where bit i of held is set, so one pass serves all of them.
     Items of equal hashes are asked for once, in blocks that every task receives; the pool is dealt over all cores. A
-    set without rows gives no row.
+    set without rows gives no row. With ``far`` distances from there on are given as ``far``: who asks no more of
+    them spares comparing every item with every row.
     """
     spark, staging = queries.sparkSession, Staging(queries.sparkSession, "nearest_by_set")
     asked = staging.keep(queries.select("p", "d").distinct())
@@ -158,21 +160,26 @@ def nearest_by_set(queries: DataFrame, item: str, pool: DataFrame, sets: Sequenc
     out = None
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("p", "d"), F.lit(blocks)) == b).toArrow()
-        part = _scan_sets(pool, rows["p"].to_numpy(), rows["d"].to_numpy(), len(sets))
+        part = _scan_sets(pool, rows["p"].to_numpy(), rows["d"].to_numpy(), len(sets), far)
         part = staging.keep(part) if blocks > 1 else part
         out = part if out is None else out.unionByName(part)
     found = out.groupBy("p", "d", "held").agg(F.min("distance").alias("distance"))
     named = found.select("p", "d", F.element_at(F.array(*map(F.lit, sets)), F.col("held") + 1).alias("set"), "distance")
-    return queries.select(item, "p", "d").join(named, ["p", "d"]).select(item, "set", "distance")
+    if far is None:
+        return queries.select(item, "p", "d").join(named, ["p", "d"]).select(item, "set", "distance")
+    held = pool.agg(F.bit_or("held").alias("held")).first()["held"] or 0
+    there = F.array(*[F.lit(s) for i, s in enumerate(sets) if held >> i & 1]).cast("array<string>")
+    every = queries.select(item, "p", "d", F.explode(there).alias("set"))
+    return every.join(named, ["p", "d", "set"], "left").select(item, "set", F.coalesce("distance", F.lit(far)).alias("distance"))
 
 
-def _scan_sets(pool: DataFrame, p: np.ndarray, d: np.ndarray, n_sets: int) -> DataFrame:
+def _scan_sets(pool: DataFrame, p: np.ndarray, d: np.ndarray, n_sets: int, far: int | None) -> DataFrame:
     sent = pool.sparkSession.sparkContext.broadcast((p, d))
-    index_from, set_rows = INDEX_FROM, SET_ROWS
+    index_from, set_rows, top = (INDEX_FROM if far is None else INDEX_BELOW), SET_ROWS, 255 if far is None else far
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qp, qd = (x.view(np.uint64) for x in sent.value)
-        best = np.full((n_sets, len(qp)), 255, np.uint8)
+        best = np.full((n_sets, len(qp)), top, np.uint8)
 
         def compare(held):
             rows = pd.concat(held)
@@ -193,7 +200,7 @@ def _scan_sets(pool: DataFrame, p: np.ndarray, d: np.ndarray, n_sets: int) -> Da
             compare(held)
         for i in range(n_sets):
             for at in range(0, len(qp), 100_000):
-                ok = np.flatnonzero(best[i, at : at + 100_000] < 255) + at
+                ok = np.flatnonzero(best[i, at : at + 100_000] < top) + at
                 yield pd.DataFrame({"p": qp[ok].view(np.int64), "d": qd[ok].view(np.int64), "held": np.full(len(ok), i, np.int32), "distance": best[i, ok].astype(np.int32)})
 
     return pool.mapInPandas(run, "p bigint, d bigint, held int, distance int")

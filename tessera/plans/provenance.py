@@ -169,15 +169,17 @@ _SC = f"""{_POOL}, held as (select distinct pool.rep, unnest({_SCOPES}) as scope
 sn as (select held.scope, near.path, min(near.dist) as dist from near join held using (rep) group by 1, 2)"""
 
 
-def scope_distances(spark, sf):
+SCOPES = ("trained", "sources", "composite")
+
+
+def scope_distances(spark, sf, scopes=SCOPES, far=None):
     """(path, scope, distance): the nearest pool class of each external item in each scope, at any distance.
 
-    A class counts for every source that holds a copy with its hashes.
+    A class counts for every source that holds a copy with its hashes. Distances from ``far`` on are given as ``far``.
     """
-    scopes = ("trained", "sources", "composite")
     held = [F.bool_or(F.array_contains(_scopes(), s)).cast("int") * (1 << i) for i, s in enumerate(scopes)]
     classes = v.files(spark, sf, "p", "d", "source").where("p is not null and d is not null").groupBy("p", "d").agg(sum(held, F.lit(0)).alias("held"))
-    return ne.nearest_by_set(v.external(spark, sf), "path", classes, scopes).withColumnRenamed("set", "scope")
+    return ne.nearest_by_set(v.external(spark, sf), "path", classes.where("held <> 0"), scopes, far).withColumnRenamed("set", "scope")
 
 
 @query(f"""with {_SC}, m as (select distinct path, nullif(lower(trim(sha256)), '') as sha, nullif(lower(trim(group_id)), '') as grp from bdneuro_v7_manifest where path is not null), one as (select path, min(sha) as sha, min(grp) as grp from m group by path),
@@ -207,7 +209,7 @@ select stratum, count(*) as n, count_if(strict_clean)::bigint as n_strict, round
 def strata(spark, sf):
     """Items close to trained files, close to source files only, or to neither; strictly clean where nothing is nearer than 12 bits."""
     every = t(spark, sf, "bdneuro_v7_manifest").where("path is not null").select("path").distinct()
-    w = scope_distances(spark, sf).where("scope <> 'composite'").groupBy("path").pivot("scope", ["trained", "sources"]).agg(F.max("distance"))
+    w = scope_distances(spark, sf, ("trained", "sources"), 12).groupBy("path").pivot("scope", ["trained", "sources"]).agg(F.max("distance"))
     j = every.join(w, "path", "left")
     near = lambda c: F.coalesce(F.col(c) <= 4, F.lit(False))
     stratum = F.when(near("trained"), "direct").when(near("sources"), "source_only").otherwise("clean")

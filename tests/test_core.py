@@ -301,6 +301,35 @@ def test_strata_take_one_scan(spark, tmp_path, monkeypatch):
     assert got == [("clean", 2, 1, 50.0), ("direct", 1, 0, 25.0), ("source_only", 1, 0, 25.0)]
 
 
+def _asked(monkeypatch):
+    """What nearest_by_set is asked for: its sets and the limit."""
+    asked, by_set = [], neighbours.nearest_by_set
+    monkeypatch.setattr(neighbours, "nearest_by_set", lambda q, i, p, sets, far=None: asked.append((tuple(sets), far)) or by_set(q, i, p, sets, far))
+    return asked
+
+
+def test_strata_tell_no_distances_apart_from_12_on(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.getrandbits(64)
+    pool = [(word(), word()) for _ in range(40)]
+    flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
+    items = [(flip(pool[i % 40][0], i % 16), flip(pool[i % 40][1], i % 5)) for i in range(80)]
+    row = "file_id bigint, source string, class string, phash string, dhash string, path string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, indexed_at timestamp, loaded_at timestamp"
+    spark.createDataFrame([(i, "slicebank" if i % 2 else "mirror1", "x", f"{p:x}", f"{d:x}", f"/{i}", "train", 1, 1, "L", 1, None, T0, T0) for i, (p, d) in enumerate(pool)], row).write.parquet(f"{tmp_path}/files_index.parquet")
+    spark.createDataFrame([(f"e{i}", f"{p:x}", f"{d:x}", None, None) for i, (p, d) in enumerate(items)] + [("none", None, None, None, None)], "path string, phash string, dhash string, sha256 string, group_id string").write.parquet(f"{tmp_path}/bdneuro_v7_manifest.parquet")
+    want: dict = {"clean": [1, 0]}  # an item without hashes is not strictly clean
+    for q in items:
+        s, t = (min(max((x ^ y).bit_count() for x, y in zip(q, r)) for r in pool[k::2]) for k in (0, 1))
+        n = want.setdefault("direct" if t <= 4 else "source_only" if s <= 4 else "clean", [0, 0])
+        n[0], n[1] = n[0] + 1, n[1] + (min(s, t) >= 12)
+    asked = _asked(monkeypatch)
+    for least in (0, neighbours.INDEX_BELOW):  # by bands, and row by row
+        monkeypatch.setattr(neighbours, "INDEX_BELOW", least)
+        got = {r["stratum"]: [r["n"], r["n_strict"]] for r in entry.queries()["strata"](spark, str(tmp_path)).collect()}
+        assert got == want and all(n[1] for k, n in want.items() if k == "clean")
+    assert asked == [(("trained", "sources"), 12)] * 2
+
+
 def test_overlap_report_takes_one_scan(spark, tmp_path, monkeypatch):
     _scope_tables(spark, tmp_path)
     _one_scan(monkeypatch)
