@@ -182,6 +182,25 @@ def scope_distances(spark, sf, scopes=SCOPES, far=None):
     return ne.nearest_by_set(v.external(spark, sf), "path", classes.where("held <> 0"), scopes, far).withColumnRenamed("set", "scope")
 
 
+#: Limits at which the nearest distances of a scope are looked for, until an item is below one; None is none.
+_FAR = (5, 12, None)
+
+
+def _near_or_least(spark, sf, staging):
+    """(path, scope, distance): exact up to 4; in a scope where no item is as near, exact as far as its least distance."""
+    todo, out = list(SCOPES), None
+    for far in _FAR:
+        found = staging.keep(scope_distances(spark, sf, todo, far))
+        least = {r["scope"]: r["least"] for r in found.groupBy("scope").agg(F.min("distance").alias("least")).collect()}
+        done = [s for s in todo if s not in least or far is None or least[s] < far]
+        part = found.where(F.col("scope").isin(done))
+        out = part if out is None else out.unionByName(part)
+        todo = [s for s in todo if s not in done]
+        if not todo:
+            break
+    return out
+
+
 @query(f"""with {_SC}, m as (select distinct path, nullif(lower(trim(sha256)), '') as sha, nullif(lower(trim(group_id)), '') as grp from bdneuro_v7_manifest where path is not null), one as (select path, min(sha) as sha, min(grp) as grp from m group by path),
 fs as (select distinct sha, unnest({_SCOPES}) as scope from f where sha is not null),
 j as (select s.scope, one.path, one.grp, sn.dist, (fs.sha is not null) as same, coalesce(sn.dist <= 4, false) as hit from (values ('trained'), ('sources'), ('composite')) s(scope) cross join one left join sn on sn.path = one.path and sn.scope = s.scope left join fs on fs.sha = one.sha and fs.scope = s.scope),
@@ -195,8 +214,9 @@ def scopes_overlap_report(spark, sf):
     one = m.groupBy("path").agg(F.min("sha").alias("sha"), F.min("grp").alias("grp"))
     fs = files.where("sha is not null").select("sha", F.explode(_scopes()).alias("scope")).distinct().withColumn("same", F.lit(True))
     items = one.withColumn("scope", F.explode(F.array(F.lit("trained"), F.lit("sources"), F.lit("composite"))))
-    j = items.join(scope_distances(spark, sf), ["path", "scope"], "left").join(fs, ["sha", "scope"], "left").withColumn("hit", F.coalesce(F.col("distance") <= 4, F.lit(False)))
-    j = Staging(spark, "overlap_report").keep(j)
+    staging = Staging(spark, "overlap_report")
+    j = items.join(_near_or_least(spark, sf, staging), ["path", "scope"], "left").join(fs, ["sha", "scope"], "left").withColumn("hit", F.coalesce(F.col("distance") <= 4, F.lit(False)))
+    j = staging.keep(j)
     n = F.count(F.lit(1))
     g = j.where("grp is not null").groupBy("scope", "grp").agg(F.bool_or("hit").alias("hit")).groupBy("scope").agg(F.count_if("hit").alias("groups_contaminated"), F.round(F.count_if("hit") / n, 6).alias("group_rate"))
     r = j.groupBy("scope").agg(n.alias("n_items"), F.count_if(F.coalesce("same", F.lit(False))).alias("byte_identical"), F.count_if("hit").alias("n_matched"), F.round(F.count_if("hit") / n, 6).alias("image_rate"), F.min("distance").alias("min_distance"))

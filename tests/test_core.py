@@ -330,6 +330,25 @@ def test_strata_tell_no_distances_apart_from_12_on(spark, tmp_path, monkeypatch)
     assert asked == [(("trained", "sources"), 12)] * 2
 
 
+def test_overlap_report_looks_farther_only_where_nothing_is_near(spark, tmp_path, monkeypatch):
+    row = "file_id bigint, source string, class string, phash string, dhash string, path string, orig_split string, width int, height int, mode string, bytes bigint, sha256 string, indexed_at timestamp, loaded_at timestamp"
+    files = [(1, "mirror1", "ff", "00"), (2, "slicebank", "ffffffffff", "ffff")]
+    manifest = "path string, phash string, dhash string, sha256 string, group_id string"
+    asked = _asked(monkeypatch)
+    for name, items, want, scopes in (
+        ("far", ["00", "01"], {"trained": (0, 39), "sources": (0, 7), "composite": (0, 7)}, [(("trained", "sources", "composite"), 5), (("trained", "sources", "composite"), 12), (("trained",), None)]),
+        ("near", ["00", "fe"], {"trained": (0, 33), "sources": (1, 1), "composite": (1, 1)}, [(("trained", "sources", "composite"), 5), (("trained",), 12), (("trained",), None)]),
+        ("all", ["fe", "ffffffffff"], {"trained": (0, 16), "sources": (1, 1), "composite": (1, 1)}, [(("trained", "sources", "composite"), 5), (("trained",), 12), (("trained",), None)]),
+    ):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, s, "x", p, d, f"/{i}", "train", 1, 1, "L", 1, None, T0, T0) for i, s, p, d in files], row).write.parquet(f"{at}/files_index.parquet")
+        spark.createDataFrame([(f"e{i}", p, "00", None, "g") for i, p in enumerate(items)], manifest).write.parquet(f"{at}/bdneuro_v7_manifest.parquet")
+        asked.clear()
+        got = {r["scope"]: (r["n_matched"], r["min_distance"]) for r in entry.queries()["scopes_overlap_report"](spark, at).collect()}
+        assert got == want
+        assert asked == scopes
+
+
 def test_overlap_report_takes_one_scan(spark, tmp_path, monkeypatch):
     _scope_tables(spark, tmp_path)
     _one_scan(monkeypatch)
