@@ -72,7 +72,7 @@ def stratified_group_folds(df: DataFrame, unit: str, label: str, k: int, seed: i
 def siblings(df: DataFrame, unit: str, fold: str) -> DataFrame:
     """Per fold: items, and those whose unit also occurs in another fold."""
     spans = df.where(F.col(unit).isNotNull()).groupBy(unit).agg((F.min(fold) != F.max(fold)).alias("spans"))
-    j = df.join(spans, unit, "left")
+    j = df.join(spans.hint("merge"), unit, "left")  # a row per unit is not sent through the driver
     return j.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.count_if("spans").alias("n_sibling")).withColumn("sibling_pct", F.round(100.0 * F.col("n_sibling") / F.col("n"), 4))
 
 

@@ -215,7 +215,7 @@ def scopes_overlap_report(spark, sf):
     fs = files.where("sha is not null").select("sha", F.explode(_scopes()).alias("scope")).distinct().withColumn("same", F.lit(True))
     items = one.withColumn("scope", F.explode(F.array(F.lit("trained"), F.lit("sources"), F.lit("composite"))))
     staging = Staging(spark, "overlap_report")
-    j = items.join(_near_or_least(spark, sf, staging), ["path", "scope"], "left").join(fs, ["sha", "scope"], "left").withColumn("hit", F.coalesce(F.col("distance") <= 4, F.lit(False)))
+    j = items.join(_near_or_least(spark, sf, staging).hint("merge"), ["path", "scope"], "left").join(fs, ["sha", "scope"], "left").withColumn("hit", F.coalesce(F.col("distance") <= 4, F.lit(False)))
     j = staging.keep(j)
     n = F.count(F.lit(1))
     g = j.where("grp is not null").groupBy("scope", "grp").agg(F.bool_or("hit").alias("hit")).groupBy("scope").agg(F.count_if("hit").alias("groups_contaminated"), F.round(F.count_if("hit") / n, 6).alias("group_rate"))

@@ -38,7 +38,7 @@ def propagated_share(spark, sf):
     """Share of rows with a patient after identifiers were passed on within duplicate clusters."""
     c = v.curated(spark, sf)
     k = c.where("dup_cluster is not null").groupBy("dup_cluster").agg(F.min("patient").alias("cp"))
-    j = c.join(k, "dup_cluster", "left")
+    j = c.join(k.hint("merge"), "dup_cluster", "left")
     return j.agg(F.round(100.0 * F.count(F.coalesce("patient", "cp")) / _n(), 6).alias("pct"), F.count_if(F.col("patient").isNull() & F.col("cp").isNotNull()).alias("gained"))
 
 
@@ -238,7 +238,7 @@ xc as (select *, ({_h(11, 'path', 'fold', 'model')} % 100 < case when exposed th
 
 def _exposure(spark, sf):
     """(path, fold of the near copy, grp) of external items with a near copy in the development set."""
-    dev = v.labelled_folds(spark, sf).select("path", "fold", "grp").join(v.files(spark, sf, "path", "p", "d"), "path").where("p is not null and d is not null")
+    dev = v.labelled_folds(spark, sf).select("path", "fold", "grp").hint("merge").join(v.files(spark, sf, "path", "p", "d"), "path").where("p is not null and d is not null")
     classes = dev.groupBy("p", "d").agg(F.min("path").alias("rep"))
     hit = ne.within(v.external(spark, sf), "path", classes, 2).select("path", F.col("match_id").alias("rep"))
     return hit.join(dev.join(classes, ["p", "d"]).select("rep", "fold", "grp"), "rep").select("path", "fold", "grp").distinct()

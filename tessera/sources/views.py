@@ -43,9 +43,13 @@ def folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """path, label, unit, fold: split files with the group of the curated table, or their path where it has none."""
+    """path, label, unit, fold: split files with the group of the curated table, or their path where it has none.
+
+    Both sides have a row per file, whatever the written size of their tables, so they ask for a merge join: a
+    broadcast of either goes through the driver, several at once where a query reads this view in several branches.
+    """
     cur = curated(spark, sf).groupBy("path").agg(F.min("label").alias("label"), F.min("grp").alias("grp"), F.min("patient").alias("patient"), F.min("source").alias("source"))
-    return folds(spark, sf).join(cur, "path").withColumn("unit", F.coalesce("grp", F.concat(F.lit("f:"), "path")))
+    return folds(spark, sf).hint("merge").join(cur, "path").withColumn("unit", F.coalesce("grp", F.concat(F.lit("f:"), "path")))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:

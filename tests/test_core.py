@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -363,6 +364,13 @@ def test_band_keys_are_not_sent_through_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_rows_per_file_are_not_sent_through_the_driver(spark):
+    for name in ("split_checks", "sibling_contamination", "propagated_share"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and re.search(r"path#|unit#|dup_cluster#", x)]
+        assert not joins, (name, joins)
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
