@@ -57,27 +57,30 @@ def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: st
     are settled on their own; where they touch no such group or a single one, all their edges are accepted and
     nothing has to be ordered, and only the others are walked edge by edge. The group is named by its smallest item;
     items without edges are groups of their own.
+
+    The tables of a step can have a row per item, whatever their written size, by which the planner would send them
+    through the driver; so their joins ask for a merge.
     """
     staging = Staging(items.sparkSession, "constrained")
     kind = items.schema[item].dataType.simpleString()
     nodes = items.where(F.col(item).isNotNull()).select(F.col(item).alias("node"), F.col(entity).alias("entity"))
     named = staging.keep(nodes.where("entity is not null").distinct())
     root = named.groupBy("entity").agg(F.min("node").alias("b"))
-    ties = components(named.join(root, "entity").where("node <> b").select(F.col("node").alias("a"), "b"), staging)
-    known = staging.keep(named.select("node").distinct().join(ties, "node", "left").select("node", F.coalesce("component", "node").alias("k")))
+    ties = components(named.join(root.hint("merge"), "entity").where("node <> b").select(F.col("node").alias("a"), "b"), staging)
+    known = staging.keep(named.select("node").distinct().join(ties.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("k")))
     ends = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    of = lambda n: known.select(F.col("node").alias(n), F.col("k").alias(f"k_{n}"))
+    of = lambda n: known.select(F.col("node").alias(n), F.col("k").alias(f"k_{n}")).hint("merge")
     ends = staging.keep(ends.join(of("lo"), "lo", "left").join(of("hi"), "hi", "left").where("k_lo is null or k_hi is null"))
     free = ends.where("k_lo is null and k_hi is null")
     comp = components(free.select(F.col("hi").alias("a"), F.col("lo").alias("b")), staging)
-    loose = staging.keep(nodes.select("node").distinct().join(known, "node", "left_anti").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    loose = staging.keep(nodes.select("node").distinct().join(known.hint("merge"), "node", "left_anti").join(comp.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("c")))
     touching = ends.where("k_lo is not null or k_hi is not null").select(F.when(F.col("k_lo").isNull(), F.col("lo")).otherwise(F.col("hi")).alias("node"), F.coalesce("k_lo", "k_hi").alias("k"), "lo", "hi")
-    touching = staging.keep(touching.join(loose, "node"))
+    touching = staging.keep(touching.join(loose.hint("merge"), "node"))
     reach = staging.keep(touching.groupBy("c").agg(F.min("k").alias("k"), (F.min("k") != F.max("k")).alias("several")))
-    easy = loose.join(reach, "c", "left").where("several is null or not several").select("node", "k", F.when(F.col("k").isNull(), F.col("c")).alias("u"))
-    hard = reach.where("several").select("c")
+    easy = loose.join(reach.hint("merge"), "c", "left").where("several is null or not several").select("node", "k", F.when(F.col("k").isNull(), F.col("c")).alias("u"))
+    hard = reach.where("several").select("c").hint("merge")
     rows = touching.join(hard, "c", "left_semi").select("c", "lo", "hi", "node", "k")
-    inner = free.join(loose.select(F.col("node").alias("lo"), "c"), "lo").join(hard, "c", "left_semi").select("c", "lo", "hi", F.col("lo").alias("node"), F.lit(None).cast(kind).alias("k"))
+    inner = free.join(loose.select(F.col("node").alias("lo"), "c").hint("merge"), "lo").join(hard, "c", "left_semi").select("c", "lo", "hi", F.col("lo").alias("node"), F.lit(None).cast(kind).alias("k"))
 
     def settle(pdf):
         import pandas as pd
@@ -109,4 +112,4 @@ def constrained_groups(items: DataFrame, edges: DataFrame, item: str, entity: st
     every = staging.keep(known.select("node", "k", F.lit(None).cast(kind).alias("u")).unionByName(easy).unionByName(walked))
     name = every.groupBy("k", "u").agg(F.min("node").alias("grp"))
     met = (every["k"].eqNullSafe(name["k"])) & (every["u"].eqNullSafe(name["u"]))
-    return every.join(name, met).select(every["node"].alias(item), name["grp"].alias("grp"))
+    return every.join(name.hint("merge"), met).select(every["node"].alias(item), name["grp"].alias("grp"))

@@ -58,19 +58,19 @@ def constrained_groups(spark, sf):
     """
     files = v.files(spark, sf, "path", "p", "d")
     patients = v.curated(spark, sf).where("patient is not null").groupBy("path").agg(F.array_sort(F.collect_set("patient")).alias("patients"))
-    held = files.select("file_id", "path", "p", "d").join(patients, "path", "left").where("(p is not null and d is not null) or patients is not null")
+    held = files.select("file_id", "path", "p", "d").join(patients.hint("merge"), "path", "left").where("(p is not null and d is not null) or patients is not null")
     hashed = F.col("p").isNotNull() & F.col("d").isNotNull()
     key = F.when(hashed, F.struct("p", "d"))
     keyed = held.select("file_id", "patients", key["p"].alias("p"), key["d"].alias("d"), F.when(~hashed, F.col("file_id")).alias("alone"))
     nodes = keyed.groupBy("p", "d", "patients", "alone").agg(F.min("file_id").alias("node"), F.collect_list("file_id").alias("members"))
     nodes = Staging(spark, "constrained_nodes").keep(nodes)
     classes = nodes.where("p is not null").groupBy("p", "d").agg(F.min("node").alias("rep"))
-    of_class = nodes.where("p is not null").join(classes, ["p", "d"]).select("rep", "node", "patients")
+    of_class = nodes.where("p is not null").join(classes.hint("merge"), ["p", "d"]).select("rep", "node", "patients")
     near = ne.banded_pairs(classes, 4).select("a", "b")
     # edges between nodes that both have patients would be refused, so each edge has an end without; a class has one such at most
     side = lambda rows, k, n: rows.select(F.col("rep").alias(k), F.col("node").alias(n))
     bare, known = of_class.where("patients is null"), of_class.where("patients is not null")
-    within = side(bare, "rep", "a").join(side(known, "rep", "b"), "rep").select("a", "b")
+    within = side(bare, "rep", "a").hint("merge").join(side(known, "rep", "b"), "rep").select("a", "b")
     across = lambda x, y: near.hint("merge").join(side(x, "a", "x"), "a").hint("merge").join(side(y, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = within.unionByName(across(bare, of_class)).unionByName(across(known, bare))
     items = nodes.select("node", F.explode_outer("patients").alias("patient"))
@@ -84,7 +84,7 @@ def constrained_group_checks(spark, sf):
     """What must hold of the groups: every file once, and the files of a patient together."""
     g = Staging(spark, "constrained_checks").keep(constrained_groups(spark, sf))
     pt = v.curated(spark, sf).where("patient is not null").select("path", "patient").distinct()
-    named = v.files(spark, sf, "path").join(pt, "path").join(g, "file_id").groupBy("patient").agg((F.min("group_rep") != F.max("group_rep")).alias("torn"))
+    named = v.files(spark, sf, "path").hint("merge").join(pt, "path").hint("merge").join(g, "file_id").groupBy("patient").agg((F.min("group_rep") != F.max("group_rep")).alias("torn"))
     files = g.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("n") > 1).alias("n_repeated"))
     people = named.agg(F.count(F.lit(1)).alias("n_patients"), F.count_if("torn").alias("n_torn_patients"))
     return files.join(people).select("n_files", "n_torn_patients", "n_repeated", "n_patients")  # one row each

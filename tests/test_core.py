@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera import session
 from tessera.functions import text as tx
 from tessera.functions.hashing import parse_hash64
 from tessera.functions.missing import usable
@@ -371,6 +372,15 @@ def test_rows_per_file_are_not_sent_through_the_driver(spark):
         assert not joins, (name, joins)
 
 
+def test_constrained_groups_send_no_rows_through_the_driver(spark, monkeypatch):
+    plans, keep = [], session.Staging.keep
+    of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(session.Staging, "keep", lambda self, df: (plans.append(of(df)), keep(self, df))[1])
+    plans.append(of(entry.queries()["constrained_group_checks"](spark, "/root/testdata/sf0.001")))
+    joins = [x for plan in plans for x in plan.splitlines() if re.search(r"BroadcastHashJoin \[(?!(a|b|l)#)", x)]  # a, b, l: links
+    assert len(plans) > 10 and not joins, joins
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
