@@ -381,6 +381,14 @@ def test_constrained_groups_send_no_rows_through_the_driver(spark, monkeypatch):
     assert len(plans) > 10 and not joins, joins
 
 
+def test_claims_are_not_sent_through_the_driver(spark):
+    docs = spark.createDataFrame([("manuscript", "of 1,234 files 99.5 % and 77.7 % in 12")], "scope string, text string")
+    made = spark.range(1).select(F.lit(99.5).alias("value"), F.lit("pct").alias("form"))
+    left = claims.uncovered(docs, made)
+    assert rows(left) == [("1,234", 1), ("77.7", 1)]
+    assert "Broadcast" not in left._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_splits(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, f"u{i // 4}", rng.choice("ab")) for i in range(400)], "item bigint, unit string, label string")
